@@ -18,11 +18,6 @@ def dbl(value) -> Column:
     return F.lit(float(value))
 
 
-def fixed(c, places: int = 6) -> Column:
-    """Round for stable comparison; adding zero removes a negative zero."""
-    return F.round(col(c).cast("double"), places) + dbl(0)
-
-
 def sigmoid(x) -> Column:
     """Logistic function that never exponentiates a positive number."""
     x = col(x).cast("double")

@@ -1,3 +1,3 @@
 """All registered queries."""
-from . import check_queries, sources_queries  # noqa: F401
+from . import bank_queries, check_queries, geometry_queries, label_queries, selection_queries, sources_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

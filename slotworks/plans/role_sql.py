@@ -12,7 +12,7 @@ def bits(expr: str) -> str:
 
 
 def r6(expr: str) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0::DOUBLE)"
+    return f"(round(CAST({expr} AS DOUBLE) + 1e-9::DOUBLE, 6) + 0.0::DOUBLE)"
 
 
 def rules_sql(source: str, key: str, rules: dict[str, str]) -> str:

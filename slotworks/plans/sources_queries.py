@@ -86,7 +86,7 @@ def stored_volumes(t):
     return folder, t.spark.read.parquet(listed)
 
 
-@query("s07_read_slices", f"""SELECT s.series_id, CAST(c.slice_no AS BIGINT) AS slice_no, {r6('coalesce(sum(least(255, floor(p.value))), 0)')} AS pixel_sum
+@query("s07_read_slices", f"""SELECT s.series_id, CAST(c.slice_no AS BIGINT) AS slice_no, {r6('coalesce(sum(CASE WHEN p.value IS NOT NULL THEN least(255, floor(p.value)) END), 0)')} AS pixel_sum
     FROM (SELECT DISTINCT series_id FROM fx_pixels) s CROSS JOIN (SELECT unnest(range(16)) AS slice_no) c
     LEFT JOIN fx_pixels p ON p.series_id = s.series_id AND p.col = c.slice_no GROUP BY ALL""")
 def s07(t):
