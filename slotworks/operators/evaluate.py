@@ -60,7 +60,7 @@ def bootstrap_draws(ids: DataFrame, key: str, repeats: int, seed: int) -> DataFr
 def poisson_draws(ids: DataFrame, key: str, repeats: int, seed: int) -> DataFrame:
     """Poisson(1) weights per (rep, key): another estimator, only on request. Needs
     no ordinal and no draw table, so it suits very many rows."""
-    reps = ids.select(key).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).cast("bigint"))
+    reps = ids.select(key).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(repeats - 1).cast("bigint"))))
     u = S.hash_uniform(F.lit(seed), F.col("rep"), F.col(key))
     steps, total, term = [], 0.0, 2.718281828459045 ** -1
     for i in range(1, 13):
@@ -106,7 +106,7 @@ def paired_delta(boot: DataFrame, reference: str) -> DataFrame:
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Pearson correlation of average ranks in [-1, 1]; NULL if one side is constant."""
     ranked = with_average_rank(with_average_rank(df, by, a, "_ra"), by, b, "_rb")
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("_c"), F.min("_ra").alias("a0"),
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("_c"), F.min("_ra").alias("a0"),
                                   F.max("_ra").alias("a1"), F.min("_rb").alias("b0"), F.max("_rb").alias("b1"))
     varies = (F.col("a0") < F.col("a1")) & (F.col("b0") < F.col("b1"))
     return out.select(*by, "n", F.when(varies, F.greatest(S.dbl(-1), F.least(S.dbl(1), F.col("_c")))).alias("spearman"))

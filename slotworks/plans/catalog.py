@@ -1,3 +1,4 @@
 """All registered queries."""
-from . import bank_queries, check_queries, geometry_queries, label_queries, selection_queries, sources_queries  # noqa: F401
+from . import (bank_queries, check_queries, evaluation_queries, geometry_queries, label_queries, receipt_queries,  # noqa: F401
+               selection_queries, sources_queries)
 from .registry import ORACLES, QUERIES  # noqa: F401
