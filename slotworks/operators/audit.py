@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import spread
 from .checks import coverage_report, rule_table
 from .ordering import exact_quantiles
 
@@ -16,7 +17,7 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     map-side combine instead of a sorted window, so a hot key costs one row per task."""
     rest = [c for c in df.columns if c not in keys and c not in order]
     best = F.max(F.struct(*order, *rest)).alias("_b")
-    return df.groupBy(*keys).agg(best).select(*keys, *[f"_b.`{c}`" for c in [*order, *rest]]).select(*df.columns)
+    return spread(df, *keys).groupBy(*keys).agg(best).select(*keys, *[f"_b.`{c}`" for c in [*order, *rest]]).select(*df.columns)
 
 
 def series_inventory(series: DataFrame) -> DataFrame:

@@ -89,16 +89,20 @@ def percentile_ci(df: DataFrame, by: list[str], value: str, low: float = 0.025,
 
 def with_macro(boot: DataFrame, value: str = "auc") -> DataFrame:
     """Adds label 'MACRO' rows: the mean where every label is defined, else NULL."""
-    macro = boot.groupBy("rep", "model").agg(F.avg(value).alias("_m"), F.count(value).alias("_d"), F.count(F.lit(1)).alias("_l"))
-    macro = macro.select("rep", "model", F.lit("MACRO").alias("label"), F.when(F.col("_d") == F.col("_l"), F.col("_m")).alias(value))
-    return boot.select("rep", "model", "label", value).unionByName(macro)
+    # a (rep, model) group holds one row per label, so its list is short
+    lists = boot.groupBy("rep", "model").agg(F.collect_list(F.struct("label", value)).alias("_r"), F.avg(value).alias("_m"),
+                                             (F.count(value) == F.count(F.lit(1))).alias("_all"))
+    macro = F.array(F.struct(F.lit("MACRO").alias("label"), F.when(F.col("_all"), F.col("_m")).alias(value)))
+    return lists.select("rep", "model", F.explode(F.concat("_r", macro)).alias("_r")).select("rep", "model", "_r.*")
 
 
 def paired_delta(boot: DataFrame, reference: str) -> DataFrame:
     """Per repeat difference to the reference model, per label and MACRO."""
-    rows = with_macro(boot)
-    base = rows.filter(F.col("model") == reference).select("rep", "label", F.col("auc").alias("_ref"))
-    return rows.join(base, ["rep", "label"]).select("rep", "model", "label", (F.col("auc") - F.col("_ref")).alias("delta"))
+    # a (rep, label) group holds one row per model, so no self-join is needed
+    lists = with_macro(boot).groupBy("rep", "label").agg(F.collect_list(F.struct("model", "auc")).alias("_r"),
+                                                         F.max(F.when(F.col("model") == reference, F.col("auc"))).alias("_ref"))
+    return lists.select("rep", "label", "_ref", F.explode("_r").alias("_r")).select(
+        "rep", "_r.model", "label", (F.col("_r.auc") - F.col("_ref")).alias("delta"))
 
 
 # ---- agreement ----------------------------------------------------------------

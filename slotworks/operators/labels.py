@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.text import report_key, words
-from ..session import pin
+from ..session import pin, spread
 from .evaluate import auc
 from .ordering import with_hash_ordinal
 
@@ -130,7 +130,9 @@ def silence_rate(sources: DataFrame) -> DataFrame:
 
 def with_report_key(df: DataFrame, text: str, out: str = "report_key") -> DataFrame:
     """Digest of the normalised report, so that shuffles move 64 characters."""
-    return df.withColumn(out, F.sha2(report_key(text), 256))
+    keyed = [c for c in df.columns if c != text]
+    wide = spread(df, *keyed[:1]) if keyed else df
+    return wide.withColumn(out, F.sha2(report_key(text), 256))
 
 
 def report_groups(df: DataFrame, text: str) -> DataFrame:
@@ -148,15 +150,18 @@ def template_bands(df: DataFrame, key: str, text: str, bands: int = 8, rows: int
 
     Texts shorter than one shingle use the whole text as their only shingle.
     """
-    tokens = df.select(key, words(text).alias("_w"))
+    tokens = spread(df.select(key, text), key).select(key, words(text).alias("_w"))
     count = F.size("_w")
-    grams = F.when(count >= shingle, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), count - (shingle - 1))),
-                                                 lambda i: F.xxhash64(F.slice("_w", i, shingle))))
-    hashed = tokens.select(key, F.array_distinct(F.coalesce(grams, F.array(F.xxhash64("_w")))).alias("_h"))
-    low = lambda seed: F.array_min(F.transform("_h", lambda h: F.xxhash64(h, F.lit(seed))))
-    out = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[low(b * rows + r) for r in range(rows)]).alias("signature"))
+    # one hash per word first, so that a shingle hash reads three numbers
+    hashed = tokens.withColumn("_w", F.transform("_w", lambda w: F.xxhash64(w)))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), count - shingle)),
+                        lambda i: F.xxhash64(*[F.get("_w", i + j) for j in range(shingle)]))
+    rows_out = hashed.select(key, F.explode(F.when(count >= shingle, grams).otherwise(F.array(F.xxhash64("_w")))).alias("_h"))
+    # the minima are a codegen hash aggregate that combines before the shuffle
+    low = rows_out.groupBy(key).agg(*[F.min(F.xxhash64("_h", F.lit(i))).alias(f"_m{i}") for i in range(bands * rows)])
+    out = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[f"_m{b * rows + r}" for r in range(rows)]).alias("signature"))
            for b in range(bands)]
-    return hashed.select(key, F.explode(F.array(*out)).alias("s")).select(key, "s.*")
+    return low.select(key, F.explode(F.array(*out)).alias("s")).select(key, "s.*")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

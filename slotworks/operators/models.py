@@ -53,6 +53,8 @@ def gram_matrices(df: DataFrame, cols: list[str], width: int, by: str | None = N
             for at in range(0, len(pdf), block):
                 part = pdf.iloc[at:at + block]
                 z = np.hstack([np.ones((len(part), 1)), *[np.stack(part[c].to_numpy()).astype(np.float64) for c in cols]])
+                if not np.isfinite(z).all():
+                    raise ValueError("missing or non-finite values in a fit input")
                 for key in part["_g"].unique():
                     rows = z[(part["_g"] == key).to_numpy()]
                     total[key] = total.get(key, 0.0) + rows.T @ rows

@@ -60,11 +60,15 @@ def expect_every_study(spine: DataFrame, selected: DataFrame) -> DataFrame:
     return coverage_report(spine.select("study_id").distinct(), selected.select("study_id").distinct(), ["study_id"])
 
 
-def sample_candidate(ranked: DataFrame, seed: int, epoch: int) -> DataFrame:
-    """One candidate per slot, fixed by (seed, epoch, study, slot) alone."""
-    counts = ranked.groupBy("study_id", "slot").agg(F.count(F.lit(1)).alias("n_candidates"))
-    draw = F.pmod(S.hash_bits(F.lit(seed), F.lit(epoch), "study_id", "slot"), F.col("n_candidates")) + 1
-    return ranked.join(counts, ["study_id", "slot"]).filter(F.col("rank") == draw)
+def sample_candidate(series: DataFrame, seed: int, epoch: int, carry: list[str] = ("n",)) -> DataFrame:
+    """One uniformly drawn candidate per slot, fixed by (seed, epoch, study, slot).
+
+    The candidate of smallest hash wins: one aggregate combined map-side, with no
+    ranking and no candidate count, and the same under any partitioning.
+    """
+    draw = S.hash_bits(F.lit(seed), F.lit(epoch), "study_id", "slot", "series_id")
+    best = F.min(F.struct(draw.alias("_draw"), F.col("series_id"), *carry)).alias("_b")
+    return series.groupBy("study_id", "slot").agg(best).select("study_id", "slot", "_b.series_id", *[f"_b.{c}" for c in carry])
 
 
 def with_indices(selected: DataFrame, k: int = 4) -> DataFrame:

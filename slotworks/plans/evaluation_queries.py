@@ -7,6 +7,7 @@ from ..functions import scalars as S
 from ..operators import evaluate as E
 from ..operators import labels as L
 from ..operators import models as M
+from ..session import spread
 from . import roles as R
 from .label_queries import auc_sql
 from .registry import query
@@ -197,12 +198,13 @@ def a41(t):
 
 @query("m09_train_eval_report")
 def m09(t):
-    """Ridge on pooled hashed text features of the documents, holdout and gold phases."""
+    """Ridge on letter counts of the whole texts, holdout and gold phases."""
     width = 16
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.sqrt(F.size(F.filter(F.split(F.lower("text"), " "), lambda w: F.pmod(F.xxhash64(w), F.lit(width)) == i)).cast("double")))
-    pooled = t.documents.select(R.text("doc_id").alias("study_id"), F.lit(0).alias("slot"), counts.alias("pooled"))
-    official = R.truth(t)
-    return M.train_eval_report(None, R.soft(t), official, R.roles(t), R.LABELS, width, slots=1, alpha=10.0, pooled=pooled)
+    letters = "etaoinsrhldcumpg"
+    counts = F.array(*[F.sqrt((F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double")) for c in letters])
+    pooled = spread(t.documents.select("doc_id", "text"), "doc_id").select(R.text("doc_id").alias("study_id"), F.lit(0).alias("slot"), counts.alias("pooled"))
+    soft = R.soft(t).withColumn("p", F.coalesce("p", S.dbl(0.5)))  # a silent label is undecided
+    return M.train_eval_report(None, soft, R.truth(t), R.roles(t), R.LABELS, width, slots=1, alpha=10.0, pooled=pooled)
 
 
 @query("m10_replay_check", f"""WITH r AS (SELECT study_id, label, score AS s, CASE WHEN CAST(study_id AS BIGINT) % 60 = 0 THEN score + 0.01 ELSE score END AS n FROM fx_predictions WHERE model = 'a')

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.text import report_key
 from ..operators import labels as L
+from ..session import spread
 from . import roles as R
 from .registry import query
 from .role_sql import r6
@@ -25,7 +26,7 @@ def auc_sql(rows: str, by: str) -> str:
 @query("j01_align_to_spine", f"SELECT CAST(o.o_orderkey AS VARCHAR) AS study_id, s.series_id, s.n FROM orders o LEFT JOIN (SELECT * FROM fx_series WHERE n > 45) s ON s.study_id = CAST(o.o_orderkey AS VARCHAR)")
 def j01(t):
     deep = R.series(t).filter("n > 45").select("study_id", "series_id", "n")
-    extra = deep.limit(1).withColumn("study_id", F.lit("not-in-spine"))
+    extra = t.labels.select(F.concat(F.lit("not-in-spine-"), R.text("doc_id")).alias("study_id"), F.lit("x").alias("series_id"), F.lit(64).cast("bigint").alias("n"))
     return L.align_to_spine(R.studies(t), deep.unionByName(extra), ["study_id"])
 
 
@@ -76,18 +77,19 @@ KEY_SQL = "regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g')"
 
 @query("f05_report_key", f"SELECT CAST(doc_id AS VARCHAR) AS study_id, {KEY_SQL} AS report_key FROM documents")
 def f05(t):
-    return t.documents.select(R.text("doc_id").alias("study_id"), report_key("text").alias("report_key"))
+    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    return docs.select(R.text("doc_id").alias("study_id"), report_key("text").alias("report_key"))
 
 
 @query("a27_report_groups", f"""SELECT report_key, count(*) AS n_rows FROM (SELECT sha256({KEY_SQL}) AS report_key FROM documents) GROUP BY 1""")
 def a27(t):
-    return L.report_groups(t.documents, "text")
+    return L.report_groups(t.documents.select("doc_id", "text"), "text")
 
 
 @query("a27b_report_group_counts", f"""SELECT count(*) AS groups, count(*) FILTER (n > 1) AS repeated_groups, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS rows_in_repeated
     FROM (SELECT {KEY_SQL} AS k, count(*) AS n FROM documents GROUP BY 1)""")
 def a27b(t):
-    return L.report_group_counts(L.report_groups(t.documents, "text"))
+    return L.report_group_counts(L.report_groups(t.documents.select("doc_id", "text"), "text"))
 
 
 @query("a28_near_template_groups")
@@ -108,13 +110,13 @@ def f04(t):
     return done.filter("label = 'Synovitis'").select("study_id", "p")
 
 
-@query("w14_group_folds", f"""WITH RECURSIVE sizes AS (SELECT row_number() OVER (ORDER BY n DESC) AS i, n FROM (SELECT count(*) AS n FROM documents GROUP BY {KEY_SQL})),
+@query("w14_group_folds", f"""WITH RECURSIVE sizes AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n DESC) AS i, n FROM (SELECT count(*) AS n FROM documents GROUP BY {KEY_SQL})),
     walk AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads UNION ALL
              SELECT w.i + 1, list_transform(w.loads, lambda x, j: CASE WHEN j = list_position(w.loads, list_min(w.loads)) THEN x + s.n ELSE x END)
              FROM walk w JOIN sizes s ON s.i = w.i + 1)
     SELECT CAST(f AS BIGINT) AS fold, loads[f + 1] AS n, 0::BIGINT AS split_groups FROM (SELECT loads FROM walk ORDER BY i DESC LIMIT 1), (SELECT unnest(range(5)) AS f)""")
 def w14(t):
-    folded = L.group_folds(L.with_report_key(t.documents, "text").select("doc_id", "report_key"), "report_key")
+    folded = L.group_folds(L.with_report_key(t.documents.select("doc_id", "text"), "text").select("doc_id", "report_key"), "report_key")
     split = folded.groupBy("report_key").agg(F.min("fold").alias("a"), F.max("fold").alias("b"))
     n_split = split.agg(F.count_if(F.col("a") != F.col("b")).alias("split_groups")).withColumn("_j", F.lit(1))
     sizes = L.fold_sizes(folded).withColumn("_j", F.lit(1))

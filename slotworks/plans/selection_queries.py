@@ -46,15 +46,19 @@ def w02b(t):
     return SEL.expect_every_study(R.studies(t), R.selected(t))
 
 
-@query("w03_sample_candidate", f"""SELECT study_id, slot, series_id FROM (SELECT *, count(*) OVER (PARTITION BY study_id, slot) AS c FROM fx_ranked)
-    WHERE rank = {bits("'42:1:' || study_id || ':' || CAST(slot AS VARCHAR)")} % c + 1""")
+@query("w03_sample_candidate", f"""SELECT study_id, slot, series_id, n FROM (SELECT *, row_number() OVER (PARTITION BY study_id, slot
+      ORDER BY {bits("'42:1:' || study_id || ':' || CAST(slot AS VARCHAR) || ':' || series_id")}, series_id) AS d FROM fx_slotted WHERE n >= 3) WHERE d = 1""")
 def w03(t):
-    return SEL.sample_candidate(ranked(t), 42, 1).select("study_id", "slot", "series_id")
+    return SEL.sample_candidate(SEL.usable_series(R.slotted(t)), 42, 1)
 
 
-@query("w06_slice_indices", "SELECT study_id, slot, CAST(k AS BIGINT) AS k, slice_no FROM fx_plan")
+def listed(c):
+    return F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
+
+
+@query("w06_slice_indices", "SELECT study_id, slot, string_agg(CAST(slice_no AS VARCHAR), ',' ORDER BY k) AS idx FROM fx_plan GROUP BY ALL")
 def w06(t):
-    return SEL.plan_rows(R.selected(t)).select("study_id", "slot", "k", "slice_no")
+    return SEL.with_indices(R.selected(t)).select("study_id", "slot", listed("idx").alias("idx"))
 
 
 @query("w06b_slice_indices_one", "SELECT series_id, CAST(round_even(0.04::DOUBLE * (n - 1), 0) AS BIGINT) AS slice_no FROM fx_selected")
@@ -71,24 +75,25 @@ def centres(t):
     return R.series(t).select("series_id", "n", F.posexplode(G.window_centres("n", 8)).alias("k", "centre"))
 
 
-@query("w07_window_centres", f"SELECT series_id, CAST(k AS BIGINT) AS k, centre FROM ({CENTRES})")
+@query("w07_window_centres", f"SELECT series_id, string_agg(CAST(centre AS VARCHAR), ',' ORDER BY k) AS centres FROM ({CENTRES}) GROUP BY series_id")
 def w07(t):
-    return centres(t).select("series_id", "k", "centre")
+    return R.series(t).select("series_id", listed(G.window_centres("n", 8)).alias("centres"))
 
 
 @query("w07b_window_centres_jitter", f"""WITH ab AS (SELECT series_id, n, CASE WHEN b0 < a0 THEN (n - 1) / 2.0::DOUBLE ELSE a0 END AS a, CASE WHEN b0 < a0 THEN (n - 1) / 2.0::DOUBLE ELSE b0 END AS b
           FROM (SELECT series_id, n, greatest(1.0::DOUBLE, 0.04::DOUBLE * (n - 1)) AS a0, least(n - 2.0::DOUBLE, 0.96::DOUBLE * (n - 1)) AS b0 FROM fx_series)),
     cells AS (SELECT series_id, n, k, k * ((b - a) / 4.0::DOUBLE) + a AS e0, CASE WHEN k = 3 THEN b ELSE (k + 1) * ((b - a) / 4.0::DOUBLE) + a END AS e1 FROM ab, (SELECT unnest(range(4)) AS k))
-    SELECT series_id, CAST(k AS BIGINT) AS k, CAST(greatest(1, least(greatest(1, n - 2), round_even(e0 + {u("'7:0:' || series_id || ':' || CAST(k AS VARCHAR)")} * (e1 - e0), 0))) AS BIGINT) AS centre FROM cells""")
+    SELECT series_id, string_agg(CAST(CAST(greatest(1, least(greatest(1, n - 2), round_even(e0 + {u("'7:0:' || series_id || ':' || CAST(k AS VARCHAR)")} * (e1 - e0), 0))) AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS centres
+    FROM cells GROUP BY series_id""")
 def w07b(t):
     jitter = lambda i: S.hash_uniform(F.lit(7), F.lit(0), F.col("series_id"), i)
-    return R.series(t).select("series_id", F.posexplode(G.window_centres("n", 4, jitter=jitter)).alias("k", "centre"))
+    return R.series(t).select("series_id", listed(G.window_centres("n", 4, jitter=jitter)).alias("centres"))
 
 
-@query("w08_neighbour_windows", f"""SELECT series_id, CAST(k AS BIGINT) AS k, CAST(c AS BIGINT) AS channel, greatest(0, least(n - 1, centre + c - 1)) AS slice_no
-    FROM ({CENTRES}), (SELECT unnest(range(3)) AS c)""")
+@query("w08_neighbour_windows", f"""SELECT n, CAST(k AS BIGINT) AS k, CAST(c AS BIGINT) AS channel, greatest(0, least(n - 1, centre + c - 1)) AS slice_no, count(*) AS windows
+    FROM ({CENTRES}), (SELECT unnest(range(3)) AS c) GROUP BY ALL""")
 def w08(t):
-    return SEL.neighbour_windows(centres(t)).select("series_id", "k", "channel", "slice_no")
+    return SEL.neighbour_windows(centres(t)).groupBy("n", "k", "channel", "slice_no").agg(F.count(F.lit(1)).alias("windows"))
 
 
 @query("w09_with_position", f"SELECT study_id, slot, CAST(k AS BIGINT) AS k, {r6('slice_no / CAST(n - 1 AS DOUBLE)')} AS position FROM fx_plan")
@@ -96,9 +101,9 @@ def w09(t):
     return SEL.plan_rows(R.selected(t)).select("study_id", "slot", "k", "position")
 
 
-@query("w09b_with_position_legacy", f"SELECT series_id, CAST(k AS BIGINT) AS k, {r6('centre / CAST(greatest(n - 1, 1) AS DOUBLE)')} AS position FROM ({CENTRES})")
+@query("w09b_with_position_legacy", f"SELECT n, CAST(k AS BIGINT) AS k, {r6('centre / CAST(greatest(n - 1, 1) AS DOUBLE)')} AS position, count(*) AS windows FROM ({CENTRES}) GROUP BY ALL")
 def w09b(t):
-    return SEL.with_position(centres(t), "centre", legacy=True).select("series_id", "k", "position")
+    return SEL.with_position(centres(t), "centre", legacy=True).groupBy("n", "k", "position").agg(F.count(F.lit(1)).alias("windows"))
 
 
 @query("j12_ownership", "SELECT study_id, slot, series_id, shard IN (0, 3) AS owned FROM fx_selected")

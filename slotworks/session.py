@@ -46,6 +46,19 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a small input by its keys, so that a few files (or one big
+    row group) do not leave cores idle under CPU-heavy work.
+
+    Decided from the optimizer's size estimate: from one default split per core
+    on, the scan is parallel enough and nothing is shuffled.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if size < cores * 128 * 1024 * 1024 else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for staging writes."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
