@@ -182,7 +182,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         e = pin(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            heads = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads)
         before = state
     raise RuntimeError("components did not settle")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..session import pin
 from .bank import attention_pool, slot_mean_pool, slot_stats
 from .checks import expect_disjoint, require_clean, split_roles
 from .evaluate import auc, macro_auc
@@ -124,7 +125,9 @@ def train_eval_report(bank: DataFrame, soft: DataFrame, official: DataFrame, rol
     Statistics, design and coefficients of a fit only see its own training ids.
     soft(study_id, label, p), official(study_id, label, y), roles(study_id, role).
     """
-    pooled = slot_mean_pool(bank) if pooled is None else pooled
+    # both phases read these several times: one pass over the bank, then a checkpoint
+    pooled = pin(slot_mean_pool(bank) if pooled is None else pooled)
+    targets = pin(target_logits(soft, labels))
     pick = lambda *r: roles.filter(F.col("role").isin(*r)).select("study_id")
     phases = {"weak_holdout": (pick("gradient"), pick("holdout"), soft.select("study_id", "label", S.binarize("p").alias("y"))),
               "production": (pick("gradient", "holdout"), pick("gold"), official)}
@@ -133,7 +136,7 @@ def train_eval_report(bank: DataFrame, soft: DataFrame, official: DataFrame, rol
         require_clean(expect_disjoint(train, test, ["study_id"], f"{phase}_leak"))
         stats = slot_stats(pooled, train, width, slots)
         design = slot_design(pooled, stats, width, slots)
-        model = ridge_fit(design.join(train, "study_id", "left_semi"), target_logits(soft, labels), labels, slots * width + slots, alpha)
+        model = ridge_fit(design.join(train, "study_id", "left_semi"), targets, labels, slots * width + slots, alpha)
         scored = model.predict(design.join(test, "study_id", "left_semi")).join(truth, ["study_id", "label"])
         per = auc(scored, ["label"], "prob", "y")
         macro = macro_auc(per.withColumn("_all", F.lit(1)), ["_all"]).select(F.lit("MACRO").alias("label"), F.lit(None).cast("bigint").alias("n_pos"),

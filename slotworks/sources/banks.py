@@ -69,7 +69,7 @@ def export_npz_bank(bank: DataFrame, folder: str, slots: int = 6, k: int = 4) ->
     """One NPZ per study in a shared folder, for readers outside Spark; returns
     (path, study_id, shard, bytes). A study's group is at most slots * k rows by
     contract (bank_geometry). A file appears under its name only when whole."""
-    def save(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def save(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > slots * k:
             raise ValueError(f"{key[0]}: more rows than slots * k")
         width = len(pdf["embedding"].iloc[0])
@@ -143,7 +143,7 @@ def read_slices(locations: DataFrame, side: int, members_per_task: int = 64) ->
 def write_npy_series(slices: DataFrame, folder: str, side: int, max_slices: int = 64) -> DataFrame:
     """Plain uint8 .npy volumes, one per series of at most `max_slices` slices;
     returns (series_id, archive NULL, member, n)."""
-    def save(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def save(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > max_slices:
             raise ValueError(f"{key[0]}: more slices than the cap")
         pdf = pdf.sort_values("slice_no")
