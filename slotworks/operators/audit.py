@@ -44,29 +44,40 @@ def flag_redundancy(df: DataFrame, a: str, b: str) -> DataFrame:
 # ---- digests ------------------------------------------------------------------
 
 def lines_digest(df: DataFrame, line: str, order: list[str], scheme: str = "auto", terminate: bool = False,
-                 prefix: int = 3) -> DataFrame:
+                 leaf_rows: int = 100_000) -> DataFrame:
     """One row (scheme, n, digest).
 
     `sorted`: sha256 of all lines in `order`, joined by newline (`terminate` adds
     a newline behind each). It is sequential by definition, so it is only taken up
     to DIGEST_ROWS lines (counted first).
-    `bucketed`: the same digest per bucket of the line's own sha256 prefix, then
-    over 'bucket<TAB>digest' lines. A different digest, for any size; longer
-    prefixes make more buckets.
+    `bucketed`: a tree for any size, and a different digest. Leaves are the lines
+    that share a prefix of their own sha256 (3 hex digits per level, as many levels
+    as keep leaves near `leaf_rows`), sorted and joined by newline; each level then
+    hashes the 'prefix<TAB>digest' lines of the one below, 4096 at most. Repeated
+    lines are counted map-side first and enter once, as line<TAB>*count.
     """
+    total = df.count()
     if scheme == "auto":
-        scheme = "sorted" if df.count() <= DIGEST_ROWS else "bucketed"
+        scheme = "sorted" if total <= DIGEST_ROWS else "bucketed"
+    elif scheme == "sorted" and total > DIGEST_ROWS:
+        raise ValueError(f"{total} lines exceed the {DIGEST_ROWS} of a sorted digest")
     text = F.coalesce(F.col(line), F.lit(""))
-    tail = F.concat(text, F.lit("\n")) if terminate else text
-    sep = "" if terminate else "\n"
-    rows = lambda: F.transform(F.array_sort(F.collect_list(F.struct(*order, tail.alias("_line")))), lambda s: s["_line"])
     if scheme == "sorted":
-        return df.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(rows(), sep), 256).alias("digest")).select(
+        tail = F.concat(text, F.lit("\n")) if terminate else text
+        rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, tail.alias("_line")))), lambda s: s["_line"])
+        return df.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(rows, "" if terminate else "\n"), 256).alias("digest")).select(
             F.lit(scheme).alias("scheme"), "n", "digest")
-    cut = df.withColumn("_bucket", F.substring(F.sha2(text, 256), 1, prefix))
-    per = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sha2(F.array_join(rows(), sep), 256).alias("_d"))
-    top = F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_d"))), lambda s: F.concat(s["_bucket"], F.lit("\t"), s["_d"]))
-    return per.agg(F.sum("_n").alias("n"), F.sha2(F.array_join(top, "\n"), 256).alias("digest")).select(F.lit(scheme).alias("scheme"), "n", "digest")
+    levels = 1
+    while total > leaf_rows * 4096 ** levels:
+        levels += 1
+    once = df.groupBy(text.alias("_t")).agg(F.count(F.lit(1)).alias("_c"))
+    entry = F.when(F.col("_c") == 1, F.col("_t")).otherwise(F.concat("_t", F.lit("\t*"), F.col("_c").cast("string")))
+    node = once.select(F.substring(F.sha2("_t", 256), 1, 3 * levels).alias("_p"), entry.alias("_l"), F.col("_c").alias("n"))
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list("_l")), "\n"), 256)
+    for level in range(levels, 0, -1):
+        per = node.groupBy("_p").agg(F.sum("n").alias("n"), joined.alias("_d"))
+        node = per.select(F.substring("_p", 1, 3 * (level - 1)).alias("_p"), F.concat("_p", F.lit("\t"), "_d").alias("_l"), "n")
+    return node.agg(F.sum("n").alias("n"), joined.alias("digest")).select(F.lit(scheme).alias("scheme"), "n", "digest")
 
 
 def ids_digest(df: DataFrame, key: str, scheme: str = "auto") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .checks import rule_table
-from .ordering import exact_quantiles, with_hash_ordinal
+from .ordering import bucket_bits, exact_quantiles, with_hash_ordinal
 
 FIVE = {"q_min": 0.0, "q05": 0.05, "median": 0.5, "q95": 0.95, "q_max": 1.0}
 
@@ -155,9 +155,10 @@ def hash_pairs(df: DataFrame, id_cols: list[str], vector: str, seed: int, by: li
 def cosine_sample(bank: DataFrame, seed: int = 20261007, pairs: int | None = 8192) -> DataFrame:
     """Cosine quantiles: across all vectors, inside each slot, and of study means."""
     ids = ["study_id", "slot", "k"]
+    bits = bucket_bits(bank.count())
     means = bank.groupBy("study_id").agg(arr(Summarizer.mean(vec())).alias("mean"))
-    parts = {"cross_slice": hash_pairs(bank, ids, "embedding", seed, [], pairs).select(F.lit(-1).alias("slot"), "cosine"),
-             "same_slot": hash_pairs(bank, ids, "embedding", seed, ["slot"], pairs).select(F.col("slot").cast("int").alias("slot"), "cosine"),
+    parts = {"cross_slice": hash_pairs(bank, ids, "embedding", seed, [], pairs, bits).select(F.lit(-1).alias("slot"), "cosine"),
+             "same_slot": hash_pairs(bank, ids, "embedding", seed, ["slot"], pairs, bits).select(F.col("slot").cast("int").alias("slot"), "cosine"),
              "study_pair": hash_pairs(means, ["study_id"], "mean", seed).select(F.lit(-1).alias("slot"), "cosine")}
     rows = None
     for scope, df in parts.items():

@@ -7,17 +7,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .ordering import HOT_ROWS, with_hash_ordinal, with_row_number
+from .ordering import HOT_ROWS, bucket_bits, with_hash_ordinal, with_row_number
 
 
-def epoch_batches(ids: DataFrame, key: str, seed: int, epoch: int, batch: int, accum: int, start_group: int = 0,
-                  hash_bits: int = 12) -> DataFrame:
+def epoch_batches(ids: DataFrame, key: str, seed: int, epoch: int, batch: int, accum: int, start_group: int = 0) -> DataFrame:
     """(key, ordinal, batch, group): a permutation fixed by (seed, epoch), without the
     incomplete last group, from `start_group` on."""
     hashed = ids.select(key).withColumn("_h", S.hash_bits(F.lit(seed), F.lit(epoch), key))
-    numbered = with_hash_ordinal(hashed, "_h", [key], "ordinal", hash_bits)
+    total = ids.count()
+    numbered = with_hash_ordinal(hashed, "_h", [key], "ordinal", bucket_bits(total))
     group = batch * accum
-    kept = ids.count() // group * group
+    kept = total // group * group
     return (numbered.filter((F.col("ordinal") < kept) & (F.col("ordinal") >= start_group * group))
             .select(key, "ordinal", F.floor(F.col("ordinal") / batch).alias("batch"), F.floor(F.col("ordinal") / group).alias("group")))
 

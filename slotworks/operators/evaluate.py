@@ -109,7 +109,10 @@ def paired_delta(boot: DataFrame, reference: str) -> DataFrame:
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Pearson correlation of average ranks in [-1, 1]; NULL if one side is constant."""
-    ranked = with_average_rank(with_average_rank(df, by, a, "_ra"), by, b, "_rb")
+    # both ranks come from the input itself, so neither waits for the other
+    one = {"_c": F.lit(1).cast("bigint")}
+    rank = lambda v, out: running_totals(df, by, v, one).select(*by, v, (F.col("_c_below") + (F.col("_c") + 1) / S.dbl(2)).alias(out))
+    ranked = df.select(*by, a, b).join(rank(a, "_ra"), [*by, a]).join(rank(b, "_rb"), [*by, b])
     out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("_c"), F.min("_ra").alias("a0"),
                                   F.max("_ra").alias("a1"), F.min("_rb").alias("b0"), F.max("_rb").alias("b1"))
     varies = (F.col("a0") < F.col("a1")) & (F.col("b0") < F.col("b1"))

@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..functions.text import report_key, words
 from ..session import pin, spread
 from .evaluate import auc
-from .ordering import with_hash_ordinal
+from .ordering import bucket_bits, with_hash_ordinal
 
 LABELS = ["ACL", "MCL", "Medial Meniscus", "Lateral Meniscus", "Medial OA", "Lateral OA",
           "PF OA", "Effusion", "Synovitis", "Baker's", "Contusion", "Fracture"]
@@ -145,11 +145,9 @@ def report_group_counts(groups: DataFrame) -> DataFrame:
                       F.coalesce(F.sum(F.when(many, F.col("n_rows"))), F.lit(0)).cast("bigint").alias("rows_in_repeated"))
 
 
-def template_bands(df: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4, shingle: int = 3) -> DataFrame:
-    """(key, band, signature): MinHash bands over the word shingles of the whole text.
-
-    Texts shorter than one shingle use the whole text as their only shingle.
-    """
+def template_signatures(df: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4, shingle: int = 3) -> DataFrame:
+    """(key, signatures): one MinHash signature per band over the word shingles of the
+    whole text. Texts shorter than one shingle use the whole text as their only one."""
     tokens = spread(df.select(key, text), key).select(key, words(text).alias("_w"))
     count = F.size("_w")
     # one hash per word first, so that a shingle hash reads three numbers
@@ -159,9 +157,11 @@ def template_bands(df: DataFrame, key: str, text: str, bands: int = 8, rows: int
     rows_out = hashed.select(key, F.explode(F.when(count >= shingle, grams).otherwise(F.array(F.xxhash64("_w")))).alias("_h"))
     # the minima are a codegen hash aggregate that combines before the shuffle
     low = rows_out.groupBy(key).agg(*[F.min(F.xxhash64("_h", F.lit(i))).alias(f"_m{i}") for i in range(bands * rows)])
-    out = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[f"_m{b * rows + r}" for r in range(rows)]).alias("signature"))
-           for b in range(bands)]
-    return low.select(key, F.explode(F.array(*out)).alias("s")).select(key, "s.*")
+    return low.select(key, F.array(*[F.xxhash64(F.lit(b), *[f"_m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("signatures"))
+
+
+def template_bands(signed: DataFrame, key: str) -> DataFrame:
+    return signed.select(key, F.posexplode("signatures").alias("band", "signature"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -191,16 +191,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 def near_template_groups(df: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4, shingle: int = 3) -> DataFrame:
     """(key, template): texts joined through shared MinHash bands.
 
-    Every member of a band bucket links to the bucket's smallest key only, so a
-    bucket of m copies gives m - 1 links, and components are the same as with
-    all pairs. Every text is kept; a text without a partner is its own template.
+    Texts with equal signatures collapse to their smallest key first (map-side
+    combined), so any number of copies is one node of the graph. Every member of
+    a band bucket then links to the bucket's smallest key only: m members give
+    m - 1 links, and components are the same as with all pairs. Every text is
+    kept; a text without a partner is its own template.
     """
-    signed = template_bands(df, key, text, bands, rows, shingle)
-    heads = signed.groupBy("band", "signature").agg(F.min(key).alias("_head"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
-    links = signed.join(heads, ["band", "signature"]).select(F.col(key).alias("a"), F.col("_head").alias("b"))
+    signed = pin(template_signatures(df, key, text, bands, rows, shingle))
+    heads = signed.groupBy("signatures").agg(F.min(key).alias(key))
+    banded = template_bands(heads, key)
+    first = banded.groupBy("band", "signature").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    links = banded.join(first, ["band", "signature"]).select(F.col(key).alias("a"), F.col("_first").alias("b"))
     parts = connected_components(links)
-    return (df.select(key).join(parts.withColumnRenamed("node", key), key, "left")
-            .select(key, F.coalesce("component", key).alias("template")))
+    named = heads.join(parts.withColumnRenamed("node", key), key, "left").select("signatures", F.coalesce("component", key).alias("template"))
+    return signed.join(named, "signatures").select(key, "template")
 
 
 # ---- grouped folds ----------------------------------------------------------
@@ -233,7 +237,7 @@ def fold_schedule(histogram: list[tuple[int, int]], k: int) -> list[tuple[int, i
     return pieces
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5, out: str = "fold", hash_bits: int = 12) -> DataFrame:
+def group_folds(df: DataFrame, group: str, k: int = 5, out: str = "fold", hash_bits: int | None = None) -> DataFrame:
     """Rows of a group share a fold; folds balanced by row count.
 
     Only the size histogram (at most sqrt(2 * rows) entries) reaches the driver.
@@ -242,7 +246,8 @@ def group_folds(df: DataFrame, group: str, k: int = 5, out: str = "fold", hash_b
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     histogram = [(r[0], r[1]) for r in sizes.groupBy("_size").count().collect()]
     plan = spark.createDataFrame(fold_schedule(histogram, k), "_size bigint, _first bigint, _last bigint, _cycle array<int>")
-    numbered = with_hash_ordinal(sizes.withColumn("_h", S.hash_bits(group)), "_h", [group], "_o", hash_bits, ["_size"])
+    bits = hash_bits or bucket_bits(sum(c for _, c in histogram))
+    numbered = with_hash_ordinal(sizes.withColumn("_h", S.hash_bits(group)), "_h", [group], "_o", bits, ["_size"])
     if len(histogram) * k <= 100_000:  # checked size
         plan = F.broadcast(plan)
     at = (F.col("_o") >= F.col("_first")) & (F.col("_o") < F.col("_last"))

@@ -58,12 +58,17 @@ def with_previous(df: DataFrame, keys: list[str], order: list[Column], value: st
     return numbered.join(ahead, [*keys, "_ord"], "left").drop("_ord")
 
 
+def bucket_bits(rows: int, per_bucket: int = 100_000) -> int:
+    """Leading hash bits that keep buckets near `per_bucket` rows."""
+    return max(4, min(22, (max(1, rows) // per_bucket).bit_length() + 1))
+
+
 def with_hash_ordinal(df: DataFrame, hash_col: str, tie: list[str], out: str = "ordinal", bits: int = 12,
                       keys: list[str] = ()) -> DataFrame:
     """0-based ordinal in the order of a 32-bit hash (ties by `tie`).
 
     Hash bits are uniform, so their leading bits cut the table into even buckets
-    without a look at the data; raise `bits` with the row count.
+    without a look at the data; `bucket_bits` gives `bits` for a row count.
     """
     keys = list(keys)
     cut = df.withColumn("_b", F.shiftright(F.col(hash_col), 32 - bits))

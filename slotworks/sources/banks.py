@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.checks import require_clean, rule_table
+
 BANK = T.StructType([
     T.StructField("study_id", T.StringType()), T.StructField("slot", T.IntegerType()), T.StructField("k", T.IntegerType()),
     T.StructField("position", T.FloatType()), T.StructField("series_id", T.StringType()), T.StructField("shard", T.IntegerType()),
@@ -29,6 +31,11 @@ def write_bank(df: DataFrame, path: str, mode: str = "errorifexists", file_rows:
     cast.write.mode(mode).option("maxRecordsPerFile", file_rows).option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
+def expect_small_groups(df: DataFrame, key: str, most: int) -> None:
+    """Refuse before any group larger than its contract could meet in one task."""
+    require_clean(rule_table(df.groupBy(key).count(), key, {f"more_than_{most}_rows": F.col("count") > most}))
+
+
 # ---- NPZ banks ---------------------------------------------------------------
 
 NPZ_KEYS = {"features", "mask", "positions", "study", "identity", "selected_series"}
@@ -88,6 +95,7 @@ def export_npz_bank(bank: DataFrame, folder: str, slots: int = 6, k: int = 4) ->
         os.replace(temporary, path)
         return pd.DataFrame({"path": [path], "study_id": [key[0]], "shard": [int(pdf["shard"].min())], "bytes": [len(buffer.getvalue())]})
 
+    expect_small_groups(bank, "study_id", slots * k)
     return bank.groupBy("study_id").applyInPandas(save, "path string, study_id string, shard int, bytes bigint")
 
 
@@ -156,6 +164,7 @@ def write_npy_series(slices: DataFrame, folder: str, side: int, max_slices: int
         os.replace(temporary, path)
         return pd.DataFrame({"series_id": [key[0]], "archive": [None], "member": [path], "n": [len(pdf)]})
 
+    expect_small_groups(slices, "series_id", max_slices)
     return slices.groupBy("series_id").applyInPandas(save, "series_id string, archive string, member string, n int")
 
 

@@ -174,7 +174,7 @@ def test_templates_match_all_pairs_over_bands(spark):
     texts = [base, base + " again", base.upper(), "a fully different report about nothing of the kind at all here", "", "x", "x", base.replace("small", "large")]
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     bands = {}
-    for r in L.template_bands(df, "id", "text").collect():
+    for r in L.template_bands(L.template_signatures(df, "id", "text"), "id").collect():
         bands.setdefault((r.band, r.signature), set()).add(r.id)
     label = list(range(len(texts)))
     for _ in texts:
@@ -307,6 +307,22 @@ def test_digests(spark):
     assert A.table_digest(df, "id", "n", "sha").first().digest == hashlib.sha256(b"a\t1\tx\na10\t3\tz\nb\t2\ty\n").hexdigest()
     two = A.ids_digest(df.repartition(3), "id", scheme="bucketed").first()
     assert two.n == 3 and two.digest == A.ids_digest(df, "id", scheme="bucketed").first().digest
+    deep = A.lines_digest(df, "id", ["id"], "bucketed", leaf_rows=0.0001).first().digest
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    tree = lambda lines, level: sha("\n".join(sorted(lines))) if level == 0 else None
+    leaves = sorted((sha(i)[:6], sha(i)) for i in ("a", "b", "a10"))
+    mid = {}
+    for p, d in leaves:
+        mid.setdefault(p[:3], []).append(f"{p}\t{d}")
+    assert deep == sha("\n".join(sorted(f"{p}\t{tree(v, 0)}" for p, v in mid.items())))
+    twice = A.lines_digest(df.unionByName(df), "id", ["id"], "bucketed").first()
+    assert twice.n == 6 and twice.digest != two.digest
+    with pytest.raises(ValueError):
+        A.DIGEST_ROWS, kept = 2, A.DIGEST_ROWS
+        try:
+            A.ids_digest(df, "id", scheme="sorted")
+        finally:
+            A.DIGEST_ROWS = kept
     conf = spark.createDataFrame([({"b": "1", "a": "2"},)], "c map<string,string>")
     assert A.config_identity(conf, "c").first().identity == hashlib.sha256(b'{"a":"2","b":"1"}').hexdigest()
 
