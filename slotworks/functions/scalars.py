@@ -71,6 +71,12 @@ def is_close(a, b, rtol: float, atol: float, symmetric: bool = True) -> Column:
     return F.abs(a - b) <= bound
 
 
+def utc_micros(ts) -> Column:
+    """Microseconds since 1970 of a zoneless timestamp read as UTC, whatever the
+    session time zone is."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col(ts).cast("timestamp_ntz"))
+
+
 # ---- vectors ---------------------------------------------------------------
 
 def dot(a, b) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import pin
 from .ordering import running_totals, with_average_rank, with_row_number
 
 
@@ -49,8 +50,9 @@ def bootstrap_draws(ids: DataFrame, key: str, repeats: int, seed: int) -> DataFr
     Draw j of repeat rep is a hash of (seed, rep, j) modulo n, the same for every
     model and label.
     """
-    numbered = with_row_number(ids.select(key).distinct(), [], [F.col(key).asc()], "_ord")
-    n = ids.select(key).distinct().count()
+    distinct = pin(ids.select(key).distinct())  # one column, read three times
+    numbered = with_row_number(distinct, [], [F.col(key).asc()], "_ord")
+    n = distinct.count()
     draws = ids.sparkSession.range(repeats * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("j"))
     drawn = draws.select("rep", (F.pmod(S.hash_bits(F.lit(seed), "rep", "j"), F.lit(n)) + 1).alias("_ord"))
     counts = drawn.groupBy("rep", "_ord").agg(F.count(F.lit(1)).alias("w"))

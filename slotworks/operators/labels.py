@@ -243,7 +243,8 @@ def group_folds(df: DataFrame, group: str, k: int = 5, out: str = "fold", hash_b
     Only the size histogram (at most sqrt(2 * rows) entries) reaches the driver.
     """
     spark = df.sparkSession
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    # read four times below; the group table is far smaller than what made the key
+    sizes = pin(df.groupBy(group).agg(F.count(F.lit(1)).alias("_size")))
     histogram = [(r[0], r[1]) for r in sizes.groupBy("_size").count().collect()]
     plan = spark.createDataFrame(fold_schedule(histogram, k), "_size bigint, _first bigint, _last bigint, _cycle array<int>")
     bits = hash_bits or bucket_bits(sum(c for _, c in histogram))

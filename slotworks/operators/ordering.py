@@ -24,12 +24,17 @@ HOT_ROWS = 2_000_000
 
 
 def with_row_number(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn",
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """1-based position of each row inside its group under a total order."""
+                    hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """1-based position of each row inside its group under a total order.
+
+    hot_rows=None is the caller's word that groups are small: no size check.
+    """
+    window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+    if hot_rows is None:
+        return df.withColumn(out, F.row_number().over(window).cast("bigint"))
     sizes = df.groupBy(*keys).count() if keys else df.groupBy().count()
     largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
     if (largest or 0) <= hot_rows:
-        window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
         return df.withColumn(out, F.row_number().over(window).cast("bigint"))
 
     parts = max(8, 2 * -(-total // hot_rows))

@@ -188,7 +188,7 @@ def t01(t):
     bank = R.bank(t).select("study_id", "slot", "k", "identity")
     done = bank.select("study_id", "identity").distinct().filter(F.col("study_id").cast("bigint") % 3 != 1)
     out, mark = scratch_path(t.spark, "extract"), scratch_path(t.spark, "extract-mark")
-    q = T.incremental_extract(streamed(t, bank, "arrivals"), lambda _: done, lambda df: df,
+    q = T.incremental_extract(streamed(t, bank, "arrivals"), lambda *_: done, lambda df: df,
                               lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}"), R.IDENTITY, mark)
     q.awaitTermination()
     return t.spark.read.schema(bank.schema).parquet(out).select(*bank.columns)

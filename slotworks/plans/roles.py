@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import audit, labels, ordering, selection
+from ..session import spread
 from .registry import Tables
 
 LABELS = ["quality", "toxic", "english"]
@@ -60,7 +61,8 @@ def truth(t: Tables) -> DataFrame:
 
 
 def sources(t: Tables) -> DataFrame:
-    rows = t.documents.select(text("doc_id").alias("study_id"), fan(SOURCES, "source")).select("*", fan(LABELS, "label"))
+    docs = spread(t.documents.select("doc_id"), "doc_id")
+    rows = docs.select(text("doc_id").alias("study_id"), fan(SOURCES, "source")).select("*", fan(LABELS, "label"))
     p = F.round(S.hash_uniform("source", "label", "study_id"), 4)
     silent = S.hash_uniform(F.lit("null"), "source", "label", "study_id") < 0.15
     return rows.select("source", "study_id", "label", F.when(~silent, p).alias("p"))
@@ -144,7 +146,7 @@ def pixels(t: Tables) -> DataFrame:
 
 def receipts(t: Tables) -> DataFrame:
     rows = t.events.select(F.col("event_id").alias("step"), text("user_id").alias("job"), "ts", F.get_json_object("props", "$.k").cast("bigint").alias("images"),
-                           F.floor(F.col("value") * 1000000).alias("bytes"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("user_id") % 7).alias("shard"))
+                           F.floor(F.col("value") * 1000000).alias("bytes"), S.utc_micros("ts").alias("us"), (F.col("user_id") % 7).alias("shard"))
     gap = ordering.with_previous(rows, ["job"], [F.col("ts").asc(), F.col("step").asc()], "us", "_before")
     seconds = F.coalesce(F.col("us") - F.col("_before"), F.lit(0)) / S.dbl(1000000)
     return gap.select("step", "job", "ts", "images", "bytes", seconds.alias("seconds"), "shard")

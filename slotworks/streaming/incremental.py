@@ -9,28 +9,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import scalars as S
 from ..operators.bank import expect_same_identity, pending_ids
 from ..operators.checks import require_clean
 
 
-def incremental_extract(arrivals: DataFrame, done: Callable[[SparkSession], DataFrame | None], encode: Callable[[DataFrame], DataFrame],
-                        sink: Callable[[DataFrame, int], None], identity: str, checkpoint: str):
-    """Encode studies as they arrive; finished ones are skipped, another identity fails.
+Done = Callable[[SparkSession, int], DataFrame | None]
+Sink = Callable[[DataFrame, int], None]
+
 
-    arrivals is a stream with study_id, done(spark) gives the finished rows
-    (study_id, identity) or None, sink(rows, batch_id) must be idempotent per
-    batch id (e.g. overwrite a batch folder), because a batch may be replayed.
-    Returns the started query; it stops when the available input is used up.
+def extract_batch(batch: DataFrame, batch_id: int, done: Done, encode: Callable[[DataFrame], DataFrame], sink: Sink, identity: str) -> None:
+    """Encode the studies of one batch that no other batch has finished.
+
+    A batch may be replayed after a crash. `done` must therefore leave out the
+    rows that this batch id wrote itself, and `sink` must replace them: then a
+    replay repeats the same work instead of overwriting it with nothing.
     """
-    def each(batch: DataFrame, batch_id: int) -> None:
-        finished = done(batch.sparkSession)
-        todo = batch
-        if finished is not None:
-            require_clean(expect_same_identity(finished, identity))
-            todo = batch.join(pending_ids(batch, finished, identity), "study_id", "left_semi")
-        sink(encode(todo), batch_id)
+    finished = done(batch.sparkSession, batch_id)
+    todo = batch
+    if finished is not None:
+        require_clean(expect_same_identity(finished, identity))
+        todo = batch.join(pending_ids(batch, finished, identity), "study_id", "left_semi")
+    sink(encode(todo), batch_id)
+
 
-    return (arrivals.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def incremental_extract(arrivals: DataFrame, done: Done, encode: Callable[[DataFrame], DataFrame], sink: Sink, identity: str, checkpoint: str):
+    """Encode studies as they arrive; finished ones are skipped, another identity fails.
+
+    arrivals is a stream with study_id, done(spark, batch_id) gives the rows
+    (study_id, identity) finished by other batches or None, sink(rows, batch_id)
+    replaces the output of a batch id. Returns the started query; it stops when
+    the available input is used up.
+    """
+    each = lambda batch, batch_id: extract_batch(batch, batch_id, done, encode, sink, identity)
+    return arrivals.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 MERGE_OUT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("study_id", T.StringType()),
@@ -69,11 +81,13 @@ def streaming_merge(arrivals: DataFrame) -> DataFrame:
 
 
 def progress_rates(receipts: DataFrame, ts: str = "ts", window: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Images, seconds and images/s per window. Works on a batch or a stream.
+    """Images, seconds and images/s per window. Works on a batch or a stream; a
+    zoneless event time counts as UTC (watermarks need a zoned type).
 
     Sums combine map-side before the shuffle, so a busy window is no hot task.
     """
-    timed = receipts.withColumn(ts, F.col(ts).cast("timestamp"))
+    zoneless = receipts.schema[ts].dataType.typeName() == "timestamp_ntz"
+    timed = receipts.withColumn(ts, F.timestamp_micros(S.utc_micros(ts))) if zoneless else receipts
     if receipts.isStreaming:
         timed = timed.withWatermark(ts, late)
     out = timed.groupBy(F.window(ts, window).alias("w")).agg(

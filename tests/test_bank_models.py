@@ -262,29 +262,26 @@ def test_schema_contract(spark):
 
 # ---- streams ------------------------------------------------------------------------------
 
-def test_incremental_extract_resumes(spark, folder):
-    schema = "study_id string, v int"
-    put = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    done = lambda s: s.read.schema("study_id string, v int, identity string").parquet(f"{folder}/out").select("study_id", "identity") if os.path.exists(f"{folder}/out") else None
+def test_incremental_extract_resumes_and_replays(spark, folder):
+    schema, full, out = "study_id string, v int", "study_id string, v int, identity string, batch bigint", f"{folder}/out"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    written = lambda s: s.read.schema(full).parquet(out)
+    done = lambda s, batch: written(s).filter(F.col("batch") != batch).select("study_id", "identity") if os.path.exists(out) else None
     encode = lambda df: df.withColumn("identity", F.lit("id1"))
-    sink = lambda df, batch: df.write.mode("overwrite").parquet(f"{folder}/out/run={runs[0]}-{batch}")
-
-    def run():
-        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        I.incremental_extract(stream, done, encode, sink, "id1", f"{folder}/mark").awaitTermination()
-
-    runs = [0]
-    put("a", [("a", 1), ("b", 2)])
-    run()
-    runs[0] = 1
-    put("b", [("b", 99), ("c", 3)])
-    run()
-    got = {(r.study_id, r.v) for r in spark.read.schema("study_id string, v int, identity string").parquet(f"{folder}/out").collect()}
-    assert got == {("a", 1), ("b", 2), ("c", 3)}
+    sink = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    run = lambda identity: I.incremental_extract(spark.readStream.schema(schema).parquet(f"{folder}/in"), done, encode, sink, identity, f"{folder}/mark").awaitTermination()
+    rows = lambda: {(r.study_id, r.v) for r in written(spark).collect()}
+
+    put([("a", 1), ("b", 2)])
+    run("id1")
+    put([("b", 99), ("c", 3)])
+    run("id1")
+    assert rows() == {("a", 1), ("b", 2), ("c", 3)}
+    I.extract_batch(spark.createDataFrame([("b", 99), ("c", 3)], schema), 1, done, encode, sink, "id1")  # a replay
+    assert rows() == {("a", 1), ("b", 2), ("c", 3)}
+    put([("d", 4)])
     with pytest.raises(Exception, match="other_identity"):
-        put("d", [("d", 4)])
-        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        I.incremental_extract(stream, done, encode, sink, "id2", f"{folder}/mark").awaitTermination()
+        run("id2")
 
 
 def test_streaming_merge_across_batches(spark, folder):
