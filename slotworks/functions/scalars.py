@@ -51,6 +51,12 @@ def hash_bits(*keys) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_index(n, *keys) -> Column:
+    """Pseudo-random index in [0, n) from 60 hash bits, for any realistic n."""
+    text = F.concat_ws(":", *[col(k).cast("string") for k in keys])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"), F.lit(n) if isinstance(n, int) else col(n))
+
+
 def hash_uniform(*keys) -> Column:
     """Deterministic uniform in [0, 1); used wherever a random draw is needed.
 

@@ -54,7 +54,7 @@ def bootstrap_draws(ids: DataFrame, key: str, repeats: int, seed: int) -> DataFr
     numbered = with_row_number(distinct, [], [F.col(key).asc()], "_ord")
     n = distinct.count()
     draws = ids.sparkSession.range(repeats * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("j"))
-    drawn = draws.select("rep", (F.pmod(S.hash_bits(F.lit(seed), "rep", "j"), F.lit(n)) + 1).alias("_ord"))
+    drawn = draws.select("rep", (S.hash_index(n, F.lit(seed), "rep", "j") + 1).alias("_ord"))
     counts = drawn.groupBy("rep", "_ord").agg(F.count(F.lit(1)).alias("w"))
     return counts.join(numbered, "_ord").select("rep", key, "w")
 

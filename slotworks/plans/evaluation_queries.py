@@ -11,7 +11,7 @@ from ..session import spread
 from . import roles as R
 from .label_queries import auc_sql
 from .registry import query
-from .role_sql import bits, r6
+from .role_sql import bits60, r6
 
 PRED_ROWS = "SELECT model, label, study_id, score, y, 1 AS w FROM fx_predictions"
 BOTH = "(SELECT a.study_id, a.label, a.y, a.score AS a, b.score AS b FROM fx_predictions a JOIN fx_predictions b ON b.study_id = a.study_id AND b.label = a.label AND a.model = 'a' AND b.model = 'b')"
@@ -58,7 +58,7 @@ def a06(t):
 
 REPEATS, SEED = 20, 20261007
 BOOT_ROWS = f"""SELECT d.rep, p.model, p.label, p.score, p.y, d.w FROM (
-    SELECT rep, id AS study_id, count(*) AS w FROM (SELECT r AS rep, {bits(f"'{SEED}:' || CAST(r AS VARCHAR) || ':' || CAST(j AS VARCHAR)")} % n + 1 AS o
+    SELECT rep, id AS study_id, count(*) AS w FROM (SELECT r AS rep, {bits60(f"'{SEED}:' || CAST(r AS VARCHAR) || ':' || CAST(j AS VARCHAR)")} % n + 1 AS o
       FROM (SELECT count(*) AS n FROM (SELECT DISTINCT study_id FROM fx_truth)), (SELECT unnest(range({REPEATS})) AS r), (SELECT row_number() OVER () - 1 AS j FROM (SELECT DISTINCT study_id FROM fx_truth))) dr
     JOIN (SELECT study_id AS id, row_number() OVER (ORDER BY study_id) AS o FROM (SELECT DISTINCT study_id FROM fx_truth)) ids ON ids.o = dr.o GROUP BY rep, id) d
     JOIN fx_predictions p ON p.study_id = d.study_id"""
