@@ -72,3 +72,14 @@ def bloom_has(key: Column, words: np.ndarray) -> Column:
         return F.getbit(F.get(table, F.shiftright(spot, 6).cast("int")), spot.bitwiseAND(63).cast("int")) == 1
 
     return hit(F.pmod(h, F.lit(bits))) & hit(F.pmod(F.shiftright(h, 32), F.lit(bits)))
+
+
+def bloom_test(hashes, words: np.ndarray) -> np.ndarray:
+    """The same inside an Arrow task, over a column that holds xxhash64 of the key."""
+    h = hashes.to_numpy(zero_copy_only=False)
+    bits, table = len(words) * 64, words.view(np.uint64)
+
+    def hit(spot):
+        return (table[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    return hit(h % bits) & hit((h >> 32) % bits)

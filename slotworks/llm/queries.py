@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_rules
+from . import byte_bpe, near_dup, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,25 @@ def op9(spark: SparkSession, root: str) -> DataFrame:
     """Rule statistics and verdict of every document."""
     found = quality_rules.judge(table(spark, root, "documents"), table(spark, root, "labels"))
     return found.select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "anomaly")
+
+
+_SHINGLES = """
+  words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+  sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id)"""
+
+
+@query("op8_minhash_near_dup", f"""
+WITH RECURSIVE {_SHINGLES},
+  shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+  reach AS (SELECT doc_id AS node, doc_id AS far FROM documents UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.far),
+  lowest AS (SELECT node, min(far) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN lowest ON node = d.doc_id
+""")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_dup.near_duplicates(table(spark, root, "documents"))
