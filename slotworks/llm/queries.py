@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, near_dup, quality_rules
+from . import byte_bpe, near_dup, quality_rules, substring_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,19 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN lowest ON node = d.doc_id
 def op8(spark: SparkSession, root: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dup.near_duplicates(table(spark, root, "documents"))
+
+
+@query("op7_substring_dedup", """
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  windows AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM words)),
+  least AS (SELECT h, min(doc_id) AS lo FROM windows GROUP BY h),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM windows JOIN least USING (h) WHERE lo < doc_id),
+  lists AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, []), i)), ' ')) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id)
+""")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    """Repeated 50-word passages cut from all documents."""
+    cut = substring_dup.cut_repeats(table(spark, root, "documents").select("doc_id", "text"), layout="words")
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
