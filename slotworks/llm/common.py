@@ -47,13 +47,14 @@ def with_global_rank(df: DataFrame, order: list[str], out: str = "rank") -> tupl
     return laid.withColumn(out, base + row).drop("_at"), total
 
 
-def bloom_words(keys: DataFrame, key: str, bits: int = 1 << 23) -> np.ndarray:
-    """Bloom filter of a long column as 64-bit words, two bits per key.
+def bloom_words(keys: DataFrame, key: str, bits: int = 1 << 23, hashed: bool = True) -> np.ndarray:
+    """Bloom filter of a column as 64-bit words, two bits per key.
 
     `bits` is fixed, so the filter is 1 MB whatever the number of keys; a filter that fills up
-    only lets more rows through to the exact join behind it.
+    only lets more rows through to the exact join behind it. A column that is a hash already is
+    taken as it is (hashed=False).
     """
-    h = F.xxhash64(key)
+    h = F.xxhash64(key) if hashed else F.col(key)
     spots = F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits))))
     rows = (keys.select(spots.alias("b")).groupBy(F.shiftright("b", 6).alias("w"))
             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b").bitwiseAND(63).cast("int"))).alias("v")).toArrow())
@@ -62,21 +63,8 @@ def bloom_words(keys: DataFrame, key: str, bits: int = 1 << 23) -> np.ndarray:
     return out
 
 
-def bloom_has(key: Column, words: np.ndarray) -> Column:
-    """Whether a long column may be among the keys of `bloom_words`; false only for absent keys."""
-    bits = len(words) * 64
-    table = F.from_json(F.lit("[" + ",".join(map(str, words.tolist())) + "]"), "array<bigint>")
-    h = F.xxhash64(key)
-
-    def hit(spot: Column) -> Column:
-        return F.getbit(F.get(table, F.shiftright(spot, 6).cast("int")), spot.bitwiseAND(63).cast("int")) == 1
-
-    return hit(F.pmod(h, F.lit(bits))) & hit(F.pmod(F.shiftright(h, 32), F.lit(bits)))
-
-
-def bloom_test(hashes, words: np.ndarray) -> np.ndarray:
-    """The same inside an Arrow task, over a column that holds xxhash64 of the key."""
-    h = hashes.to_numpy(zero_copy_only=False)
+def bloom_hit(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether hashes (xxhash64 of the key, or the key itself) may be in the filter; false only for absent keys."""
     bits, table = len(words) * 64, words.view(np.uint64)
 
     def hit(spot):

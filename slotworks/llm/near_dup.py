@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.labels import connected_components
-from .common import bloom_test, bloom_words, pin
+from .common import bloom_hit, bloom_words, pin
 from .words import Words, slices, window_hashes
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 50, 5, 75
@@ -126,7 +126,7 @@ def full_sets(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for part in slices(batches, "text"):
-            part = part.filter(pa.array(bloom_test(part.column("_h"), found)))
+            part = part.filter(pa.array(bloom_hit(part.column("_h").to_numpy(), found)))
             if part.num_rows:
                 sets = shingle_sets(part.column("text"))
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])

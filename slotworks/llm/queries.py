@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, near_dup, quality_rules, substring_dup
+from . import byte_bpe, decontaminate, near_dup, quality_rules, substring_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,9 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
     """Repeated 50-word passages cut from all documents."""
     cut = substring_dup.cut_repeats(table(spark, root, "documents").select("doc_id", "text"), layout="words")
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op4_template_decontamination")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that leak a benchmark item, verbatim or with other values: one row per document and item."""
+    return decontaminate.leaks(table(spark, root, "documents"), table(spark, root, "benchmark"))
