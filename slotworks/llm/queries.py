@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, near_dup, quality_rules, substring_dup
+from . import byte_bpe, compression_quality, decontaminate, near_dup, quality_rules, substring_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,12 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
 def op4(spark: SparkSession, root: str) -> DataFrame:
     """Documents that leak a benchmark item, verbatim or with other values: one row per document and item."""
     return decontaminate.leaks(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+@query("op10_compression_quality")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    """Quality score of every document; learned where crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, root, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    scored = compression_quality.score(docs, compression_quality.fit(docs, table(spark, root, "labels"), ~held))
+    return scored.select("doc_id", F.coalesce(held, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
