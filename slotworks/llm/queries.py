@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compression_quality, decontaminate, near_dup, quality_rules, substring_dup
+from . import byte_bpe, compression_quality, decontaminate, hilbert_shards, licenses, near_dup, quality_rules, substring_dup, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,93 @@ def op10(spark: SparkSession, root: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     scored = compression_quality.score(docs, compression_quality.fit(docs, table(spark, root, "labels"), ~held))
     return scored.select("doc_id", F.coalesce(held, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def _in_sql(text: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NORMAL = "list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z]+'), lambda w: w <> '')"
+_PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+
+@query("op1_license_scan", f"""
+WITH templates AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_in_sql(n)}, {_in_sql(t)})" for i, (n, t) in enumerate(licenses.TEMPLATES))}) v(template, license, text)),
+  grams AS (SELECT template, license, len(b) AS size, unnest(b) AS bigram FROM (SELECT template, license, {_PAIRS} AS b FROM (SELECT *, {_NORMAL.format("text")} AS w FROM templates))),
+  lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+  units AS (SELECT doc_id, unnest(range(len(u))) AS u, unnest(u) AS t FROM (SELECT doc_id, CASE WHEN len(l) > 1 THEN list_append(l, text) ELSE l END AS u FROM lines)),
+  unit_grams AS (SELECT doc_id, u, len(b) AS n, unnest(b) AS bigram FROM (SELECT doc_id, u, {_PAIRS} AS b FROM (SELECT *, {_NORMAL.format("t")} AS w FROM units))),
+  met AS (SELECT doc_id, u, n, template, license, size, count(*) AS shared FROM unit_grams JOIN grams USING (bigram) GROUP BY ALL),
+  hit AS (SELECT doc_id, u, license, max(2 * shared / (n + size)) AS d FROM met WHERE 200 * shared >= {licenses.PERCENT} * (n + size) GROUP BY ALL)
+SELECT doc_id, license, count(*) AS n_units, round(max(d), 6) AS best_dice FROM hit GROUP BY ALL
+""")
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    """Licences named or printed in each document."""
+    return licenses.scan(table(spark, root, "documents"))
+
+
+#: Dimensions of the document shards, and bits of each.
+SHARD_DIMENSIONS, SHARD_BITS = ["lang", "source", "n_chars"], 5
+_CRC = [0] * 256
+for _i in range(256):
+    _c = _i
+    for _ in range(8):
+        _c = (_c >> 1) ^ (0xEDB88320 if _c & 1 else 0)
+    _CRC[_i] = _c
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, in DuckDB."""
+    data = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::BIGINT, 2))::UBIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {data}), lambda c, b: xor(c >> 8, crc_t[xor(c & 255::UBIGINT, b)::BIGINT + 1])), "
+            "4294967295::UBIGINT)::BIGINT")
+
+
+def _curve_sql() -> str:
+    """Levels of the curve as nested selects: state and index, one bit of every dimension after the other."""
+    n, out = len(SHARD_DIMENSIONS), "SELECT *, 0 AS state, 0::BIGINT AS curve FROM coded"
+    for bit in reversed(range(SHARD_BITS)):
+        cell = " + ".join(f"(((code_{d} >> {bit}) & 1) << {n - 1 - k})" for k, d in enumerate(SHARD_DIMENSIONS))
+        out = f"SELECT * REPLACE (f // {1 << n} AS state, curve * {1 << n} + f % {1 << n} AS curve) FROM (SELECT * EXCLUDE (f), steps_t[state * {1 << n} + {cell} + 1] AS f FROM (SELECT *, 0 AS f FROM ({out})))"
+        out = f"SELECT * EXCLUDE (f) FROM ({out})"
+    return out
+
+
+@query("op2_hilbert_shards", f"""
+WITH crc AS (SELECT {[c for c in _CRC]}::UBIGINT[] AS crc_t), steps AS (SELECT {hilbert_shards.curve_table(3)}::BIGINT[] AS steps_t),
+  coded AS (SELECT doc_id, text, crc_t, steps_t, coalesce({_crc_sql("lang")} % 32, 0) AS code_lang, coalesce({_crc_sql("source")} % 32, 0) AS code_source,
+              CASE WHEN n_chars > 0 THEN least(length(bin(n_chars)), 31) ELSE 0 END::BIGINT AS code_n_chars FROM documents, crc, steps),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY curve, doc_id NULLS FIRST) - 1 AS r, count(*) OVER () AS total FROM ({_curve_sql()}))
+SELECT doc_id, (coalesce(octet_length(encode(text)), 0) + 16)::BIGINT AS size, coalesce({_crc_sql("text")}, 0) AS text_crc32, 'rows' AS law,
+  (r * 40 // total)::INT AS shard, (r - ((r * 40 // total) * total + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard, curve, code_lang, code_source, code_n_chars
+FROM ranked
+""")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    """All documents in 40 shards along a Hilbert curve over language, source and length."""
+    return hilbert_shards.assign(table(spark, root, "documents"), 40, SHARD_DIMENSIONS, bits=SHARD_BITS)
+
+
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+#: First labels of the domains on the block list.
+BLOCKED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+@query("op6_url_cascade", f"""
+WITH split AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+  rules AS (SELECT *, split_part(key, '/', 1) AS domain, substr(key, strpos(key, '/')) AS prefix
+            FROM (VALUES {", ".join(f"({_in_sql(k)}, {_in_sql(a)})" for k, a in RULES)}) v(key, action)),
+  fits AS (SELECT page_id, arg_max(key, (length(key), key)) AS rule, arg_max(action, (length(key), key)) AS action FROM parts JOIN rules
+           ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN len(list_intersect(string_split(host, '.'), {BLOCKED_NAMES})) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN fits USING (page_id)
+""")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    """Verdict on every page's url: the four rules, then the block list of all domains of the corpus that begin with a blocked name."""
+    pages = table(spark, root, "pages")
+    rules = spark.createDataFrame(RULES, "key string, action string")
+    domains = url_cascade.with_host_path(pages).select(F.explode(url_cascade.page_keys([0])).alias("key")).distinct()
+    listed = domains.filter(F.substring_index("key", ".", 1).isin(BLOCKED_NAMES))
+    return url_cascade.judge(pages, rules, listed)
