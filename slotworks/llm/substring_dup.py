@@ -7,11 +7,15 @@
 2. Extension. The windows around marked anchors are hashed in full, with 128 bits, and each
    hash gets its smallest key. A window is cut where that key is smaller than its own.
 
+Whole copies: a text equal to one under a smaller key is cut whole and takes no part in the
+search, which its smallest key stands for.
+
 Hot passages: a task first settles what repeats within its slice of the input. Of one hash it
 sends one anchor, and the windows of the smallest key only; all others are known to be shared
 or cut already. So a hash reaches the shuffle once per slice, not once per document.
 
-The texts are shuffled by key once; the windows and the final cut read the same exchange.
+The texts are shuffled by key once; anchors, windows and the final cut read the same exchange,
+which is why each join below keeps all columns and all rows of that side.
 
 Edge cases: a null text has no words and stays null; texts below one window, and rows with a null
 key, lose nothing; equal windows within one document are no copies. A key names one text: rows
@@ -74,7 +78,7 @@ def _rows(names: list[str], keys: pa.Array, hashes: list[np.ndarray], doc: np.nd
 
 def _anchors(batches):
     long = WIDTH - PERIOD + 1
-    for part in slices(batches, "text", SLICE):
+    for part in slices((b.filter(pc.and_(b.column("key").is_valid(), b.column("copy").is_null())) for b in batches), "text", SLICE):
         words, keys = Words(part.column("text")), part.column("key")
         starts = words.window_starts(long)
         doc = words.owner[starts]
@@ -91,7 +95,7 @@ def _anchors(batches):
 
 
 def _windows(batches):
-    for part in slices(batches, "text", SLICE):
+    for part in slices((b.filter(b.column("spots").is_valid()) for b in batches), "text", SLICE):
         words, keys = Words(part.column("text")), part.column("key")
         step = np.zeros(len(words.owner) + 1, np.int64)
         for i, spots in enumerate(part.column("spots").to_pylist()):  # a window that holds an anchor starts at most v - 1 words before it
@@ -115,25 +119,33 @@ def _per_document(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.collect_list("spots").alias("spots"))
 
 
-def repeated_starts(texts: DataFrame) -> DataFrame:
-    """(key, spots) from (key, text): where the windows to be cut start, in words; documents that lose nothing are absent."""
+def whole_copies(texts: DataFrame) -> DataFrame:
+    """(key, copy): keys whose text, as a whole, also stands under a smaller key."""
+    printed = texts.filter("key IS NOT NULL AND text IS NOT NULL").select("key", F.unhex(F.md5("text")).alias("print"))
+    least = printed.groupBy("print").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most")
+    return printed.join(least, "print").filter("key > least").select("key", F.lit(True).alias("copy")).distinct()
+
+
+def repeated_starts(texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """(key, spots) from (key, text, ..): where the windows to be cut start, in words; without `copies` and documents that lose nothing."""
     kind = texts.schema["key"].dataType.simpleString()
-    anchors = texts.select("key", "text").filter("key IS NOT NULL").mapInArrow(_anchors, f"h bigint, key {kind}, spots binary")
+    anchors = texts.join(copies, "key", "left").mapInArrow(_anchors, f"h bigint, key {kind}, spots binary")
     # rows of known positions have no hash; a salt of their own keeps them from meeting in one task
     salt = F.xxhash64("key", "spots")
     of = Window.partitionBy(F.coalesce("h", salt), F.col("h").isNull())
     shared = anchors.withColumns({"_lo": F.min("key").over(of), "_hi": F.max("key").over(of)}).filter("h IS NULL OR _lo != _hi")
-    near = texts.join(_per_document(shared), "key").select("key", "text", "spots")
-    windows = near.mapInArrow(_windows, f"h1 bigint, h2 bigint, key {kind}, spots binary")
+    windows = texts.join(_per_document(shared), "key", "left").mapInArrow(_windows, f"h1 bigint, h2 bigint, key {kind}, spots binary")
     of = Window.partitionBy(F.coalesce("h1", salt), F.coalesce("h2", F.lit(0)), F.col("h1").isNull())
     return _per_document(windows.withColumn("_lo", F.min("key").over(of)).filter("h1 IS NULL OR _lo != key"))
 
 
-def _mask(words: Words, spots: list) -> np.ndarray:
+def _mask(words: Words, spots: list, copies: list) -> np.ndarray:
     """Which of the flat words are covered by a window to be cut."""
     starts = [np.zeros(0, np.int64)]
-    for i, found in enumerate(spots):
-        if found:
+    for i, (found, copy) in enumerate(zip(spots, copies)):
+        if copy:
+            starts.append(np.arange(words.start[i], words.start[i + 1] - WIDTH + 1))
+        elif found:
             at = np.frombuffer(b"".join(found), np.int32).astype(np.int64)
             starts.append(words.start[i] + at[at + WIDTH <= words.n[i]])
     return covered(len(words.owner), np.concatenate(starts), WIDTH)
@@ -164,7 +176,7 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", layout:
     def run(batches):
         for part in slices(batches, "text", SLICE):
             texts, words = part.column("text").to_pylist(), Words(part.column("text"))
-            gone = _mask(words, part.column("spots").to_pylist())
+            gone = _mask(words, part.column("spots").to_pylist(), part.column("copy").to_pylist())
             lost = np.bincount(words.owner[gone], minlength=len(texts))
             for i, t in enumerate(texts):
                 if t is not None and layout == "words":
@@ -178,6 +190,8 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", layout:
                                              ["key", "text", "rest", "n_words", "n_removed"])
 
     schema = T.StructType([*kind.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    out = laid.join(repeated_starts(laid), "key", "left").mapInArrow(run, schema)
+    copies = whole_copies(laid)
+    judged = laid.join(repeated_starts(laid, copies), "key", "left").join(copies, "key", "left")
+    out = judged.mapInArrow(run, schema)
     columns = {key: F.col("key"), text: F.col("text"), **{c: F.col("rest").getField(c) for c in rest}}
     return out.select(*[columns[c].alias(c) for c in df.columns if c in columns], "n_words", "n_removed")
