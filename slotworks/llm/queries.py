@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compression_quality, decontaminate, hilbert_shards, licenses, near_dup, quality_rules, substring_dup, url_cascade
+from . import byte_bpe, compression_quality, decontaminate, hilbert_shards, licenses, near_dup, quality_rules, substring_dup, token_store, url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +185,12 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
     domains = url_cascade.with_host_path(pages).select(F.explode(url_cascade.page_keys([0])).alias("key")).distinct()
     listed = domains.filter(F.substring_index("key", ".", 1).isin(BLOCKED_NAMES))
     return url_cascade.judge(pages, rules, listed)
+
+
+@query("op3_token_store")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    """All documents written as token shards, and read back by key through the index."""
+    docs = table(spark, root, "documents")
+    store = token_store.write(docs, token_store.LibraryCodec(public_tokenizers.path("byte_bpe_50k.json")))
+    back = token_store.read(store, spark, docs.select("doc_id"))
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").cast("bigint").alias("ids_crc32"))
