@@ -17,7 +17,7 @@ import base64
 import gc
 import heapq
 import re
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,44 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+class Pieces:
+    """Ids of whole texts from ids of their pieces, of which up to about `kept` are remembered between slices.
+
+    `resolve` gives the ids of pieces as 32-bit integers side by side. A piece ends where a
+    pre-token ends: at a single space, or, around other white space, where `split` says so.
+    """
+
+    def __init__(self, resolve, split, kept: int, by_spaces: bool = True):
+        self.resolve, self.split, self.kept, self.by_spaces = resolve, split, kept, by_spaces
+        self.seen: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text ends)."""
+        parts: list[str] = []
+        counts = []
+        for text in texts:
+            had = len(parts)
+            if text:
+                if self.by_spaces and not _ODD_SPACE.search(text):
+                    first, *rest = text.split(" ")
+                    parts.append(first)
+                    parts += [" " + x for x in rest]
+                else:
+                    parts += self.split(text)
+            counts.append(len(parts) - had)
+        new = list(set(parts).difference(self.seen))
+        self.seen.update(zip(new, self.resolve(new)))
+        found = list(map(self.seen.__getitem__, parts))
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        ids = np.frombuffer(b"".join(found), np.int32)
+        for part in new:
+            if len(part) > 256:
+                del self.seen[part]
+        if len(self.seen) > self.kept:  # the older half goes
+            self.seen = dict(islice(self.seen.items(), len(self.seen) - self.kept // 2, None))
+        return ids, ends[np.cumsum(counts, dtype=np.int64)]
+
+
 #: Pre-tokens up to so many bytes are merged together.
 SHORT = 32
 _LAST = np.int64(1) << 62
@@ -53,7 +91,7 @@ class Codec:
     reads the file once and keeps its tables, also between tasks.
     """
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, kept: int = 1 << 19, by_spaces: bool = True):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, kept: int = 1 << 18, by_spaces: bool = True):
         self.key = (path, pattern, kept, by_spaces)
         self.pilots = PerfectHash.build(PerfectHash.halves(list(read_ranks(path)))).pilots
 
@@ -68,7 +106,7 @@ class Tables:
     """What encoding and decoding look up. `kept` bounds the pre-tokens remembered between slices."""
 
     def __init__(self, path: str, pattern: str, kept: int, by_spaces: bool, pilots: np.ndarray):
-        self.ranks, self.kept, self.by_spaces = read_ranks(path), kept, by_spaces
+        self.ranks = read_ranks(path)
         self.hash = PerfectHash(pilots, len(self.ranks))
         tokens = list(self.ranks)
         self.slots: list[bytes] = [b""] * len(tokens)
@@ -85,7 +123,7 @@ class Tables:
         self.pair_keys = np.sort(np.fromiter(self.pairs, np.int64, len(self.pairs)))
         self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.split = regex.compile(pattern).findall
-        self.seen: dict[str, list[int]] = {}
+        self.pieces = Pieces(self.resolve, self.split, kept, by_spaces)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: a heap of rank and position over linked parts."""
@@ -127,8 +165,11 @@ class Tables:
         found = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[found] == key, self.pair_ranks[found] << 8 | at, _LAST)
 
-    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
-        """The same for many short pre-tokens at once; row i holds the links and the queue of pieces[i]."""
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """The same for many short pre-tokens at once; row i holds the links and the queue of pieces[i].
+
+        Ids come as 32-bit integers side by side.
+        """
         if not pieces:
             return []
         lens = np.array([len(p) for p in pieces])
@@ -161,44 +202,21 @@ class Tables:
             rows, pos, prv = live[r], i[r], j[r]
             queue[rows, prv] = self._keys(ids[rows, prv], ids[rows, pos], prv)
         kept = ids >= 0
-        values, ends = ids[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
+        values, ends = ids[kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
         return [values[a:b] for a, b in zip([0, *ends], ends)]
 
-    def resolve(self, parts: list[str]) -> None:
-        """Enter stretches of text, each ending where a pre-token ends, into the table."""
+    def resolve(self, parts: list[str]) -> list[bytes]:
+        """Ids of stretches of text, each ending where a pre-token ends."""
         words = [self.split(p) for p in parts]
         new = list({w for group in words for w in group})
         raw = [w.encode() for w in new]
         slots = self.hash.slots(PerfectHash.halves(raw)).tolist() if raw else []
-        ids = {w: [self.ranks[b]] for w, b, s in zip(new, raw, slots) if self.slots[s] == b}
+        ids = {w: self.ranks[b].to_bytes(4, "little") for w, b, s in zip(new, raw, slots) if self.slots[s] == b}
         rest = [(w, b) for w, b in zip(new, raw) if w not in ids]
         short = [x for x in rest if len(x[1]) <= SHORT]
         ids |= zip((w for w, _ in short), self.merge_many([b for _, b in short]))
-        ids |= {w: self.merge(b) for w, b in rest if len(b) > SHORT}
-        for p, group in zip(parts, words):
-            self.seen[p] = ids[group[0]] if len(group) == 1 else [i for w in group for i in ids[w]]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text ends)."""
-        parts: list[str] = []
-        counts = []
-        for text in texts:
-            had = len(parts)
-            if text:
-                if self.by_spaces and not _ODD_SPACE.search(text):
-                    first, *rest = text.split(" ")
-                    parts.append(first)
-                    parts += [" " + x for x in rest]
-                else:
-                    parts += self.split(text)
-            counts.append(len(parts) - had)
-        self.resolve(list(set(parts).difference(self.seen)))
-        found = list(map(self.seen.__getitem__, parts))
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
-        if len(self.seen) > self.kept:  # the older half goes
-            self.seen = dict(islice(self.seen.items(), len(self.seen) - self.kept // 2, None))
-        return ids, ends[np.cumsum(counts, dtype=np.int64)]
+        ids |= {w: np.array(self.merge(b), np.int32).tobytes() for w, b in rest if len(b) > SHORT}
+        return [ids[group[0]] if len(group) == 1 else b"".join(map(ids.__getitem__, group)) for group in words]
 
     def decode(self, ids: pa.Array, offsets: np.ndarray) -> pa.Array:
         """Bytes per list of ids, as Arrow binaries: the entries of the vocabulary side by side."""
@@ -226,8 +244,8 @@ def encode(df: DataFrame, codec: Codec, text: str = "text", out: str = "ids", dr
     def run(batches):
         tables = codec.tables
         for part in slices(batches, text):
-            gc.disable()  # millions of small lists without cycles
-            ids, ends = tables.encode(part.column(text).to_pylist())
+            gc.disable()  # many small objects without cycles
+            ids, ends = tables.pieces.encode(part.column(text).to_pylist())
             gc.enable()
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [lists], kept + [out])
