@@ -1,16 +1,18 @@
 """Inventories, digests, manifests, receipts, capacity and run comparisons."""
 from __future__ import annotations
 
+import hashlib
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import spread
+from ..session import pin, spread
 from .checks import coverage_report, rule_table
 from .ordering import exact_quantiles
 
-DIGEST_ROWS = 1_000_000  # up to here one sorted list of lines is hashed as a whole
-
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last row per key by `order` (then by the other columns): one aggregate with
@@ -43,56 +45,59 @@ def flag_redundancy(df: DataFrame, a: str, b: str) -> DataFrame:
 
 # ---- digests ------------------------------------------------------------------
 
-def lines_digest(df: DataFrame, line: str, order: list[str], scheme: str = "auto", terminate: bool = False,
-                 leaf_rows: int = 100_000) -> DataFrame:
-    """One row (scheme, n, digest).
-
-    `sorted`: sha256 of all lines in `order`, joined by newline (`terminate` adds
-    a newline behind each). It is sequential by definition, so it is only taken up
-    to DIGEST_ROWS lines (counted first).
-    `bucketed`: a tree for any size, and a different digest. Leaves are the lines
-    that share a prefix of their own sha256 (3 hex digits per level, as many levels
-    as keep leaves near `leaf_rows`), sorted and joined by newline; each level then
-    hashes the 'prefix<TAB>digest' lines of the one below, 4096 at most. Repeated
-    lines are counted map-side first and enter once, as line<TAB>*count.
+TREE_LEVELS = 2  # 4096 ** 2 leaves, whatever the number of lines
+
+
+def lines_digest(df: DataFrame, line: str, order: list[str], scheme: str = "tree2", terminate: bool = False) -> DataFrame:
+    """One row (scheme, n, digest); the scheme alone decides the value, at any size.
+
+    `tree2`: leaves are the lines that share the first six hex digits of their own
+    sha256, sorted and joined by newline; two levels of 4096 then hash the
+    'prefix<TAB>digest' lines of the one below. Repeated lines are counted map-side
+    first and enter once, as line<TAB>*count.
+    `sorted`: sha256 of all lines in `order`, joined by newline (`terminate` adds a
+    newline behind each). Rows are sorted in parallel and pinned; as the digest is
+    sequential by definition, one task then reads them batch by batch, in constant
+    memory. Only by name, for agreement with digests taken elsewhere.
     """
-    total = df.count()
-    if scheme == "auto":
-        scheme = "sorted" if total <= DIGEST_ROWS else "bucketed"
-    elif scheme == "sorted" and total > DIGEST_ROWS:
-        raise ValueError(f"{total} lines exceed the {DIGEST_ROWS} of a sorted digest")
     text = F.coalesce(F.col(line), F.lit(""))
     if scheme == "sorted":
-        tail = F.concat(text, F.lit("\n")) if terminate else text
-        rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, tail.alias("_line")))), lambda s: s["_line"])
-        return df.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(rows, "" if terminate else "\n"), 256).alias("digest")).select(
-            F.lit(scheme).alias("scheme"), "n", "digest")
-    levels = 1
-    while total > leaf_rows * 4096 ** levels:
-        levels += 1
+        laid = pin(df.select(*order, text.alias("_line")).orderBy(*order, "_line")).select("_line")
+        return laid.coalesce(1).mapInArrow(partial(_hash_lines, terminate), "scheme string, n bigint, digest string")
+    if scheme != f"tree{TREE_LEVELS}":
+        raise ValueError(scheme)
     once = df.groupBy(text.alias("_t")).agg(F.count(F.lit(1)).alias("_c"))
     entry = F.when(F.col("_c") == 1, F.col("_t")).otherwise(F.concat("_t", F.lit("\t*"), F.col("_c").cast("string")))
-    node = once.select(F.substring(F.sha2("_t", 256), 1, 3 * levels).alias("_p"), entry.alias("_l"), F.col("_c").alias("n"))
+    node = once.select(F.substring(F.sha2("_t", 256), 1, 3 * TREE_LEVELS).alias("_p"), entry.alias("_l"), F.col("_c").alias("n"))
     joined = F.sha2(F.array_join(F.array_sort(F.collect_list("_l")), "\n"), 256)
-    for level in range(levels, 0, -1):
+    for level in range(TREE_LEVELS, 0, -1):
         per = node.groupBy("_p").agg(F.sum("n").alias("n"), joined.alias("_d"))
         node = per.select(F.substring("_p", 1, 3 * (level - 1)).alias("_p"), F.concat("_p", F.lit("\t"), "_d").alias("_l"), "n")
-    return node.agg(F.sum("n").alias("n"), joined.alias("digest")).select(F.lit(scheme).alias("scheme"), "n", "digest")
+    return node.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined.alias("digest")).select(F.lit(scheme).alias("scheme"), "n", "digest")
+
+
+def _hash_lines(terminate: bool, batches):
+    digest, n = hashlib.sha256(), 0
+    for batch in batches:
+        for text in batch.column("_line").to_pylist():
+            digest.update((text + "\n" if terminate else text if n == 0 else "\n" + text).encode())
+            n += 1
+    yield pa.RecordBatch.from_pydict({"scheme": ["sorted"], "n": [n], "digest": [digest.hexdigest()]})
 
 
-def ids_digest(df: DataFrame, key: str, scheme: str = "auto") -> DataFrame:
-    """sha256 of the sorted ids joined by newline."""
+def ids_digest(df: DataFrame, key: str, scheme: str = "tree2") -> DataFrame:
+    """Digest of a set of ids; `sorted` is the sha256 of the sorted ids joined by newline."""
     return lines_digest(df.select(F.col(key).cast("string").alias("_id")), "_id", ["_id"], scheme)
 
 
-def table_digest(df: DataFrame, name: str, size: str, sha: str, scheme: str = "auto") -> DataFrame:
-    """sha256 over sorted name<TAB>bytes<TAB>sha256<LF> lines."""
+def table_digest(df: DataFrame, name: str, size: str, sha: str, scheme: str = "tree2") -> DataFrame:
+    """Digest of name<TAB>bytes<TAB>sha256 lines; `sorted` ends each by a newline."""
     line = F.concat_ws("\t", F.col(name), F.col(size).cast("string"), F.col(sha))
     return lines_digest(df.select(F.col(name).alias("_name"), line.alias("_l")), "_l", ["_name"], scheme, terminate=True)
 
 
-def plan_digest(lines: DataFrame, scheme: str = "auto") -> DataFrame:
-    """sha256 over study:slot:series:shard:i,j,k,l lines in (study, slot) order."""
+def plan_digest(lines: DataFrame, scheme: str = "tree2") -> DataFrame:
+    """Digest of study:slot:series:shard:i,j,k,l lines; `sorted` takes them in (study, slot) order."""
     return lines_digest(lines, "line", ["study_id", "slot"], scheme)
 
 

@@ -110,7 +110,8 @@ def paired_delta(boot: DataFrame, reference: str) -> DataFrame:
 # ---- agreement ----------------------------------------------------------------
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Pearson correlation of average ranks in [-1, 1]; NULL if one side is constant."""
+    """Pearson correlation of average ranks in [-1, 1] over the complete pairs; NULL if one side is constant."""
+    df = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     # both ranks come from the input itself, so neither waits for the other
     one = {"_c": F.lit(1).cast("bigint")}
     rank = lambda v, out: running_totals(df, by, v, one).select(*by, v, (F.col("_c_below") + (F.col("_c") + 1) / S.dbl(2)).alias(out))
@@ -133,7 +134,9 @@ def _overlap(df: DataFrame, scope: Column) -> DataFrame:
 def error_overlap(df: DataFrame, a: str, b: str, threshold: float = 0.5) -> DataFrame:
     """Error overlap of two probability columns: per label, over all decisions, and
     over studies with any error. df(study_id, label, y, a, b)."""
-    wrong = lambda c: S.binarize(c, threshold) != F.col("y")
+    # a missing decision would vanish from all four cells
+    known = lambda e, c: F.when(e.isNull(), F.raise_error(F.lit(f"missing value in {c}"))).otherwise(e)
+    wrong = lambda c: known(S.binarize(c, threshold), c) != known(F.col("y"), "y")
     rows = df.select("study_id", "label", wrong(a).alias("_a"), wrong(b).alias("_b"), F.lit(1).cast("bigint").alias("_w"))
     cells = rows.groupBy("label", "_a", "_b").agg(F.sum("_w").alias("_w"))
     studies = rows.groupBy("study_id").agg(F.bool_or("_a").alias("_a"), F.bool_or("_b").alias("_b")).withColumn("_w", F.lit(1).cast("bigint"))
@@ -164,22 +167,31 @@ def percentile_rank(df: DataFrame, by: list[str], value: str, out: str = "pr") -
 
 
 def rank_blend(preds: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted mean of per-label percentile ranks, ranked again."""
+    """Weighted mean of per-label percentile ranks, ranked again. Every model must have
+    one score for every (study_id, label) that any of them has."""
     ranked = percentile_rank(preds.filter(F.col("model").isin(*weights)), ["model", "label"], "score")
     w = reduce(lambda c, kv: c.when(F.col("model") == kv[0], S.dbl(kv[1])), weights.items(), F.when(F.lit(False), S.dbl(0)))
-    mixed = ranked.groupBy("study_id", "label").agg(F.sum(w * F.col("pr")).alias("mix"))
+    voices = F.count(F.lit(1))
+    full = F.when((voices == len(weights)) & (F.count_distinct("model") == len(weights)), F.sum(w * F.col("pr")))
+    mixed = ranked.groupBy("study_id", "label").agg(full.otherwise(F.raise_error(F.lit("a model lacks or repeats a prediction"))).alias("mix"))
     # equal mixes must tie whatever the order of addition was
     return percentile_rank(mixed.withColumn("mix", F.round("mix", 12)), ["label"], "mix", "blend").select("study_id", "label", "blend")
 
 
-def ensemble_mean(preds: DataFrame, keys: list[str] = ("study_id", "label"), prob: str = "prob") -> DataFrame:
-    return preds.groupBy(*keys).agg(F.avg(prob).alias(prob))
+def ensemble_mean(preds: DataFrame, keys: list[str] = ("study_id", "label"), prob: str = "prob", members: int | None = None) -> DataFrame:
+    """Mean over members; with `members`, a key that has not that many values is an error."""
+    mean = F.avg(prob)
+    if members is not None:
+        mean = F.when(F.count(prob) == members, mean).otherwise(F.raise_error(F.lit(f"a key has not {members} members")))
+    return preds.groupBy(*keys).agg(mean.alias(prob))
 
 
 def fixed_blend(a: DataFrame, b: DataFrame, weight: float = 0.5, prob: str = "prob") -> DataFrame:
     """weight * a + (1 - weight) * b on (study_id, label); declared, never searched."""
-    right = b.select("study_id", "label", F.col(prob).alias("_b"))
-    return a.join(right, ["study_id", "label"]).select("study_id", "label", (S.dbl(weight) * F.col(prob) + S.dbl(1 - weight) * F.col("_b")).alias(prob))
+    side = lambda df, tag: df.select("study_id", "label", F.col(prob).alias(tag))
+    both = side(a, "_a").join(side(b, "_b"), ["study_id", "label"], "full")
+    mixed = S.dbl(weight) * F.col("_a") + S.dbl(1 - weight) * F.col("_b")
+    return both.select("study_id", "label", F.coalesce(mixed, F.raise_error(F.lit("a side lacks a prediction"))).alias(prob))
 
 
 def align_predictions(truth: DataFrame, models: dict[str, DataFrame], labels: list[str], key: str = "study_id") -> DataFrame:

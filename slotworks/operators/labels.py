@@ -94,7 +94,7 @@ def source_auc(sources: DataFrame, gold: DataFrame, names: list[str], weights: d
     voices = sources.join(gold.select("study_id").distinct(), "study_id", "left_semi").select("source", "study_id", "label", "p")
     voices = voices.unionByName(consensus(voices, weights).select(F.lit("consensus").alias("source"), "study_id", "label", "p"))
     asked = gold.withColumn("source", F.explode(F.array(*[F.lit(n) for n in [*names, "consensus"]])))
-    scored = asked.join(voices, ["source", "study_id", "label"], "left").withColumn("p", F.coalesce("p", S.dbl(0.5)))
+    scored = asked.join(voices, ["source", "study_id", "label"], "left").withColumn("p", F.coalesce(S.null_if_nan("p"), S.dbl(0.5)))
     per = auc(scored, ["source", "label"], "p", "y").select("source", "label", "auc")
     mean = per.groupBy("source").agg(F.avg("auc").alias("auc")).select("source", F.lit("MEAN").alias("label"), "auc")
     return per.unionByName(mean)
@@ -164,7 +164,7 @@ def template_bands(signed: DataFrame, key: str) -> DataFrame:
     return signed.select(key, F.posexplode("signatures").alias("band", "signature"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) with component = smallest node, from edges(a, b).
 
     Alternating large-star / small-star rounds: each round only needs the minimum
@@ -173,7 +173,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     e = pin(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -185,7 +185,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             heads = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads)
         before = state
-    raise RuntimeError("components did not settle")
 
 
 def near_template_groups(df: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4, shingle: int = 3) -> DataFrame:
@@ -238,7 +237,7 @@ def fold_schedule(histogram: list[tuple[int, int]], k: int) -> list[tuple[int, i
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5, out: str = "fold", hash_bits: int | None = None) -> DataFrame:
-    """Rows of a group share a fold; folds balanced by row count.
+    """Rows of a group share a fold; folds balanced by row count. NULL is a group of its own.
 
     Only the size histogram (at most sqrt(2 * rows) entries) reaches the driver.
     """
@@ -254,4 +253,5 @@ def group_folds(df: DataFrame, group: str, k: int = 5, out: str = "fold", hash_b
     at = (F.col("_o") >= F.col("_first")) & (F.col("_o") < F.col("_last"))
     chosen = (numbered.join(plan, "_size").filter(at)
               .select(group, F.element_at("_cycle", ((F.col("_o") - F.col("_first")) % F.size("_cycle") + 1).cast("int")).alias(out)))
-    return df.join(chosen, group)
+    chosen = chosen.withColumnRenamed(group, "_group")
+    return df.join(chosen, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")

@@ -46,8 +46,7 @@ def with_row_number(df: DataFrame, keys: list[str], order: list[Column], out: st
               .select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)],
                       F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")))
     inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    match = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)])
-    return (inside.join(before, match)
+    return (inside.join(before, same(group))
             .withColumn(out, (F.col("_before") + F.col("_in")).cast("bigint")).select(*df.columns, out))
 
 
@@ -97,28 +96,38 @@ def value_bucket(x) -> Column:
 
 def running_totals(df: DataFrame, by: list[str], value: str, measures: dict[str, Column]) -> DataFrame:
     """One row per (by, value): each measure m at the value, `m_below` strictly
-    below it, and `m_all` over the whole group."""
+    below it, and `m_all` over the whole group. NULL values are left out, NaN is an
+    error, and NULL in `by` is a group like any other."""
     names = list(measures)
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        number = F.when(F.isnan(value), F.raise_error(F.lit(f"NaN in {value}"))).otherwise(F.col(value))
+        df = df.withColumn(value, number)
     cells = (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
              .agg(*[F.sum(measures[m]).alias(m) for m in names]).withColumn("_b", value_bucket(value)))
     group = Window.partitionBy(*(by or [F.lit(0)]))
     earlier = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = cells.groupBy(*by, "_b").agg(*[F.sum(m).alias(m) for m in names])
-    totals = totals.select(*by, "_b", *[F.sum(m).over(earlier).alias(f"_{m}_before") for m in names],
+    totals = totals.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])], *[F.sum(m).over(earlier).alias(f"_{m}_before") for m in names],
                            *[F.sum(m).over(group).alias(f"{m}_all") for m in names])
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("*", *[F.sum(m).over(inside).alias(f"_{m}_inside") for m in names])
     zero = F.lit(0)
     below = [(F.coalesce(f"_{m}_before", zero) + F.coalesce(f"_{m}_inside", zero)).alias(f"{m}_below") for m in names]
-    return cells.join(totals, [*by, "_b"]).select(*by, value, *names, *below, *[f"{m}_all" for m in names])
+    return cells.join(totals, same([*by, "_b"])).select(*by, value, *names, *below, *[f"{m}_all" for m in names])
+
+
+def same(columns: list[str]) -> Column:
+    """Null-safe equality of columns with `_k0`, `_k1`, ..."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(columns)])
 
 
 def with_average_rank(df: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Rank with ties averaged (1-based); `out`_n is the group's row count."""
+    """Rank with ties averaged (1-based); `out`_n is the group's count of values. Rows
+    without a value stay, with a NULL rank."""
     totals = running_totals(df, by, value, {"_c": F.lit(1).cast("bigint")})
-    ranks = totals.select(*by, value, (F.col("_c_below") + (F.col("_c") + 1) / dbl(2)).alias(out),
+    ranks = totals.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])], (F.col("_c_below") + (F.col("_c") + 1) / dbl(2)).alias(out),
                           F.col("_c_all").alias(f"{out}_n"))
-    return df.join(ranks, [*by, value])
+    return df.join(ranks, same([*by, value]), "left").select(*df.columns, out, f"{out}_n")
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:

@@ -117,7 +117,7 @@ LINES = """SELECT study_id, slot, study_id || ':' || CAST(slot AS VARCHAR) || ':
 
 @query("a35_plan_digest", f"SELECT 'sorted' AS scheme, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY study_id, slot)) AS digest FROM ({LINES})")
 def a35(t):
-    return A.plan_digest(SEL.plan_lines(R.selected(t)))
+    return A.plan_digest(SEL.plan_lines(R.selected(t)), scheme="sorted")
 
 
 @query("a35b_plan_summary", """SELECT (SELECT count(DISTINCT study_id) FROM fx_selected) AS studies, (SELECT count(*) FROM fx_series) AS series, (SELECT count(*) FROM fx_selected) AS selected_series,
@@ -143,18 +143,19 @@ def a32(t):
 
 @query("a33_ids_digest", "SELECT 'sorted' AS scheme, count(*) AS n, sha256(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY CAST(o_orderkey AS VARCHAR))) AS digest FROM orders")
 def a33(t):
-    return A.ids_digest(t.orders, "o_orderkey")
+    return A.ids_digest(t.orders, "o_orderkey", scheme="sorted")
 
 
-@query("a33b_ids_digest_bucketed", """SELECT 'bucketed' AS scheme, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(b || chr(9) || d, chr(10) ORDER BY b)) AS digest
-    FROM (SELECT substr(sha256(id), 1, 3) AS b, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS d FROM (SELECT series_id AS id FROM fx_series) GROUP BY 1)""")
+@query("a33b_ids_digest_bucketed", """WITH leaf AS (SELECT substr(sha256(id), 1, 6) AS b, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS d FROM (SELECT series_id AS id FROM fx_series) GROUP BY 1),
+    mid AS (SELECT substr(b, 1, 3) AS b, sum(n) AS n, sha256(string_agg(b || chr(9) || d, chr(10) ORDER BY b || chr(9) || d)) AS d FROM leaf GROUP BY 1)
+    SELECT 'tree2' AS scheme, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(b || chr(9) || d, chr(10) ORDER BY b || chr(9) || d)) AS digest FROM mid""")
 def a33b(t):
-    return A.ids_digest(R.series(t), "series_id", scheme="bucketed")
+    return A.ids_digest(R.series(t), "series_id", scheme="tree2")
 
 
 @query("a34_table_digest", "SELECT 'sorted' AS scheme, count(*) AS n, sha256(string_agg(member || chr(9) || CAST(bytes AS VARCHAR) || chr(9) || sha || chr(10), '' ORDER BY member)) AS digest FROM fx_manifest")
 def a34(t):
-    return A.table_digest(R.manifest(t), "member", "bytes", "sha")
+    return A.table_digest(R.manifest(t), "member", "bytes", "sha", scheme="sorted")
 
 
 @query("a36_config_identity", """SELECT event_id, sha256('{"k":"' || (props ->> 'k') || '","type":"' || event_type || '","user":"' || CAST(user_id AS VARCHAR) || '"}') AS identity FROM events""")

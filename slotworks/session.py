@@ -32,10 +32,13 @@ def local_session(cpus: str | int = "*", app: str = "slotworks", **conf) -> Spar
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder. A temporary one is made in local mode only, where
+    driver and tasks share the machine; a cluster without one is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="slotworks-"))
     return named or sc.getCheckpointDir()
 

@@ -57,7 +57,7 @@ def test_plan_positions_and_digest(spark):
     rows = SEL.plan_rows(sel).orderBy("slot", "k").collect()
     assert [r.position for r in rows if r.slot == 0] == [0.0, 0.5, 0.5, 1.0]
     text = "1:0:9:2:0,1,1,2\n1:4:8:5:0,3,6,9"
-    assert A.plan_digest(SEL.plan_lines(sel)).first().digest == hashlib.sha256(text.encode()).hexdigest()
+    assert A.plan_digest(SEL.plan_lines(sel), "sorted").first().digest == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_missing_study_is_reported(spark):
@@ -303,26 +303,31 @@ def test_intensity_of_a_flat_series(spark):
 
 def test_digests(spark):
     df = spark.createDataFrame([("b", 2, "y"), ("a", 1, "x"), ("a10", 3, "z")], "id string, n int, sha string")
-    assert A.ids_digest(df, "id").first().digest == hashlib.sha256(b"a\na10\nb").hexdigest()
-    assert A.table_digest(df, "id", "n", "sha").first().digest == hashlib.sha256(b"a\t1\tx\na10\t3\tz\nb\t2\ty\n").hexdigest()
-    two = A.ids_digest(df.repartition(3), "id", scheme="bucketed").first()
-    assert two.n == 3 and two.digest == A.ids_digest(df, "id", scheme="bucketed").first().digest
-    deep = A.lines_digest(df, "id", ["id"], "bucketed", leaf_rows=0.0001).first().digest
+    assert A.ids_digest(df, "id", "sorted").first().digest == hashlib.sha256(b"a\na10\nb").hexdigest()
+    assert A.table_digest(df, "id", "n", "sha", "sorted").first().digest == hashlib.sha256(b"a\t1\tx\na10\t3\tz\nb\t2\ty\n").hexdigest()
+    two = A.ids_digest(df.repartition(3), "id").first()
+    assert (two.scheme, two.n) == ("tree2", 3) and two.digest == A.ids_digest(df, "id").first().digest
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    tree = lambda lines, level: sha("\n".join(sorted(lines))) if level == 0 else None
-    leaves = sorted((sha(i)[:6], sha(i)) for i in ("a", "b", "a10"))
     mid = {}
-    for p, d in leaves:
+    for p, d in sorted((sha(i)[:6], sha(i)) for i in ("a", "b", "a10")):
         mid.setdefault(p[:3], []).append(f"{p}\t{d}")
-    assert deep == sha("\n".join(sorted(f"{p}\t{tree(v, 0)}" for p, v in mid.items())))
-    twice = A.lines_digest(df.unionByName(df), "id", ["id"], "bucketed").first()
+    nodes = sorted(p + "\t" + sha("\n".join(sorted(v))) for p, v in mid.items())
+    assert two.digest == sha("\n".join(nodes))
+    twice = A.lines_digest(df.unionByName(df), "id", ["id"]).first()
     assert twice.n == 6 and twice.digest != two.digest
+    assert A.ids_digest(df.limit(0), "id", "sorted").first().digest == hashlib.sha256(b"").hexdigest()
     with pytest.raises(ValueError):
-        A.DIGEST_ROWS, kept = 2, A.DIGEST_ROWS
-        try:
-            A.ids_digest(df, "id", scheme="sorted")
-        finally:
-            A.DIGEST_ROWS = kept
+        A.ids_digest(df, "id", scheme="auto")
+
+
+def test_digest_scheme_does_not_depend_on_size(spark):
+    for n in (10, 2_000_000):
+        ids = spark.range(n)
+        assert A.ids_digest(ids, "id").first().scheme == "tree2"
+        assert A.ids_digest(ids, "id", "sorted").first().digest == hashlib.sha256("\n".join(sorted(map(str, range(n)))).encode()).hexdigest()
+
+
+def test_config_identity(spark):
     conf = spark.createDataFrame([({"b": "1", "a": "2"},)], "c map<string,string>")
     assert A.config_identity(conf, "c").first().identity == hashlib.sha256(b'{"a":"2","b":"1"}').hexdigest()
 
@@ -351,3 +356,25 @@ def test_rolling_median_across_chunks(spark):
     df = spark.createDataFrame([("r", i, float(x)) for i, x in enumerate(v)], "run string, step int, sec double")
     got = [r.median for r in BT.rolling_median(df, "run", "step", "sec", chunk=9, hot_rows=20).orderBy("step").collect()]
     assert np.allclose(got, [np.median(v[max(0, i - 7):i + 1]) for i in range(200)])
+
+
+def test_gates_before_metrics_and_blends(spark):
+    pairs = spark.createDataFrame([(1.0, 3.0), (2.0, 1.0), (3.0, 2.0), (9.0, None), (None, 0.0)], "a double, b double")
+    assert E.spearman(pairs, [], "a", "b").first().spearman == pytest.approx(-0.5)
+    preds = spark.createDataFrame([("s", "l", "m", 0.2), ("t", "l", "m", 0.4), ("s", "l", "n", 0.9)], "study_id string, label string, model string, score double")
+    with pytest.raises(Exception, match="lacks"):
+        E.rank_blend(preds, {"m": 0.5, "n": 0.5}).collect()
+    with pytest.raises(Exception, match="lacks"):
+        E.fixed_blend(preds.filter("model = 'm'").withColumnRenamed("score", "prob"), preds.filter("model = 'n'").withColumnRenamed("score", "prob")).collect()
+    with pytest.raises(Exception, match="members"):
+        E.ensemble_mean(preds.withColumnRenamed("score", "prob"), members=2).collect()
+    wide = spark.createDataFrame([("s", "l", 1, 0.2, None)], "study_id string, label string, y int, a double, b double")
+    with pytest.raises(Exception, match="missing value in b"):
+        E.error_overlap(wide, "a", "b").collect()
+
+
+def test_folds_keep_the_null_group(spark):
+    from slotworks.operators.labels import group_folds
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4)], "g string, id int")
+    got = {r.id: r.fold for r in group_folds(df, "g", 2).collect()}
+    assert len(got) == 4 and got[1] == got[2]

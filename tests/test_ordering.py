@@ -83,3 +83,12 @@ def test_partition_count_changes_nothing(spark, hot, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert [round(x.q, 9) for x in r] == [round(x.q, 9) for x in O.exact_quantiles(hot.repartition(3), ["g"], "v", {"q": 0.37}).orderBy("g").collect()]
+
+
+def test_nulls_and_nan(spark):
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 1.0), ("a", 3, None), ("a", 4, 5.0), ("a", 5, 5.0)], "g string, id bigint, v double")
+    got = {r.id: (r["rank"], r.rank_n) for r in O.with_average_rank(df, ["g"], "v").collect()}
+    assert got == {1: (2.0, 2), 2: (1.0, 2), 3: (None, None), 4: (1.5, 2), 5: (1.5, 2)}
+    assert {r.g: r.q for r in O.exact_quantiles(df, ["g"], "v", {"q": 0.5}).collect()} == {None: 1.5, "a": 5.0}
+    with pytest.raises(Exception, match="NaN in v"):
+        O.exact_quantiles(df.unionByName(df.withColumn("v", F.lit(float("nan")))), ["g"], "v", {"q": 0.5}).collect()
