@@ -176,9 +176,10 @@ DESIGN_SQL = f"""SELECT p.study_id, p.slot * 64 + p.dim AS i, (p.x - coalesce(s.
     UNION ALL SELECT DISTINCT study_id, 384 + slot, 1.0::DOUBLE FROM fx_pooled"""
 
 
-@query("m01_slot_design", f"SELECT study_id, CAST(i AS BIGINT) AS i, {r6('x')} AS x FROM ({DESIGN_SQL}) WHERE abs(x) > 0.000002")
+@query("m01_slot_design", f"""SELECT s.study_id, g.i, {r6('coalesce(d.x, 0)')} AS x FROM (SELECT DISTINCT study_id FROM fx_bank) s CROSS JOIN (SELECT unnest(range(390)) AS i) g
+    LEFT JOIN ({DESIGN_SQL}) d ON d.study_id = s.study_id AND d.i = g.i""")
 def m01(t):
-    return design(t).select("study_id", F.posexplode("x").alias("i", "x")).filter("abs(x) > 0.000002")
+    return design(t).select("study_id", F.posexplode("x").alias("i", "x"))
 
 
 def soft_targets(t):

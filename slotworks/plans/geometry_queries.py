@@ -38,10 +38,10 @@ def a14(t):
 
 
 @query("f06_slice_normal", f"""SELECT series_id, ordinal, {r6('n[1]')} AS nx, {r6('n[2]')} AS ny, {r6('n[3]')} AS nz, {r6('ipp[1]*n[1] + ipp[2]*n[2] + ipp[3]*n[3]')} AS along,
-      CAST(list_position(list_transform(n, lambda x: abs(x)), list_max(list_transform(n, lambda x: abs(x)))) - 1 AS BIGINT) AS plane
-    FROM (SELECT series_id, ordinal, ipp, [o[2]*o[6]-o[3]*o[5], o[3]*o[4]-o[1]*o[6], o[1]*o[5]-o[2]*o[4]] AS n FROM fx_headers WHERE o IS NOT NULL)""")
+      CASE WHEN o IS NOT NULL THEN CAST(list_position(list_transform(n, lambda x: abs(x)), list_max(list_transform(n, lambda x: abs(x)))) - 1 AS BIGINT) END AS plane
+    FROM (SELECT series_id, ordinal, ipp, o, [o[2]*o[6]-o[3]*o[5], o[3]*o[4]-o[1]*o[6], o[1]*o[5]-o[2]*o[4]] AS n FROM fx_headers)""")
 def f06(t):
-    h = R.headers(t).filter("orientation IS NOT NULL").withColumn("n", G.slice_normal("orientation"))
+    h = R.headers(t).withColumn("n", G.slice_normal("orientation"))
     n = F.col("n")
     return h.select("series_id", "ordinal", n[0].alias("nx"), n[1].alias("ny"), n[2].alias("nz"), G.dot3("ipp", "n").alias("along"), G.argmax_abs("n").alias("plane"))
 

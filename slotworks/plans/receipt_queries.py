@@ -197,12 +197,12 @@ def t01(t):
 @query("t02_streaming_merge", """WITH s AS (SELECT DISTINCT study_id, slot FROM fx_bank)
     SELECT 'complete' AS kind, study_id, -1::BIGINT AS slot, count(*) AS n_slots, 1::BIGINT AS n FROM s GROUP BY study_id
     UNION ALL SELECT 'duplicate', study_id, slot, 0, 1 FROM s WHERE CAST(study_id AS BIGINT) % 4 = 1 AND slot = 2
-    UNION ALL SELECT 'unexpected', study_id, 5, 0, 1 FROM (SELECT DISTINCT study_id FROM s WHERE CAST(study_id AS BIGINT) % 5 = 0)""")
+    UNION ALL SELECT 'unexpected', study_id, CAST(study_id AS BIGINT) % 6, 0, 1 FROM (SELECT study_id FROM s WHERE CAST(study_id AS BIGINT) % 5 = 0 GROUP BY study_id HAVING bool_and(slot <> CAST(study_id AS BIGINT) % 6))""")
 def t02(t):
     s = F.col("study_id").cast("bigint")
     slots = R.bank(t).select("study_id", "slot").distinct()
     mask = slots.groupBy("study_id").agg(F.bit_or(F.expr("shiftleft(1, slot)")).cast("bigint").alias("planned_mask"))
-    rows = slots.unionByName(slots.filter((s % 4 == 1) & (F.col("slot") == 2))).unionByName(slots.select("study_id").distinct().filter(s % 5 == 0).withColumn("slot", F.lit(5)))
+    rows = slots.unionByName(slots.filter((s % 4 == 1) & (F.col("slot") == 2))).unionByName(slots.select("study_id").distinct().filter(s % 5 == 0).withColumn("slot", (s % 6).cast("int")))
     out = drain(t, T.streaming_merge(streamed(t, rows.join(mask, "study_id"), "shards")), "merge")
     return out.groupBy("kind", "study_id", "slot", "n_slots").agg(F.count(F.lit(1)).alias("n"))
 

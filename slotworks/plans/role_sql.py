@@ -78,8 +78,8 @@ ROLES: dict[str, str] = {
                quality IS NOT NULL AS is_gold, CASE WHEN quality IS NOT NULL THEN -1 ELSE {bits("'fold:' || study_id")} % 5 END AS fold
         FROM fx_official""",
     "fx_bank": """
-        SELECT * FROM (SELECT CAST(vec_id // 24 AS VARCHAR) AS study_id, (vec_id % 24) // 4 AS slot, vec_id % 4 AS k, CAST((vec_id % 4) / 3.0::DOUBLE AS FLOAT) AS position,
-                              vec_id // 24 AS sno, embedding, CAST(label AS BIGINT) AS target FROM embeddings) WHERE (sno + slot) % 5 <> 0""",
+        SELECT CAST(vec_id // 20 AS VARCHAR) AS study_id, (vec_id // 20 + 1 + (vec_id % 20) // 4) % 6 AS slot, vec_id % 4 AS k, CAST((vec_id % 4) / 3.0::DOUBLE AS FLOAT) AS position,
+               vec_id // 20 AS sno, embedding, CAST(label AS BIGINT) AS target FROM embeddings""",
     "fx_dims": """
         SELECT study_id, slot, k, position, target, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM fx_bank""",
     "fx_pooled": "SELECT study_id, slot, dim, avg(x) AS x FROM fx_dims GROUP BY ALL",
