@@ -255,3 +255,14 @@ def group_folds(df: DataFrame, group: str, k: int = 5, out: str = "fold", hash_b
               .select(group, F.element_at("_cycle", ((F.col("_o") - F.col("_first")) % F.size("_cycle") + 1).cast("int")).alias(out)))
     chosen = chosen.withColumnRenamed(group, "_group")
     return df.join(chosen, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def leak_free_folds(df: DataFrame, gold: str = "is_gold", group: str = "report_key", k: int = 5, out: str = "fold") -> DataFrame:
+    """Folds of a label table: gold rows are -1, weak rows get grouped folds, and a weak
+    row that shares its group with a gold row gets NULL, so that no group has two roles."""
+    held = df.filter(F.col(gold)).select(F.col(group).alias("_key")).distinct().withColumn("_held", F.lit(True))
+    marked = df.join(held, F.col(group).eqNullSafe(F.col("_key")), "left").drop("_key")
+    free = ~F.col(gold) & F.col("_held").isNull()
+    folded = group_folds(marked.filter(free), group, k, out).select(*df.columns, F.col(out).cast("int").alias(out))
+    rest = marked.filter(~free).select(*df.columns, F.when(F.col(gold), F.lit(-1)).cast("int").alias(out))
+    return folded.unionByName(rest)

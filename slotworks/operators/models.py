@@ -127,9 +127,10 @@ def train_eval_report(bank: DataFrame, soft: DataFrame, official: DataFrame, rol
     """
     # both phases read these several times: one pass over the bank, then a checkpoint
     pooled = pin(slot_mean_pool(bank) if pooled is None else pooled)
-    targets = pin(target_logits(soft, labels))
+    # a silent label is undecided in a fit and not scored in the holdout
+    targets = pin(target_logits(soft.withColumn("p", F.coalesce("p", S.dbl(0.5))), labels))
     pick = lambda *r: roles.filter(F.col("role").isin(*r)).select("study_id")
-    phases = {"weak_holdout": (pick("gradient"), pick("holdout"), soft.select("study_id", "label", S.binarize("p").alias("y"))),
+    phases = {"weak_holdout": (pick("gradient"), pick("holdout"), soft.filter("p IS NOT NULL").select("study_id", "label", S.binarize("p").alias("y"))),
               "production": (pick("gradient", "holdout"), pick("gold"), official)}
     report = None
     for phase, (train, test, truth) in phases.items():

@@ -203,8 +203,7 @@ def m09(t):
     letters = "etaoinsrhldcumpg"
     counts = F.array(*[F.sqrt((F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double")) for c in letters])
     pooled = spread(t.documents.select("doc_id", "text"), "doc_id").select(R.text("doc_id").alias("study_id"), F.lit(0).alias("slot"), counts.alias("pooled"))
-    soft = R.soft(t).withColumn("p", F.coalesce("p", S.dbl(0.5)))  # a silent label is undecided
-    return M.train_eval_report(None, soft, R.truth(t), R.roles(t), R.LABELS, width, slots=1, alpha=10.0, pooled=pooled)
+    return M.train_eval_report(None, R.soft(t), R.truth(t), R.report_roles(t), R.LABELS, width, slots=1, alpha=10.0, pooled=pooled)
 
 
 @query("m10_replay_check", f"""WITH r AS (SELECT study_id, label, score AS s, CASE WHEN CAST(study_id AS BIGINT) % 60 = 0 THEN score + 0.01 ELSE score END AS n FROM fx_predictions WHERE model = 'a')

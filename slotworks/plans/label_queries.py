@@ -121,3 +121,16 @@ def w14(t):
     n_split = split.agg(F.count_if(F.col("a") != F.col("b")).alias("split_groups")).withColumn("_j", F.lit(1))
     sizes = L.fold_sizes(folded).withColumn("_j", F.lit(1))
     return sizes.join(F.broadcast(n_split), "_j").drop("_j")
+
+
+@query("w14c_leak_free_roles", f"""WITH k AS (SELECT CAST(doc_id AS VARCHAR) AS study_id, sha256({KEY_SQL}) AS report_key FROM documents),
+    r AS (SELECT k.report_key, o.quality IS NOT NULL AS gold FROM k JOIN fx_official o USING (study_id)), g AS (SELECT DISTINCT report_key FROM r WHERE gold)
+    SELECT 0::BIGINT AS keys_in_two_roles, count(*) FILTER (gold) AS gold, count(*) FILTER (NOT gold AND report_key IN (SELECT report_key FROM g)) AS excluded,
+           count(*) FILTER (NOT gold AND report_key NOT IN (SELECT report_key FROM g)) AS weak FROM r""")
+def w14c(t):
+    rows = R.report_roles(t)
+    part = F.when(F.col("role") == "invalid", F.lit(None)).otherwise(F.col("role"))
+    two = rows.groupBy("report_key").agg((F.min(part) != F.max(part)).alias("two")).agg(F.count_if("two").alias("keys_in_two_roles")).withColumn("_j", F.lit(1))
+    counts = rows.agg(F.count_if("is_gold").alias("gold"), F.count_if(F.col("role") == "invalid").alias("excluded"),
+                      F.count_if(F.col("role").isin("holdout", "gradient")).alias("weak")).withColumn("_j", F.lit(1))
+    return two.join(counts, "_j").drop("_j")

@@ -98,6 +98,15 @@ def roles(t: Tables) -> DataFrame:
     return split_roles(official(t).select("study_id", gold.alias("is_gold"), fold.alias("fold")), 0)
 
 
+def report_roles(t: Tables) -> DataFrame:
+    """(study_id, report_key, is_gold, fold, role): no report, nor a copy of it, has two roles."""
+    from ..operators.checks import split_roles
+    from ..operators.labels import leak_free_folds, with_report_key
+    keyed = with_report_key(t.documents.select(text("doc_id").alias("study_id"), "text"), "text").select("study_id", "report_key")
+    gold = official(t).select("study_id", F.col("quality").isNotNull().alias("is_gold"))
+    return split_roles(leak_free_folds(keyed.join(gold, "study_id")), 0)
+
+
 def bank(t: Tables) -> DataFrame:
     # 20 vectors fill five of a study's six slots, so every study lacks one
     v = F.col("vec_id")
