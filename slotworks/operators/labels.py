@@ -145,16 +145,21 @@ def report_group_counts(groups: DataFrame) -> DataFrame:
                       F.coalesce(F.sum(F.when(many, F.col("n_rows"))), F.lit(0)).cast("bigint").alias("rows_in_repeated"))
 
 
-def template_signatures(df: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4, shingle: int = 3) -> DataFrame:
-    """(key, signatures): one MinHash signature per band over the word shingles of the
-    whole text. Texts shorter than one shingle use the whole text as their only one."""
+def template_shingles(df: DataFrame, key: str, text: str, shingle: int = 3) -> DataFrame:
+    """(key, _s): hashes of the word shingles of the whole text. A text shorter than one
+    shingle is its own only one."""
     tokens = spread(df.select(key, text), key).select(key, words(text).alias("_w"))
     count = F.size("_w")
     # one hash per word first, so that a shingle hash reads three numbers
     hashed = tokens.withColumn("_w", F.transform("_w", lambda w: F.xxhash64(w)))
     grams = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), count - shingle)),
                         lambda i: F.xxhash64(*[F.get("_w", i + j) for j in range(shingle)]))
-    rows_out = hashed.select(key, F.explode(F.when(count >= shingle, grams).otherwise(F.array(F.xxhash64("_w")))).alias("_h"))
+    return hashed.select(key, F.when(count >= shingle, grams).otherwise(F.array(F.xxhash64("_w"))).alias("_s"))
+
+
+def template_signatures(df: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4, shingle: int = 3) -> DataFrame:
+    """(key, signatures): one MinHash signature per band over the shingles."""
+    rows_out = template_shingles(df, key, text, shingle).select(key, F.explode("_s").alias("_h"))
     # the minima are a codegen hash aggregate that combines before the shuffle
     low = rows_out.groupBy(key).agg(*[F.min(F.xxhash64("_h", F.lit(i))).alias(f"_m{i}") for i in range(bands * rows)])
     return low.select(key, F.array(*[F.xxhash64(F.lit(b), *[f"_m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("signatures"))
@@ -187,20 +192,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_template_groups(df: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4, shingle: int = 3) -> DataFrame:
-    """(key, template): texts joined through shared MinHash bands.
+def near_template_groups(df: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4, shingle: int = 3, similarity: float = 0.6) -> DataFrame:
+    """(key, template): texts joined through MinHash bands and a Jaccard similarity of
+    their shingle sets.
 
     Texts with equal signatures collapse to their smallest key first (map-side
     combined), so any number of copies is one node of the graph. Every member of
-    a band bucket then links to the bucket's smallest key only: m members give
-    m - 1 links, and components are the same as with all pairs. Every text is
-    kept; a text without a partner is its own template.
+    a band bucket is then compared with the bucket's smallest key only, m - 1
+    candidates for m members, and linked where the sets reach `similarity`. Every
+    text is kept; a text without a partner is its own template.
     """
     signed = pin(template_signatures(df, key, text, bands, rows, shingle))
     heads = signed.groupBy("signatures").agg(F.min(key).alias(key))
     banded = template_bands(heads, key)
     first = banded.groupBy("band", "signature").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
-    links = banded.join(first, ["band", "signature"]).select(F.col(key).alias("a"), F.col("_first").alias("b"))
+    pairs = pin(banded.join(first, ["band", "signature"]).filter(F.col(key) != F.col("_first")).select(F.col(key).alias("a"), F.col("_first").alias("b")).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    sets = template_shingles(df.join(asked, key, "left_semi"), key, text, shingle).select(key, F.array_distinct("_s").alias("_s"))
+    both = F.size(F.array_intersect("_x", "_y"))
+    links = (pairs.join(sets.select(F.col(key).alias("a"), F.col("_s").alias("_x")), "a").join(sets.select(F.col(key).alias("b"), F.col("_s").alias("_y")), "b")
+             .filter(both >= S.dbl(similarity) * (F.size("_x") + F.size("_y") - both)).select("a", "b"))
     parts = connected_components(links)
     named = heads.join(parts.withColumnRenamed("node", key), key, "left").select("signatures", F.coalesce("component", key).alias("template"))
     return signed.join(named, "signatures").select(key, "template")

@@ -3,9 +3,10 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from slotworks.plans import catalog
 
 ROOT = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 ROWS_ONLY = {"p11_schema_contract", "a28_near_template_groups", "a25_covariance_spectrum", "m02_ridge_fit", "m04_soft_logistic_fit",
              "m05_attention_score", "m09_train_eval_report", "a07b_bootstrap_poisson"}
 
