@@ -18,7 +18,6 @@ from .bank import attention_pool, slot_mean_pool, slot_stats
 from .checks import expect_disjoint, require_clean, split_roles
 from .evaluate import auc, macro_auc
 
-MAX_WIDTH = 20_000  # a width x width matrix is solved on the driver
 
 
 # ---- design -------------------------------------------------------------------
@@ -41,12 +40,11 @@ def gram_matrices(df: DataFrame, cols: list[str], width: int, by: str | None = N
     """Sum over rows of z z^T for z = [1, cols...] (arrays concatenated), per value of
     the small integer column `by` (key -1 without one).
 
-    Each task adds up its rows in numpy and emits the width rows of its partial
-    matrix; those are summed per matrix row on Spark. Only the width x width
-    results reach the driver.
+    Input splits are read by one task per core at most; each adds up its rows in
+    numpy and emits the upper triangle of its partial matrix, row by row, so what is
+    shuffled does not grow with the number of splits. Those rows are summed on Spark.
+    The driver holds the width x width results; `ridge_fit(method="cg")` needs none.
     """
-    if width > MAX_WIDTH:
-        raise ValueError(f"{width} columns exceed the {MAX_WIDTH} a driver solve allows")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -60,14 +58,16 @@ def gram_matrices(df: DataFrame, cols: list[str], width: int, by: str | None = N
                     rows = z[(part["_g"] == key).to_numpy()]
                     total[key] = total.get(key, 0.0) + rows.T @ rows
         for key, m in total.items():
-            yield pd.DataFrame({"g": np.full(width, key, dtype=np.int32), "i": np.arange(width, dtype=np.int32), "v": list(m)})
+            yield pd.DataFrame({"g": np.full(width, key, dtype=np.int32), "i": np.arange(width, dtype=np.int32), "v": [m[i, i:] for i in range(width)]})
 
     group = F.col(by).cast("int") if by else F.lit(-1)
-    partials = df.select(group.alias("_g"), *cols).mapInPandas(partial, "g int, i int, v array<double>")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    partials = df.select(group.alias("_g"), *cols).coalesce(cores).mapInPandas(partial, "g int, i int, v array<double>")
     summed = partials.groupBy("g", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
     out: dict[int, np.ndarray] = {}
     for row in summed.toLocalIterator():  # groups x width rows
-        out.setdefault(row.g, np.zeros((width, width)))[row.i] = row.v
+        m = out.setdefault(row.g, np.zeros((width, width)))
+        m[row.i, row.i:] = m[row.i:, row.i] = row.v
     return out
 
 
@@ -93,11 +93,20 @@ class RidgeModel:
         return scored.select("study_id", name.alias("label"), "logit", prob.alias("prob"))
 
 
-def ridge_fit(design: DataFrame, targets: DataFrame, labels: list[str], width: int, alpha: float = 1000.0) -> RidgeModel:
+def ridge_fit(design: DataFrame, targets: DataFrame, labels: list[str], width: int, alpha: float = 1000.0, method: str = "normal",
+              tolerance: float = 1e-10) -> RidgeModel:
     """Multi-output ridge with centred data and an unpenalised intercept:
     minimises ||y - Xw - b||^2 + alpha ||w||^2. design(study_id, x),
-    targets(study_id, y array in label order)."""
+    targets(study_id, y array in label order).
+
+    `normal` solves the width x width normal equations on the driver; `cg` takes
+    conjugate-gradient steps, one pass over the pinned rows each, and holds vectors only.
+    """
     n_out = len(labels)
+    if method == "cg":
+        return _ridge_cg(design.join(targets, "study_id"), labels, width, alpha, tolerance)
+    if method != "normal":
+        raise ValueError(method)
     g = gram_matrices(design.join(targets, "study_id"), ["x", "y"], 1 + width + n_out).get(-1)
     if g is None:
         raise ValueError("no rows to fit")
@@ -110,6 +119,46 @@ def ridge_fit(design: DataFrame, targets: DataFrame, labels: list[str], width: i
     return RidgeModel(labels, coef, my - coef @ mx)
 
 
+def _ridge_cg(df: DataFrame, labels: list[str], width: int, alpha: float, tolerance: float) -> RidgeModel:
+    rows = pin(df.select("x", "y"))
+    n_out, cores = len(labels), df.sparkSession.sparkContext.defaultParallelism
+
+    def total(part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """Sum over all rows of a vector per block of rows."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = None
+            for pdf in batches:
+                if len(pdf):
+                    x, y = (np.stack(pdf[c].to_numpy()).astype(np.float64) for c in ("x", "y"))
+                    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+                        raise ValueError("missing or non-finite values in a fit input")
+                    v = part(x, y)
+                    out = v if out is None else out + v
+            if out is not None:
+                yield pd.DataFrame({"v": [out]})
+
+        found = rows.coalesce(cores).mapInPandas(run, "v array<double>").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).first()["v"]
+        if not found:
+            raise ValueError("no rows to fit")
+        return np.array(found)
+
+    sums = total(lambda x, y: np.concatenate([[len(x)], x.sum(0), y.sum(0)]))
+    mx, my = sums[1:1 + width] / sums[0], sums[1 + width:] / sums[0]
+    b = total(lambda x, y: ((x - mx).T @ (y - my)).ravel()).reshape(width, n_out)
+    w, r = np.zeros_like(b), b.copy()
+    p, rr = r.copy(), (r * r).sum(0)
+    limit = (tolerance ** 2) * np.maximum(rr, 1e-300)
+    for _ in range(2 * width):
+        if (rr <= limit).all():
+            break
+        q = total(lambda x, y: ((x - mx).T @ ((x - mx) @ p)).ravel()).reshape(width, n_out) + alpha * p
+        step = np.divide(rr, (p * q).sum(0), out=np.zeros_like(rr), where=rr > limit)
+        w, r = w + step * p, r - step * q
+        new = (r * r).sum(0)
+        p, rr = r + np.divide(new, rr, out=np.zeros_like(rr), where=rr > limit) * p, new
+    return RidgeModel(labels, w.T, my - w.T @ mx)
+
+
 def target_logits(soft: DataFrame, labels: list[str], eps: float = 1e-4) -> DataFrame:
     """(study_id, y): logit of clipped soft targets in label order, from long form."""
     from .labels import pivot_labels

@@ -75,6 +75,8 @@ def test_ridge_equals_closed_form(spark):
     Y = np.log(p) - np.log1p(-p)
     xc, yc = X[:30] - X[:30].mean(0), Y[:30] - Y[:30].mean(0)
     assert np.abs(xc.T @ (yc - xc @ model.coef.T) - 10.0 * model.coef.T).max() < 1e-8  # gradient of the objective
+    again = M.ridge_fit(design.join(fit, "study_id", "left_semi"), M.target_logits(soft, ["x", "y"]), ["x", "y"], 3 * D + 3, alpha=10.0, method="cg")
+    assert np.allclose(again.coef, model.coef, atol=1e-8) and np.allclose(again.intercept, model.intercept, atol=1e-8)
     want = X @ model.coef.T + Y[:30].mean(0) - X[:30].mean(0) @ model.coef.T
     for r in model.predict(design).collect():
         z = want[int(r.study_id), ["x", "y"].index(r.label)]
