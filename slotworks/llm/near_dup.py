@@ -3,9 +3,10 @@
 1. Every text gives `bands * rows` minima. A band's key hashes its full minima; of each minimum
    the low two bits are packed into longs.
 2. Texts with one shingle set collapse to their smallest key. Keys of a band that hold two or
-   more sets are buckets; in a bucket a member meets the head only (m - 1 candidates, not all
-   pairs). Equal packed fields are counted by bit counts, corrected for chance agreement, and
-   each member's three best estimates are confirmed on the full sets.
+   more components are buckets; in a bucket a member meets the head only (m - 1 candidates, not
+   all pairs). Equal packed fields are counted by bit counts, corrected for chance agreement, and
+   each member's three best estimates are confirmed on the full sets. A few bands come first, so
+   that large groups of near copies are one component when all bands are looked at.
 3. Buckets that still hold several components are gone through in blocks: packed signatures
    leave the members with a possible partner elsewhere, and full sets decide. A block gives a
    spanning forest at most, and no pair of a bucket is left out.
@@ -31,6 +32,7 @@ from .common import bloom_hit, bloom_words, pin
 from .words import Words, slices, window_hashes
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 50, 5, 75
+FIRST_BANDS = 16
 BLOCK = 512
 _FIELDS = np.uint64(0x5555555555555555)
 _rng = np.random.default_rng(20240607)
@@ -201,19 +203,33 @@ def block_links(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", slack: float = 0.58) -> DataFrame:
-    """(key, n_shingles, component_id, kept): one row per row of df; kept where the key is its component's smallest."""
-    sig = pin(signed(df, key, text), "signatures")
-    known = sig.filter("n > 0 AND key IS NOT NULL")
-    heads = known.groupBy("set_a", "set_b", "n").agg(F.min("key").alias("rep"), F.min_by(F.struct("bands", "packed"), "key").alias("_s"))
-    reps = pin(heads.select("set_a", "set_b", "n", "rep", "_s.bands", "_s.packed"), "sets")
+def _placed(reps: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(key, component, size, bands, packed) of the distinct sets; a set is its own component until it is linked."""
+    own = reps.select(F.col("rep").alias("key"), "bands", "packed")
+    if parts is None:
+        return own.withColumns({"component": F.col("key"), "size": F.lit(1).cast("bigint")})
+    sized = parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+    return own.join(sized, "key", "left").withColumns({"component": F.coalesce("component", "key"), "size": F.coalesce("size", F.lit(1))})
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(bucket, head, head_component, members) of the buckets that hold several components; the head is of the largest one."""
+    head = F.min(F.struct((-F.col("size")).alias("_s"), "component", "key"))
+    same = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("key").cast("decimal(38,0)")))
+    found = rows.groupBy("bucket").agg(head.alias("_h"), F.min("component").alias("_c"), F.max("component").alias("_d"), same.alias("members")).filter("_c != _d")
+    return found.select("bucket", F.col("_h.key").alias("head"), F.col("_h.component").alias("head_component"), "members")
 
-    banded = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("key"))
-    shared = banded.groupBy("bucket").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("bucket", "head")
-    members = pin(banded.join(shared, "bucket"), "buckets")
-    codes = reps.select(F.col("rep").alias("key"), "packed")
 
-    pairs = members.filter("key != head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
+def mixed_members(placed: DataFrame, bands: int) -> DataFrame:
+    """(bucket, key, component, size, head, head_component): everything in the mixed buckets of the first bands."""
+    banded = placed.select(F.explode(F.slice("bands", 1, bands)).alias("bucket"), "key", "component", "size")
+    heads = pin(_mixed(banded).drop("members"), "heads")  # of known size from here on, so that a short list is broadcast
+    return pin(banded.join(heads, "bucket"), "mixed")
+
+
+def star_links(df: DataFrame, members: DataFrame, codes: DataFrame, key: str, text: str, slack: float) -> DataFrame:
+    """(a, b): links between the members of mixed buckets and the buckets' heads."""
+    pairs = members.filter("component != head_component").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
     rated = (pairs.join(codes.select(F.col("key").alias("a"), F.col("packed").alias("_p")), "a")
              .join(codes.select(F.col("key").alias("b"), F.col("packed").alias("_q")), "b")
              .withColumn("_e", _estimate("_p", "_q")).filter(F.col("_e") >= slack))
@@ -221,21 +237,35 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", slac
     best = rated.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("_e"), "b"))).filter("_r <= 3")
     chosen = pin(best.select("a", "b"), "pairs")
     ends = chosen.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    links = pin(confirmed(chosen, full_sets(df, ends, key, text)), "links")
-    parts = connected_components(links).select(F.col("node").alias("key"), "component")
-
-    placed = members.select("bucket", "key").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = (placed.groupBy("bucket").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.count(F.lit(1)).alias("_m"),
-                                         F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("_sum"))
-             .filter("_c != _d").groupBy("_m", "_sum").agg(F.min("bucket").alias("bucket")).select("bucket"))
-    open_ = pin(placed.join(mixed, "bucket").join(codes, "key"), "open")
-    flagged = pin(possible_partners(open_, slack), "partners")
-    ends = flagged.select("key").distinct()
-    more = pin(block_links(flagged.join(full_sets(df, ends, key, text), "key")), "more-links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
+    return pin(confirmed(chosen, full_sets(df, ends, key, text)), "links")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", slack: float = 0.58) -> DataFrame:
+    """(key, n_shingles, component_id, kept): one row per row of df; kept where the key is its component's smallest."""
+    sig = pin(signed(df, key, text), "signatures")
+    known = sig.filter("n > 0 AND key IS NOT NULL")
+    heads = known.groupBy("set_a", "set_b", "n").agg(F.min("key").alias("rep"), F.min_by(F.struct("bands", "packed"), "key").alias("_s"))
+    reps = pin(heads.select("set_a", "set_b", "n", "rep", "_s.bands", "_s.packed"), "sets")
+
+    codes = reps.select(F.col("rep").alias("key"), "packed")
+    links, parts = None, None
+    # a few bands join most copies; the others then meet in mixed buckets only
+    for bands in (FIRST_BANDS, BANDS):
+        members = mixed_members(_placed(reps, parts), bands)
+        more = star_links(df, members, codes, key, text, slack)
+        links = more if links is None else links.unionByName(more)
         parts = connected_components(links).select(F.col("node").alias("key"), "component")
 
+    # components have only grown since, so what is still mixed is among these members
+    still = members.select("bucket", "key", "size").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # buckets of the same members are gone through once
+    once = pin(_mixed(still).groupBy("members").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")
+    members = pin(still.join(once, "bucket").select("bucket", "key", "component").join(codes, "key"), "members")
+    flagged = pin(possible_partners(members, slack), "partners")
+    more = pin(block_links(flagged.join(full_sets(df, flagged.select("key").distinct(), key, text), "key")), "block-links")
+    if not more.isEmpty():
+        parts = connected_components(links.unionByName(more)).select(F.col("node").alias("key"), "component")
+
     named = reps.select("set_a", "set_b", "n", "rep").join(parts, F.col("rep") == F.col("key"), "left").select(
         "set_a", "set_b", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("key", "n", "set_a", "set_b").join(named, ["set_a", "set_b", "n"], "left")
