@@ -55,8 +55,30 @@ class LibraryCodec:
             known = Tokenizer.from_file(self.path)
             known.encode_special_tokens = True  # their strings in a text are ordinary text
 
+            vocabulary = known.get_vocab()
+            size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a byte is a character of the token's name
+            for token, i in vocabulary.items():
+                size[i] = len(token)
+
             def resolve(parts: list[str]) -> list[bytes]:
-                return [np.array(e.ids, np.int32).tobytes() for e in known.encode_batch_fast(parts, add_special_tokens=False)]
+                # pieces between single spaces are encoded side by side, and the ids are told apart by their bytes
+                out = [b""] * len(parts)
+                plain = [i for i, p in enumerate(parts) if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
+                groups = [plain[at:at + 1024] for at in range(0, len(plain), 1024)] + [[i] for i in sorted(set(range(len(parts))).difference(plain))]
+                found = known.encode_batch_fast(["".join([parts[i] for i in g]) for g in groups], add_special_tokens=False)
+                for group, e in zip(groups, found):
+                    ids = np.array(e.ids, np.int32)
+                    ends, want = np.cumsum(size[ids]), np.cumsum([len(parts[i].encode()) for i in group])
+                    stop = np.searchsorted(ends, want, side="left") + 1
+                    if len(group) == 1:
+                        out[group[0]] = ids.tobytes()
+                        continue
+                    if not np.array_equal(ends[stop - 1], want):
+                        raise ValueError("a token spans two pieces")
+                    data, at = ids.tobytes(), 0
+                    for i, b in zip(group, (4 * stop).tolist()):
+                        out[i], at = data[at:b], b
+                return out
 
             _CODECS[self.path] = Pieces(resolve, lambda text: [text], self.kept)
         return _CODECS[self.path]
