@@ -220,16 +220,17 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return found.select("bucket", F.col("_h.key").alias("head"), F.col("_h.component").alias("head_component"), "members")
 
 
-def mixed_members(placed: DataFrame, bands: int) -> DataFrame:
-    """(bucket, key, component, size, head, head_component): everything in the mixed buckets of the first bands."""
-    banded = placed.select(F.explode(F.slice("bands", 1, bands)).alias("bucket"), "key", "component", "size")
-    heads = pin(_mixed(banded).drop("members"), "heads")  # of known size from here on, so that a short list is broadcast
-    return pin(banded.join(heads, "bucket"), "mixed")
+def _banded(placed: DataFrame, bands: int) -> DataFrame:
+    return placed.select(F.explode(F.slice("bands", 1, bands)).alias("bucket"), "key", "component", "size")
 
 
-def star_links(df: DataFrame, members: DataFrame, codes: DataFrame, key: str, text: str, slack: float) -> DataFrame:
-    """(a, b): links between the members of mixed buckets and the buckets' heads."""
-    pairs = members.filter("component != head_component").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
+def star_links(df: DataFrame, placed: DataFrame, bands: int, key: str, text: str, slack: float) -> DataFrame:
+    """(a, b): links between the heads of mixed buckets and the members outside the head's component."""
+    banded, codes = _banded(placed, bands), placed.select("key", "packed")
+    # of known size from here on, so that a short list is broadcast
+    heads = pin(_mixed(banded).select(F.col("bucket").alias("_bucket"), "head", "head_component"), "heads")
+    met = banded.join(heads, (F.col("bucket") == F.col("_bucket")) & (F.col("component") != F.col("head_component")))
+    pairs = met.select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
     rated = (pairs.join(codes.select(F.col("key").alias("a"), F.col("packed").alias("_p")), "a")
              .join(codes.select(F.col("key").alias("b"), F.col("packed").alias("_q")), "b")
              .withColumn("_e", _estimate("_p", "_q")).filter(F.col("_e") >= slack))
@@ -247,20 +248,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", slac
     heads = known.groupBy("set_a", "set_b", "n").agg(F.min("key").alias("rep"), F.min_by(F.struct("bands", "packed"), "key").alias("_s"))
     reps = pin(heads.select("set_a", "set_b", "n", "rep", "_s.bands", "_s.packed"), "sets")
 
-    codes = reps.select(F.col("rep").alias("key"), "packed")
     links, parts = None, None
     # a few bands join most copies; the others then meet in mixed buckets only
     for bands in (FIRST_BANDS, BANDS):
-        members = mixed_members(_placed(reps, parts), bands)
-        more = star_links(df, members, codes, key, text, slack)
+        more = star_links(df, _placed(reps, parts), bands, key, text, slack)
         links = more if links is None else links.unionByName(more)
         parts = connected_components(links).select(F.col("node").alias("key"), "component")
 
-    # components have only grown since, so what is still mixed is among these members
-    still = members.select("bucket", "key", "size").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = _placed(reps, parts)
+    banded = _banded(placed, BANDS)
     # buckets of the same members are gone through once
-    once = pin(_mixed(still).groupBy("members").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")
-    members = pin(still.join(once, "bucket").select("bucket", "key", "component").join(codes, "key"), "members")
+    once = pin(_mixed(banded).groupBy("members").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")
+    members = pin(banded.join(once, "bucket").select("bucket", "key", "component").join(placed.select("key", "packed"), "key"), "members")
     flagged = pin(possible_partners(members, slack), "partners")
     more = pin(block_links(flagged.join(full_sets(df, flagged.select("key").distinct(), key, text), "key")), "block-links")
     if not more.isEmpty():
