@@ -3,8 +3,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..functions.text import report_key, words
@@ -30,6 +34,9 @@ GRADE_PROBABILITY = {
     "Contusion":        [0.15, 0.05, 0.40, 0.90, 0.95],
     "Fracture":         [0.12, 0.05, 0.40, 0.90, 0.97],
 }
+# Members of a bucket in one block.
+BLOCK = 512
+_FIELDS = np.uint64(0x5555555555555555)
 # Silent synovitis by effusion grade.
 SILENT_OVERRIDE = {0: 0.15, 2: 0.45, 3: 0.60}
 
@@ -157,12 +164,52 @@ def template_shingles(df: DataFrame, key: str, text: str, shingle: int = 3) -> D
     return hashed.select(key, F.when(count >= shingle, grams).otherwise(F.array(F.xxhash64("_w"))).alias("_s"))
 
 
-def template_signatures(df: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4, shingle: int = 3) -> DataFrame:
-    """(key, signatures): one MinHash signature per band over the shingles."""
-    rows_out = template_shingles(df, key, text, shingle).select(key, F.explode("_s").alias("_h"))
-    # the minima are a codegen hash aggregate that combines before the shuffle
-    low = rows_out.groupBy(key).agg(*[F.min(F.xxhash64("_h", F.lit(i))).alias(f"_m{i}") for i in range(bands * rows)])
-    return low.select(key, F.array(*[F.xxhash64(F.lit(b), *[f"_m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("signatures"))
+def _coded(sets: pa.Array, bands: int, rows: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(digest, band signatures, low two bits of every minimum packed into longs) of each shingle set."""
+    lens = pc.list_value_length(sets).to_numpy(zero_copy_only=False)
+    flat, n, k = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64), len(lens), bands * rows
+    rng = np.random.default_rng(20250301)
+    factor, shift = rng.integers(0, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32)
+    ends = np.cumsum(lens)
+    low, digests, first = np.zeros((n, k), np.uint32), [], 0
+    while first < n:  # about 64k shingles at once stay in the cache
+        at = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, at + (1 << 16), side="right")))
+        own, heads = flat[at:ends[last - 1]], (ends[first:last] - lens[first:last] - at).astype(np.int64)
+        total, mixed = np.add.reduceat(own, heads), np.bitwise_xor.reduceat(_mix(own), heads)
+        digests += [f"{x:016x}{y:016x}" for x, y in zip(total.tolist(), mixed.tolist())]
+        x = (own >> np.uint64(32)).astype(np.uint32)
+        for i in range(k):
+            low[first:last, i] = np.minimum.reduceat(x * factor[i] + shift[i], heads)
+        first = last
+    found = np.zeros((n, bands), np.uint64)
+    for r in range(rows):
+        found = _mix(found * np.uint64(3) + low[:, r::rows] + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    fields = np.zeros((n, -(-k // 32) * 32), np.uint64)
+    fields[:, :k] = (low >> np.uint32(7)) & np.uint32(3)
+    return digests, found, (fields.reshape(n, -1, 32) << (2 * np.arange(32, dtype=np.uint64))).sum(2, dtype=np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def template_signatures(df: DataFrame, key: str, text: str, bands: int = 48, rows: int = 3, shingle: int = 3) -> DataFrame:
+    """(key, node, signatures, packed) of every row: the digest of its shingle set, one MinHash
+    signature per band, and two bits of every minimum."""
+    def longs(x: np.ndarray) -> pa.Array:
+        return pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                nodes, found, packed = _coded(b.column("_s"), bands, rows)
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(nodes), longs(found), longs(packed)], [key, "node", "signatures", "packed"])
+
+    sets = template_shingles(df, key, text, shingle).select(key, F.array_distinct("_s").alias("_s"))
+    return sets.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, node string, signatures array<bigint>, packed array<bigint>")
 
 
 def template_bands(signed: DataFrame, key: str) -> DataFrame:
@@ -192,29 +239,126 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_template_groups(df: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4, shingle: int = 3, similarity: float = 0.6) -> DataFrame:
-    """(key, template): texts joined through MinHash bands and a Jaccard similarity of
-    their shingle sets.
+def _agreement(a: str, b: str, minima: int) -> Column:
+    """Estimated Jaccard similarity of packed minima, corrected for the quarter that chance gives."""
+    def apart(x, y):
+        z = x.bitwiseXOR(y)
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(int(_FIELDS))))
+
+    total = F.aggregate(F.zip_with(a, b, apart), F.lit(0), lambda s, v: s + v)
+    return (S.dbl(0.75) - total / F.lit(minima)) / S.dbl(0.75)
+
+
+def _agreements(a: np.ndarray, b: np.ndarray, minima: int) -> np.ndarray:
+    """The same as `_agreement`, over numpy rows."""
+    x = a ^ b
+    return (0.75 - np.bitwise_count((x | (x >> np.uint64(1))) & _FIELDS).sum(-1) / minima) / 0.75
+
+
+def _template_sets(df: DataFrame, asked: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(node, _s) of the nodes in asked(node, key); only the rows with their keys are read again."""
+    keys = asked.select(F.col(key).alias("_key")).distinct()
+    few = df.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
-    Texts with equal signatures collapse to their smallest key first (map-side
-    combined), so any number of copies is one node of the graph. Every member of
-    a band bucket is then compared with the bucket's smallest key only, m - 1
-    candidates for m members, and linked where the sets reach `similarity`. Every
-    text is kept; a text without a partner is its own template.
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(_coded(b.column("_s"), 1, 1)[0]), b.column("_s")], ["node", "_s"])
+
+    sets = template_shingles(few, key, text, shingle).select(F.array_distinct("_s").alias("_s"))
+    return sets.mapInArrow(run, "node string, _s array<bigint>").join(asked.select("node").distinct(), "node", "left_semi")
+
+
+def _mixed_blocks(members: DataFrame) -> DataFrame:
+    """(signature, i, j, node, component, packed): members of buckets that hold several components, in pairs of salted blocks.
+
+    Members of a bucket's largest component have blocks of their own, which meet the other blocks only.
+    """
+    per = members.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_x"))
+    found = per.groupBy("signature").agg(F.max(F.struct("_n", "component")).alias("_top"), F.sum("_n").alias("_m"), F.sum("_x").alias("_all"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    # buckets of the same members are gone through once
+    once = found.groupBy("_m", "_all").agg(F.min("signature").alias("signature"), F.min_by("_top", "signature").alias("_top"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sized = once.select("signature", F.col("_top.component").alias("_major"), blocks(F.col("_m") - F.col("_top._n")).alias("_few"), blocks(F.col("_top._n")).alias("_many"))
+    own, major = members.join(sized, "signature"), F.col("component") == F.col("_major")
+    dealt = own.withColumn("_b", F.when(major, F.col("_few") + F.pmod(F.xxhash64("node", "signature"), F.col("_many"))).otherwise(F.pmod(F.xxhash64("node", "signature"), F.col("_few"))).cast("int"))
+    met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_few") - 1 + F.when(major, F.lit(0)).otherwise(F.col("_many")))))
+    return met.select("signature", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "node", "component", "packed")
+
+
+def _block_partners(blocks: DataFrame, minima: int, least: float) -> DataFrame:
+    """The rows of blocks whose estimate with a row of another component in their pair of blocks reaches `least`."""
+    def run(pdf):
+        packed, parts = np.stack(pdf["packed"].to_numpy()).view(np.uint64), pdf["component"].to_numpy()
+        hit = [((_agreements(packed, packed[r], minima) >= least) & (parts != parts[r])).any() for r in range(len(pdf))]
+        return pdf[np.array(hit, bool)]
+
+    return blocks.groupBy("signature", "i", "j").applyInPandas(run, blocks.schema)
+
+
+def _block_links(rows: DataFrame, minima: int, least: float, similarity: float) -> DataFrame:
+    """(a, b): a spanning forest of the links between components within each pair of blocks."""
+    def run(pdf):
+        nodes, parts, sets = pdf["node"].tolist(), pdf["component"].tolist(), [np.unique(np.asarray(s)) for s in pdf["_s"]]
+        packed, up, out = np.stack(pdf["packed"].to_numpy()).view(np.uint64), {c: c for c in parts}, []
+
+        def top(c):
+            while up[c] != c:
+                c = up[c]
+            return c
+
+        for x in range(len(nodes)):
+            for y in np.flatnonzero(_agreements(packed[x + 1:], packed[x], minima) >= least) + x + 1:
+                p, q = top(parts[x]), top(parts[y])
+                if p != q:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if both >= similarity * (len(sets[x]) + len(sets[y]) - both):
+                        up[p] = q
+                        out.append((nodes[x], nodes[y]))
+        return type(pdf)(out, columns=["a", "b"])
+
+    return rows.groupBy("signature", "i", "j").applyInPandas(run, "a string, b string")
+
+
+def near_template_groups(df: DataFrame, key: str, text: str, bands: int = 48, rows: int = 3, shingle: int = 3, similarity: float = 0.6) -> DataFrame:
+    """(key, template): texts joined through MinHash bands and a Jaccard similarity of
+    their shingle sets; the template is the smallest key of the group.
+
+    Texts with equal sets are one node of the graph, whatever their number. Every
+    member of a band bucket meets the bucket's smallest node first, m - 1 candidates
+    for m members, and its three best estimates are compared in full. Buckets that
+    then still hold several components are gone through in pairs of salted blocks, so
+    that no pair of a bucket is left out. At the defaults a pair at `similarity` shares
+    no band with probability (1 - 0.6**3)**48, about 8.5e-6, and the estimates let go
+    of it with less. Every text is kept; a text without a partner is its own template.
     """
+    minima = bands * rows
+    least = similarity - 4.5 * float(np.sqrt((0.25 + 0.75 * similarity) * 0.75 * (1 - similarity) / minima)) / 0.75
     signed = pin(template_signatures(df, key, text, bands, rows, shingle))
-    heads = signed.groupBy("signatures").agg(F.min(key).alias(key))
-    banded = template_bands(heads, key)
-    first = banded.groupBy("band", "signature").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
-    pairs = pin(banded.join(first, ["band", "signature"]).filter(F.col(key) != F.col("_first")).select(F.col(key).alias("a"), F.col("_first").alias("b")).distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    sets = template_shingles(df.join(asked, key, "left_semi"), key, text, shingle).select(key, F.array_distinct("_s").alias("_s"))
+    heads = pin(signed.groupBy("node").agg(F.min(key).alias(key), F.any_value("signatures").alias("signatures"), F.any_value("packed").alias("packed")))
+    banded, codes = heads.select("node", F.explode("signatures").alias("signature")), heads.select("node", "packed")
+    first = banded.groupBy("signature").agg(F.min("node").alias("_first"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    pairs = banded.join(first, "signature").filter("node != _first").select(F.col("node").alias("a"), F.col("_first").alias("b")).distinct()
+    rated = (pairs.join(codes.select(F.col("node").alias("a"), F.col("packed").alias("_p")), "a").join(codes.select(F.col("node").alias("b"), F.col("packed").alias("_q")), "b")
+             .withColumn("_e", _agreement("_p", "_q", minima)).filter(F.col("_e") >= least))
+    # a node has one head per band at the most; what is left out here is met in the blocks
+    best = pin(rated.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("_e"), "b"))).filter("_r <= 3").select("a", "b"))
+    keyed = heads.select("node", key)
+    sets = _template_sets(df, best.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keyed, "node"), key, text, shingle)
     both = F.size(F.array_intersect("_x", "_y"))
-    links = (pairs.join(sets.select(F.col(key).alias("a"), F.col("_s").alias("_x")), "a").join(sets.select(F.col(key).alias("b"), F.col("_s").alias("_y")), "b")
-             .filter(both >= S.dbl(similarity) * (F.size("_x") + F.size("_y") - both)).select("a", "b"))
+    links = pin(best.join(sets.select(F.col("node").alias("a"), F.col("_s").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("_s").alias("_y")), "b")
+                .filter(both >= S.dbl(similarity) * (F.size("_x") + F.size("_y") - both)).select("a", "b"))
     parts = connected_components(links)
-    named = heads.join(parts.withColumnRenamed("node", key), key, "left").select("signatures", F.coalesce("component", key).alias("template"))
-    return signed.join(named, "signatures").select(key, "template")
+    placed = heads.select("node", "packed", "signatures").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = placed.select(F.explode("signatures").alias("signature"), "node", "component", "packed")
+    open_ = pin(_block_partners(_mixed_blocks(members), minima, least))
+    sets = _template_sets(df, open_.select("node").distinct().join(keyed, "node"), key, text, shingle)
+    more = pin(_block_links(open_.join(sets, "node"), minima, least, similarity))
+    if not more.isEmpty():
+        parts = connected_components(links.unionByName(more))
+    grouped = keyed.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = grouped.select("node", "component").join(grouped.groupBy("component").agg(F.min(key).alias("template")), "component").select("node", "template")
+    return signed.select(key, "node").join(named, "node").select(key, "template").distinct()
 
 
 # ---- grouped folds ----------------------------------------------------------

@@ -1,6 +1,7 @@
 """Edge cases of checks, selection, labels, evaluation, slices, audit and batching."""
 import hashlib
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -186,6 +187,49 @@ def test_templates_match_all_pairs_over_bands(spark):
     assert got == dict(enumerate(label)) and got[2] == 0 and got[6] == 5 and got[3] == 3
 
 
+def test_near_templates_match_brute_force(spark):
+    """Chains and mixed buckets: a pair at the threshold is linked whatever the smallest key of its bucket is."""
+    rng, texts = random.Random(4), []
+    for _ in range(30):
+        base = [f"w{rng.randrange(400)}" for _ in range(60)]
+        for _ in range(8):
+            own, n = list(base), rng.choice([0, 2, 4, 5, 6])
+            for at in rng.sample(range(60), n):
+                own[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i:i + 3]) for i in range(58)} for t in texts]
+    label, change = list(range(len(texts))), True
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])]
+    while change:
+        change = False
+        for i, j in pairs:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                change = True
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    assert {r.id: r.template for r in L.near_template_groups(df, "id", "text").collect()} == dict(enumerate(label))
+
+
+def test_blocks_link_members_that_no_head_matches(spark, monkeypatch):
+    """Members that share a bucket with a smallest node which neither of them matches keep their link."""
+    monkeypatch.setattr(L, "BLOCK", 2)
+    base = [f"w{i}" for i in range(80)]
+    half = base[:40] + [f"y{i}" for i in range(40)]
+    texts = [" ".join(base), " ".join(half), " ".join(half[:-1] + ["z"]), " ".join(half[:-2] + ["u", "v"]), "quite another text of its own"]
+    signed = L.template_signatures(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text").collect()
+    node = {r.node: r.id for r in signed}
+    code = {r.id: r.packed for r in signed}
+    shape = "signature bigint, node string, component string, packed array<bigint>"
+    # one bucket of five members, each a component of its own
+    members = spark.createDataFrame([(1, n, n, code[i]) for n, i in node.items()], shape)
+    open_ = L._block_partners(L._mixed_blocks(members), 144, 0.37)
+    sets = L.template_shingles(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text")
+    named = spark.createDataFrame([(i, n) for n, i in node.items()], "id bigint, node string")
+    links = L._block_links(open_.join(sets.join(named, "id").drop("id"), "node"), 144, 0.37, 0.6).collect()
+    found = {frozenset((node[r.a], node[r.b])) for r in links}
+    assert found <= {frozenset(p) for p in ((1, 2), (1, 3), (2, 3))} and len(found) >= 2
+
+
 # ---- evaluation ---------------------------------------------------------------------
 
 def brute_auc(y, s, w=None):
