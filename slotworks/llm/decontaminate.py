@@ -4,8 +4,11 @@ Words become canonical tokens: numbers, units and names (capitalised words insid
 are typed placeholders, everything else its lower-case form without surrounding punctuation.
 Windows of canonical tokens are joined by hash between items and documents. Matched windows on
 one diagonal (document position minus item position) must fill the slots consistently: one
-value of the item always stands for one value of the document. A document leaks an item when
-consistent diagonals hold at least `share` of the item's windows.
+value of the item stands for one value of the document. Where a number or unit of the item
+stands for several, its most frequent one holds, and only the windows that cover another one are
+dropped (equal numbers may play independent parts); a name that stands for several is another
+text, and drops the diagonal. Windows whose slots hold the item's own values count in any case.
+A document leaks an item when at least `share` of the item's windows count.
 
 A window counts only with `LITERALS` literal tokens, so placeholders alone never match; an item
 shorter than a window is one window of its own length. A Bloom filter of fixed size over the
@@ -82,11 +85,13 @@ class Canonical:
         return starts, window_hashes(self.hash, starts, width) * np.uint64(_MULTIPLIER) + np.uint64(width)
 
     def slots(self, starts: np.ndarray, width: int) -> pa.Array:
-        """The values in each window's placeholders, as lists of hashes."""
+        """The values in each window's placeholders, as lists of hashes; the lowest bit tells names."""
         at = starts[:, None] + np.arange(width)
         taken = self.kind[at] > 0
         ends = np.concatenate([[0], np.cumsum(taken.sum(1))])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((self.value[at][taken] ^ _KINDS[self.kind[at][taken]]).view(np.int64)))
+        kind = self.kind[at][taken]
+        value = (self.value[at][taken] ^ _KINDS[kind]) & ~np.uint64(1) | (kind == 3).astype(np.uint64)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))
 
 
 def _batch(names: list[str], keys: pa.Array, tokens: Canonical, starts: np.ndarray, hashes: np.ndarray, width: int, counts: np.ndarray | None = None) -> pa.RecordBatch:
@@ -138,11 +143,16 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     met = own.join(asked, "h").select("doc", "item", "n_windows", "q", (F.col("p") - F.col("q")).alias("diagonal"), F.arrays_zip("item_slots", "slots").alias("z"))
     # one row per filled slot value, or a single row for a window without slots; partial sums before the shuffle
     filled = met.select("doc", "item", "n_windows", "q", "diagonal", F.explode_outer("z").alias("z"))
-    by_value = filled.groupBy("doc", "item", "diagonal", "z.item_slots").agg(F.min("z.slots").alias("lo"), F.max("z.slots").alias("hi"))
-    diagonals = by_value.groupBy("doc", "item", "diagonal").agg(
-        F.coalesce(F.bool_or(F.col("lo") != F.col("hi")), F.lit(False)).alias("torn"),
-        F.coalesce(F.bool_and(F.col("lo") == F.col("item_slots")), F.lit(True)).alias("verbatim"))
-    whole = met.select("doc", "item", "n_windows", "q", "diagonal").join(diagonals.filter("NOT torn"), ["doc", "item", "diagonal"])
+    by_value = filled.groupBy("doc", "item", "diagonal", F.col("z.item_slots").alias("item_slots"), F.col("z.slots").alias("slots")).agg(F.count(F.lit(1)).alias("n"))
+    by_slot = by_value.groupBy("doc", "item", "diagonal", "item_slots").agg(F.max(F.struct("n", "slots"))["slots"].alias("held"), F.collect_list("slots").alias("seen"))
+    # lists of an item's slots at the most: a diagonal has one value per item position
+    other = F.transform(F.filter("seen", lambda v: v != F.col("held")), lambda v: F.struct(F.col("item_slots").alias("item_slots"), v.alias("slots")))
+    diagonals = by_slot.groupBy("doc", "item", "diagonal").agg(
+        F.flatten(F.collect_list(other)).alias("dropped"),
+        F.coalesce(F.bool_or((F.size("seen") > 1) & (F.col("item_slots").bitwiseAND(1) == 1)), F.lit(False)).alias("torn"))
+    own_values = F.forall("z", lambda x: x["item_slots"] == x["slots"])
+    whole = (met.join(diagonals, ["doc", "item", "diagonal"]).withColumn("verbatim", own_values)
+             .filter(F.col("verbatim") | (~F.col("torn") & ~F.arrays_overlap("z", "dropped"))))
     once = whole.groupBy("doc", "item", "n_windows", "q").agg(F.bool_or("verbatim").alias("verbatim"))
     pairs = once.groupBy("doc", "item", "n_windows").agg(F.count(F.lit(1)).alias("n_matched"), F.bool_and("verbatim").alias("verbatim"))
     return (pairs.filter(F.col("n_matched") >= F.lit(share) * F.col("n_windows"))

@@ -207,6 +207,17 @@ def test_reparameterised_items_are_caught_and_others_left_alone(spark):
     assert decontaminate.leaks(docs, items.filter("false")).count() == 0
 
 
+PENS = ("A shop sells 12 pens on the first morning of the sale and later on the same day it also sells 12 cups to a school nearby. "
+        "What was the total number of things that the shop had sold by the end of the day?")
+
+
+def test_inconsistent_slots_drop_their_own_windows_only(spark):
+    changed = ITEM.replace("back from Paris", "back from Pariss")
+    docs = frame(spark, [(1, "See " + changed), (2, "See " + PENS.replace("12 pens", "7 pens").replace("12 cups", "9 cups")), (3, "See " + ITEM.replace("40", "41"))])
+    items = spark.createDataFrame([(1, ITEM), (2, PENS)], "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
 def test_short_items_are_one_window(spark):
     items = spark.createDataFrame([(4, "tiny but quite literal words")], "item_id bigint, text string")
     docs = frame(spark, [(1, "see tiny but quite literal words here"), (2, "tiny but quite other words")])
