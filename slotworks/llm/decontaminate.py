@@ -10,11 +10,15 @@ dropped (equal numbers may play independent parts); a name that stands for sever
 text, and drops the diagonal. Windows whose slots hold the item's own values count in any case.
 A document leaks an item when at least `share` of the item's windows count.
 
-A window counts only with `LITERALS` literal tokens, so placeholders alone never match; an item
-shorter than a window is one window of its own length. A Bloom filter of fixed size over the
+A template window needs `LITERALS` literal tokens, so placeholders alone never match; an item
+shorter than a window is one window of its own length. Beside its template key every window has
+an exact key of its real values in lower case, with no literal minimum, and counts where either is
+found. The share is taken of the windows with enough literals or of all windows, whichever an item
+reaches. Words in capitals throughout, of two letters or more, are words of their own in the exact
+key ("US", "us"), so a copy in capitals throughout is not found. A Bloom filter of fixed size over the
 item windows drops most document windows before the join; it never drops a match.
 
-Edge cases: null or empty texts and items without a countable window match nothing; null keys
+Edge cases: null or empty texts and items without a word match nothing; null keys
 are not judged; repeated rows count once per key; texts of any length are read whole; an empty
 table on either side gives an empty result. Only the named columns are read.
 """
@@ -65,6 +69,7 @@ class Canonical:
         closing = flag(pc.match_substring_regex(raw, r"[.!?:;][\"'”’)\]]*$"))
         filled = flag(pc.not_equal(pc.binary_length(low), 0))
         value = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in low.cast(pa.large_binary()).to_pylist()), np.uint64, len(low))
+        acronym = flag(pc.match_substring_regex(bare, r"^[\p{Lu}\d'’-]*\p{Lu}[\p{Lu}\d'’-]*\p{Lu}[\p{Lu}\d'’-]*$"))
 
         opening = np.zeros(len(of), bool)
         opening[1:] = closing[of[:-1]]
@@ -73,6 +78,7 @@ class Canonical:
         kept = filled[of]
         self.kind, self.value, self.owner = kind[kept], value[of][kept], words.owner[kept]
         self.hash = np.where(self.kind == 0, self.value, _KINDS[self.kind])
+        self.exact = np.where(acronym[of][kept], ~self.value, self.value)
         self.n = np.bincount(self.owner, minlength=len(texts)).astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.n)])
 
@@ -84,6 +90,15 @@ class Canonical:
         starts = starts[plain[starts + width] - plain[starts] >= literals]
         return starts, window_hashes(self.hash, starts, width) * np.uint64(_MULTIPLIER) + np.uint64(width)
 
+    def exact_windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of all windows, by their real values; the hashes differ from those of templates."""
+        starts = np.flatnonzero(self.start[1:][self.owner] - np.arange(len(self.owner)) >= width)
+        return starts, ~(window_hashes(self.exact, starts, width) * np.uint64(_MULTIPLIER) + np.uint64(width))
+
+    def countable(self, starts: np.ndarray, width: int, literals: int) -> np.ndarray:
+        plain = np.concatenate([[0], np.cumsum(self.kind == 0)])
+        return plain[starts + width] - plain[starts] >= literals
+
     def slots(self, starts: np.ndarray, width: int) -> pa.Array:
         """The values in each window's placeholders, as lists of hashes; the lowest bit tells names."""
         at = starts[:, None] + np.arange(width)
@@ -94,36 +109,47 @@ class Canonical:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))
 
 
-def _batch(names: list[str], keys: pa.Array, tokens: Canonical, starts: np.ndarray, hashes: np.ndarray, width: int, counts: np.ndarray | None = None) -> pa.RecordBatch:
+def _batch(names: list[str], keys: pa.Array, tokens: Canonical, starts: np.ndarray, hashes: np.ndarray, width: int, exact: bool, *more: np.ndarray) -> pa.RecordBatch:
     doc = tokens.owner[starts]
-    columns = [keys.take(pa.array(doc)), pa.array(starts - tokens.start[doc]), pa.array(hashes.view(np.int64)), tokens.slots(starts, width)]
-    if counts is not None:
-        columns += [pa.array(counts[doc]), pa.array(np.full(len(starts), width, np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names)
+    slots = pa.nulls(len(starts), pa.list_(pa.int64())) if exact else tokens.slots(starts, width)
+    columns = [keys.take(pa.array(doc)), pa.array(starts - tokens.start[doc]), pa.array(hashes.view(np.int64)), slots]
+    return pa.RecordBatch.from_arrays(columns + [pa.array(m) for m in more], names)
 
 
 def item_windows(items: DataFrame, key: str, text: str, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
-    """(item, q, h, item_slots, n_windows, width) of the countable windows of all items."""
+    """(item, q, h, item_slots, n_windows, n_all, counts, width) of the windows of all items.
+
+    A window has a row by its real values (null slots) and, if it has enough literals (`counts`),
+    one by its template. n_windows: windows with enough literals; n_all: all windows.
+    """
+    names = ["item", "q", "h", "item_slots", "n_windows", "n_all", "counts", "width"]
+
     def run(batches):
         for part in slices(batches, "text"):
             tokens = Canonical(part.column("text"))
             for w in range(1, width + 1):
+                every, exact = tokens.exact_windows(w)
+                fit = (tokens.n[tokens.owner[every]] == w) | (w == width)
+                every, exact = every[fit], exact[fit]
                 starts, hashes = tokens.windows(w, min(literals, w))
                 fit = (tokens.n[tokens.owner[starts]] == w) | (w == width)
                 starts, hashes = starts[fit], hashes[fit]
-                counts = np.bincount(tokens.owner[starts], minlength=part.num_rows).astype(np.int64)
-                yield _batch(["item", "q", "h", "item_slots", "n_windows", "width"], part.column("item"), tokens, starts, hashes, w, counts)
+                n, n_all = (np.bincount(tokens.owner[x], minlength=part.num_rows).astype(np.int64) for x in (starts, every))
+                for at, h, real in ((starts, hashes, False), (every, exact, True)):
+                    doc = tokens.owner[at]
+                    yield _batch(names, part.column("item"), tokens, at, h, w, real, n[doc], n_all[doc], tokens.countable(at, w, min(literals, w)), np.full(len(at), w, np.int32))
 
     kind = items.schema[key].dataType.simpleString()
     return (items.filter(F.col(key).isNotNull()).select(F.col(key).alias("item"), F.col(text).alias("text"))
-            .mapInArrow(run, f"item {kind}, q bigint, h bigint, item_slots array<bigint>, n_windows bigint, width int"))
+            .mapInArrow(run, f"item {kind}, q bigint, h bigint, item_slots array<bigint>, n_windows bigint, n_all bigint, counts boolean, width int"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
           width: int = WIDTH, literals: int = LITERALS, share: float = 0.5) -> DataFrame:
     """(key, item_key, n_windows, n_matched, verbatim): a row per document and item that it leaks.
 
-    verbatim: every slot holds the item's own value.
+    verbatim: every slot holds the item's own value. n_windows and n_matched are of the windows
+    with enough literals where these reach the share, else of all windows.
     """
     asked = item_windows(items, item_key, item_text, width, literals)
     widths = [r["width"] for r in asked.select("width").distinct().collect()]
@@ -133,14 +159,17 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         for part in slices(batches, "text"):
             tokens = Canonical(part.column("text"))
             for w in widths:
-                starts, hashes = tokens.windows(w, min(literals, w))
-                hit = bloom_hit(hashes.view(np.int64), found)
-                yield _batch(["doc", "p", "h", "slots"], part.column("doc"), tokens, starts[hit], hashes[hit], w)
+                for real in (False, True):
+                    starts, hashes = tokens.exact_windows(w) if real else tokens.windows(w, min(literals, w))
+                    hit = bloom_hit(hashes.view(np.int64), found)
+                    yield _batch(["doc", "p", "h", "slots"], part.column("doc"), tokens, starts[hit], hashes[hit], w, real)
 
     kind = docs.schema[key].dataType.simpleString()
     own = (docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
            .mapInArrow(run, f"doc {kind}, p bigint, h bigint, slots array<bigint>"))
-    met = own.join(asked, "h").select("doc", "item", "n_windows", "q", (F.col("p") - F.col("q")).alias("diagonal"), F.arrays_zip("item_slots", "slots").alias("z"))
+    joined = own.join(asked, "h")
+    exact = joined.filter("item_slots IS NULL").select("doc", "item", "n_windows", "n_all", "counts", "q", F.lit(True).alias("verbatim"))
+    met = joined.filter("item_slots IS NOT NULL").select("doc", "item", "n_windows", "n_all", "counts", "q", (F.col("p") - F.col("q")).alias("diagonal"), F.arrays_zip("item_slots", "slots").alias("z"))
     # one row per filled slot value, or a single row for a window without slots; partial sums before the shuffle
     filled = met.select("doc", "item", "n_windows", "q", "diagonal", F.explode_outer("z").alias("z"))
     by_value = filled.groupBy("doc", "item", "diagonal", F.col("z.item_slots").alias("item_slots"), F.col("z.slots").alias("slots")).agg(F.count(F.lit(1)).alias("n"))
@@ -153,10 +182,15 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     own_values = F.forall("z", lambda x: x["item_slots"] == x["slots"])
     whole = (met.join(diagonals, ["doc", "item", "diagonal"]).withColumn("verbatim", own_values)
              .filter(F.col("verbatim") | (~F.col("torn") & ~F.arrays_overlap("z", "dropped"))))
-    once = whole.groupBy("doc", "item", "n_windows", "q").agg(F.bool_or("verbatim").alias("verbatim"))
-    pairs = once.groupBy("doc", "item", "n_windows").agg(F.count(F.lit(1)).alias("n_matched"), F.bool_and("verbatim").alias("verbatim"))
-    return (pairs.filter(F.col("n_matched") >= F.lit(share) * F.col("n_windows"))
-            .select(F.col("doc").alias(key), F.col("item").alias(item_key), "n_windows", "n_matched", "verbatim"))
+    either = whole.select(*exact.columns).unionAll(exact)
+    once = either.groupBy("doc", "item", "n_windows", "n_all", "counts", "q").agg(F.bool_or("verbatim").alias("verbatim"))
+    pairs = once.groupBy("doc", "item", "n_windows", "n_all").agg(
+        F.count_if("counts").alias("_n"), F.bool_and("verbatim").alias("_v"), F.coalesce(F.bool_and(F.when(F.col("counts"), F.col("verbatim"))), F.lit(True)).alias("_w"),
+        F.count(F.lit(1)).alias("_all"))
+    plain = (F.col("_n") > 0) & (F.col("_n") >= F.lit(share) * F.col("n_windows"))
+    return (pairs.filter(plain | (F.col("_all") >= F.lit(share) * F.col("n_all")))
+            .select(F.col("doc").alias(key), F.col("item").alias(item_key), F.when(plain, F.col("n_windows")).otherwise(F.col("n_all")).alias("n_windows"),
+                    F.when(plain, F.col("_n")).otherwise(F.col("_all")).alias("n_matched"), F.when(plain, F.col("_w")).otherwise(F.col("_v")).alias("verbatim")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **how) -> DataFrame:

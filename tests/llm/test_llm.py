@@ -218,6 +218,14 @@ def test_inconsistent_slots_drop_their_own_windows_only(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1), (2, 2), (3, 1)}
 
 
+def test_short_and_lower_cased_copies_are_found(spark):
+    names = "On Monday Alice Brown met Tom Green and Eve Black in Paris, Oslo and Rome to see Max White, Ann Grey and Joe Stone there."
+    rows = [(1, "He asked what is 12 + 30 * 4? Nobody knew."), (2, "And who is Ada Lovelace? A writer."), (3, "so " + names.lower()), (4, "What is 12 + 31 * 4?"), (5, " ".join(words(40, 8)))]
+    items = spark.createDataFrame([(1, "What is 12 + 30 * 4?"), (2, "Who is Ada Lovelace?"), (3, names)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontaminate.leaks(frame(spark, rows), items).collect()}
+    assert got == {(1, 1): True, (2, 2): True, (3, 3): True}
+
+
 def test_short_items_are_one_window(spark):
     items = spark.createDataFrame([(4, "tiny but quite literal words")], "item_id bigint, text string")
     docs = frame(spark, [(1, "see tiny but quite literal words here"), (2, "tiny but quite other words")])
