@@ -5,7 +5,7 @@ for training, the samples themselves are the dictionary). For a text of n bytes
 a logistic curve, fitted on labelled rows that no dictionary has seen, makes it a probability.
 
 Samples are bounded by parameters (`rows` texts per label and `bytes_each` bytes of each for the
-dictionaries, `calibration` rows for the curve), drawn by the smallest hash of the key; every
+dictionaries, in pieces spread evenly from the first to the last byte; `calibration` rows for the curve), drawn by the smallest hash of the key; every
 text is scored whole. Labels, language, source and key are no inputs of a score.
 
 Edge cases: null and empty texts have difference 0 and get that score; rows with a null key are
@@ -21,12 +21,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import slices
 
 
+#: Pieces of a sampled text longer than `bytes_each`.
+PIECES = 8
+
+
 @dataclass
 class CompressionClassifier:
     good: bytes
@@ -86,6 +90,14 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-6
     return float(w[0] / scale), float(w[1])
 
 
+def spread_pieces(text: str, bytes_each: int) -> Column:
+    """Binary pieces of `bytes_each` bytes together, evenly spread over the whole text; a shorter text is one piece."""
+    raw, each = F.encode(text, "UTF-8"), max(1, bytes_each // PIECES)
+    last = F.octet_length(text) - each
+    at = lambda i: F.floor(last.cast("bigint") * i / (PIECES - 1)).cast("int") + 1
+    return F.when(F.octet_length(text) <= bytes_each, F.array(raw)).otherwise(F.array(*[F.substring(raw, at(i), F.lit(each)) for i in range(PIECES)]))
+
+
 def fit(df: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = 1024,
         bytes_each: int = 4096, size: int = 112_640, calibration: int = 8192) -> CompressionClassifier:
     """Build both dictionaries and the curve from labelled rows for which the column expression `learn` holds.
@@ -98,10 +110,10 @@ def fit(df: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str
     ordered = [F.col("o"), F.col("key")]
     packs = []
     for y in (1, 0):
-        # what goes into a dictionary is a piece of each sampled text; scores read whole texts
-        piece = F.substring(F.encode("text", "UTF-8"), 1, bytes_each).alias("piece")
-        drawn = known.filter((F.col("part") > 0) & (F.col("y") == y) & (F.length("text") > 0)).select("o", "key", piece).orderBy(*ordered).limit(rows)
-        packs.append(dictionary([bytes(r["piece"]) for r in drawn.collect()], size))
+        # what goes into a dictionary are pieces from all over each sampled text; scores read whole texts
+        pieces = spread_pieces("text", bytes_each).alias("pieces")
+        drawn = known.filter((F.col("part") > 0) & (F.col("y") == y) & (F.length("text") > 0)).select("o", "key", pieces).orderBy(*ordered).limit(rows)
+        packs.append(dictionary([bytes(p) for r in drawn.collect() for p in r["pieces"]], size))
     model = CompressionClassifier(packs[0], packs[1], 0.0, 0.0)
     held = known.filter("part = 0").select("o", "key", "y", "text")
     names = held.select("o", "key").orderBy(*ordered).limit(calibration)  # keys first: texts are not sorted

@@ -481,6 +481,23 @@ def test_scores_of_edge_rows(spark):
     assert compression_quality.score(frame(spark, []), model).count() == 0
 
 
+def test_dictionaries_hold_all_parts_of_long_texts(spark):
+    """Texts of one label differ from the other's after their first 4 KB only."""
+    def marked(stem, seed):
+        rng = random.Random(seed)
+        return " ".join(f"{stem}{rng.randrange(50)} is here" for _ in range(400))
+
+    head = " ".join(words(700, 77))
+    rows = [(i, head + " " + marked(("sunny", "grim")[i % 2], i)) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, quality int")
+    model = compression_quality.fit(frame(spark, rows), labels, F.lit(True))
+    good, bad = model.difference([marked("sunny", 500)[:1500], marked("grim", 501)[:1500]])
+    assert len(head) > 4096 and good > 0.01 and bad < -0.01
+    text = "".join(chr(33 + i % 90) for i in range(9000))
+    found = frame(spark, [(1, text), (2, "short")]).select(compression_quality.spread_pieces("text", 4096).alias("p")).collect()
+    assert [bytes(x) for x in found[0]["p"]] == [text[(8488 * i) // 7:(8488 * i) // 7 + 512].encode() for i in range(8)] and found[1]["p"] == [b"short"]
+
+
 # ---- pipeline
 
 def test_pipeline_stages_act_on_what_is_left(spark):
