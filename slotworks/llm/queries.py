@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compression_quality, decontaminate, hilbert_shards, licenses, near_dup, quality_rules, substring_dup, token_store, url_cascade
+from . import (byte_bpe, compression_quality, decontaminate, hilbert_shards, licenses, near_dup, quality_rules, spelling, substring_dup,
+               token_store, url_cascade)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,3 +195,30 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
     store = token_store.write(docs, token_store.LibraryCodec(public_tokenizers.path("byte_bpe_50k.json")))
     back = token_store.read(store, spark, docs.select("doc_id"))
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").cast("bigint").alias("ids_crc32"))
+
+
+_RUN_CRC = ("xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(octet_length(encode(k))), lambda i: "
+            "('0x' || substr(hex(encode(k)), (2 * i + 1)::BIGINT, 2))::UBIGINT)), lambda c, b: xor(c >> 8, crc_t[xor(c & 255::UBIGINT, b)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT")
+
+
+@query("op11_spelling_variants", f"""
+WITH RECURSIVE crc AS (SELECT {[c for c in _CRC]}::UBIGINT[] AS crc_t),
+  runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS r FROM documents),
+  low AS (SELECT id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS times FROM runs GROUP BY ALL),
+  hashed AS (SELECT r, times, {_RUN_CRC} AS h FROM (SELECT *, id || ':' || r AS k FROM low WHERE length(r) >= 6), crc),
+  results AS (SELECT CASE WHEN h % 199 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, times FROM hashed),
+  words AS (SELECT word, sum(times)::BIGINT AS n FROM results WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+  spots AS (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words),
+  holes AS (SELECT word, p, left(word, p - 1) AS before, substr(word, p + 1) AS behind FROM spots),
+  less AS (SELECT word AS long, before || behind AS short FROM holes),
+  pairs AS (SELECT x.word AS a, y.word AS b FROM holes x JOIN holes y ON x.p = y.p AND x.before = y.before AND x.behind = y.behind AND x.word <> y.word
+            UNION SELECT long, word FROM less JOIN words ON word = short UNION SELECT word, long FROM less JOIN words ON word = short),
+  met AS (SELECT a, b, y.n AS near_n, row_number() OVER (PARTITION BY a ORDER BY y.n DESC, b) AS r, count(*) OVER (PARTITION BY a) AS n_near FROM pairs JOIN words y ON y.word = b),
+  forms AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * w.n THEN b END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+            FROM words w LEFT JOIN met ON met.a = w.word AND r = 1),
+  chain AS (SELECT word, word AS root, 0 AS step FROM words UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON forms.word = chain.root WHERE forms.form IS NOT NULL)
+SELECT forms.word, form, (SELECT arg_max(root, step) FROM chain WHERE chain.word = forms.word) AS root, n, n_near, form_n FROM forms
+""")
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.spelling_variants(table(spark, root, "documents"))
