@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, compression_quality, decontaminate, hilbert_shards, licenses, near_dup, quality_rules, spelling, substring_dup,
-               token_store, url_cascade)
+from . import (byte_bpe, compression_quality, decontaminate, hilbert_shards, lexical_search, licenses, near_dup, quality_rules, spelling,
+               substring_dup, token_store, url_cascade)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -222,3 +222,23 @@ SELECT forms.word, form, (SELECT arg_max(root, step) FROM chain WHERE chain.word
 def op11(spark: SparkSession, root: str) -> DataFrame:
     """Spelling variants among the words of all documents."""
     return spelling.spelling_variants(table(spark, root, "documents"))
+
+
+_TERMS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op12_lexical_search", f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+  found AS (SELECT row, doc_id, w, len(w) AS n FROM docs WHERE len(w) > 0),
+  total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM found),
+  asked AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  held AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(w) AS term FROM found) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+  weighed AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM held, total GROUP BY term, n_docs),
+  parts AS (SELECT row, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS part FROM held JOIN weighed USING (term), total),
+  scored AS (SELECT item_id, row, doc_id, sum(part)::BIGINT AS score FROM parts JOIN asked USING (term) GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical_search.search(table(spark, root, "documents"), table(spark, root, "benchmark"))
