@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (byte_bpe, compression_quality, decontaminate, hilbert_shards, lexical_search, licenses, near_dup, quality_rules, spelling,
-               substring_dup, token_store, url_cascade)
+               substring_dup, token_store, toxicity, url_cascade)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -242,3 +242,12 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 def op12(spark: SparkSession, root: str) -> DataFrame:
     """The ten best documents for every benchmark item."""
     return lexical_search.search(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    """Toxicity score of every document; learned where crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, root, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, root, "labels"), ~held))
+    return scored.select("doc_id", F.coalesce(held, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
