@@ -107,7 +107,7 @@ class Tokens:
         """(text, first, last + 1) of stretches of three or more single characters, one of them a letter at least."""
         if not len(self.code):
             return []
-        single = (pc.utf8_length(self.distinct).to_numpy(zero_copy_only=False) == 1)[self.code]
+        single = ((pc.utf8_length(self.distinct).to_numpy(zero_copy_only=False) == 1) | (self.lens == 1))[self.code]
         owner, out = self.words.owner, []
         edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
         for a, b in edge.reshape(-1, 2).tolist() if len(edge) else []:
@@ -115,6 +115,10 @@ class Tokens:
             out += [(int(owner[x]), x, y) for x, y in zip(cuts, cuts[1:]) if y - x >= 3]
         return out
 
+    def single(self, code: int) -> str:
+        """A single character: without punctuation around it, if it is a letter."""
+        return (self.folded if self.lens[code] == 1 else self.distinct)[code].as_py()
+
 
 @dataclass
 class CharacterModel:
@@ -238,7 +242,7 @@ def restored(tokens: Tokens, decoder: Decoder) -> tuple[pa.Array, np.ndarray, np
     lists = [words_of[c] for c in code[at].tolist()]
     joined = tokens.spaced()
     joined_words = [[extra.setdefault(w, len(extra)) for w in decoder.restore(text)] for text in
-                    _fold(pa.array([" ".join(tokens.distinct.take(pa.array(code[a:b])).to_pylist()) for _, a, b in joined], pa.large_string())).to_pylist()]
+                    _fold(pa.array([" ".join(tokens.single(c) for c in code[a:b].tolist()) for _, a, b in joined], pa.large_string())).to_pylist()]
     there = np.flatnonzero(number[code] >= 0)
     owner = np.concatenate([tokens.words.owner[there], np.repeat(tokens.words.owner[at], [len(x) for x in lists]),
                             np.repeat([d for d, _, _ in joined], [len(x) for x in joined_words])]).astype(np.int64)
@@ -341,8 +345,9 @@ def fit(df: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str
     n, toxic = sums["n"], sums["toxic"] or 0
     if not 0 < toxic < n:
         return ToxicityModel(decoder, np.zeros(0, np.int64), np.zeros(0), 500.0 if n and toxic else -500.0)
-    # `rows` keys at the most, so this side is of bounded size
-    sample = pin(df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(keys), "key"), "toxic-sample")
+    # `rows` keys at the most, so this side is of bounded size; of rows that repeat a key, one
+    sample = pin(df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(keys), "key")
+                 .groupBy("key", "y").agg(F.max("text").alias("text")), "toxic-sample")
 
     def counted(batches):
         for part in slices(batches, "text", SLICE):
