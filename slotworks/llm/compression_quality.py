@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pin
 from .words import slices
 
 
@@ -105,24 +106,27 @@ def fit(df: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str
     A third of the labelled keys, by hash, serves the curve only.
     """
     marks = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("y"), F.max(label).alias("_y")).filter("y = _y")
-    known = (df.filter(F.col(key).isNotNull() & learn).select(F.col(key).alias("key"), F.col(text).alias("text")).join(marks.select("key", "y"), "key")
-             .withColumn("o", F.xxhash64("key")).withColumn("part", F.pmod("o", F.lit(3))))
+    # keys first: they are drawn without their texts
+    there = df.filter(F.col(key).isNotNull() & learn).groupBy(F.col(key).alias("key")).agg(F.bool_or(F.length(text) > 0).alias("filled"))
+    known = pin(there.join(marks.select("key", "y"), "key").withColumn("o", F.xxhash64("key")).withColumn("part", F.pmod("o", F.lit(3))), "labelled")
     ordered = [F.col("o"), F.col("key")]
+    first = lambda rows_of, n, use: known.filter(rows_of).orderBy(*ordered).limit(n).select("key", "o", "y", F.lit(use).alias("use"))
+    drawn = first("part > 0 AND filled AND y = 1", rows, 1).unionByName(first("part > 0 AND filled AND y = 0", rows, 0)).unionByName(first("part = 0", calibration, 2))
+    # 2 * rows + calibration keys at the most, so this side is of bounded size; of rows that repeat a key, one
+    sample = pin(df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(pin(drawn, "drawn-keys")), "key")
+                 .groupBy("key", "o", "y", "use").agg(F.max("text").alias("text")), "drawn-texts")
     packs = []
     for y in (1, 0):
         # what goes into a dictionary are pieces from all over each sampled text; scores read whole texts
-        pieces = spread_pieces("text", bytes_each).alias("pieces")
-        drawn = known.filter((F.col("part") > 0) & (F.col("y") == y) & (F.length("text") > 0)).select("o", "key", pieces).orderBy(*ordered).limit(rows)
-        packs.append(dictionary([bytes(p) for r in drawn.collect() for p in r["pieces"]], size))
+        pieces = sample.filter(F.col("use") == y).orderBy(*ordered).select(spread_pieces("text", bytes_each).alias("pieces"))
+        packs.append(dictionary([bytes(p) for r in pieces.collect() for p in r["pieces"]], size))
     model = CompressionClassifier(packs[0], packs[1], 0.0, 0.0)
-    held = known.filter("part = 0").select("o", "key", "y", "text")
-    names = held.select("o", "key").orderBy(*ordered).limit(calibration)  # keys first: texts are not sorted
     if packs[0] and packs[1]:
         def run(batches):
             for part in slices(batches, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("y").cast(pa.float64()), pa.array(model.difference(part.column("text").to_pylist()))], ["y", "d"])
 
-        points = held.join(names.select("o", "key"), ["o", "key"]).select("y", "text").mapInArrow(run, "y double, d double").toArrow()
+        points = sample.filter("use = 2").select("y", "text").mapInArrow(run, "y double, d double").toArrow()
         y, d = (points[c].to_numpy() for c in ("y", "d"))
         if len(set(y.tolist())) == 2:
             model.slope, model.offset = logistic(d, y)
