@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_hit, bloom_words
+from .common import bloom_hit, bloom_words, pin
 from .words import Words, slices, window_hashes
 
 WIDTH, LITERALS = 8, 4
@@ -167,7 +167,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     kind = docs.schema[key].dataType.simpleString()
     own = (docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
            .mapInArrow(run, f"doc {kind}, p bigint, h bigint, slots array<bigint>"))
-    joined = own.join(asked, "h")
+    # read three times below; few document windows meet an item's
+    joined = pin(own.join(asked, "h"), "item-hits")
     exact = joined.filter("item_slots IS NULL").select("doc", "item", "n_windows", "n_all", "counts", "q", F.lit(True).alias("verbatim"))
     met = joined.filter("item_slots IS NOT NULL").select("doc", "item", "n_windows", "n_all", "counts", "q", (F.col("p") - F.col("q")).alias("diagonal"), F.arrays_zip("item_slots", "slots").alias("z"))
     # one row per filled slot value, or a single row for a window without slots; partial sums before the shuffle
