@@ -34,6 +34,8 @@ from .words import Words, slices, window_hashes
 WIDTH, BANDS, ROWS, PERCENT = 5, 50, 5, 75
 FIRST_BANDS = 16
 BLOCK = 512
+#: Rows of a slice, beside its bytes: short texts have as many minima as long ones.
+SLICE_ROWS = 2048
 _FIELDS = np.uint64(0x5555555555555555)
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << 1) | 1
@@ -63,7 +65,7 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, packed low bits) per set; rows of empty sets are zero."""
     n, k = len(sets), BANDS * ROWS
-    low = np.zeros((n, k), np.uint32)
+    keys, packed = np.zeros((n, BANDS), np.uint64), np.zeros((n, -(-k // 32)), np.uint64)
     full = np.flatnonzero([len(s) > 0 for s in sets])
     group, size = [], 0
     for at, i in enumerate(full):  # about 64k shingles at once stay in the cache
@@ -72,18 +74,21 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if size >= 1 << 16 or at == len(full) - 1:
             x = (np.concatenate([sets[j] for j in group]) >> np.uint64(32)).astype(np.uint32)
             first = np.concatenate([[0], np.cumsum([len(sets[j]) for j in group])[:-1]])
-            y = np.empty_like(x)
+            y, low = np.empty_like(x), np.zeros((len(group), k), np.uint32)
             for p in range(k):
                 np.multiply(x, _A[p], out=y)
                 y += _B[p]
-                low[group, p] = np.minimum.reduceat(y, first)
+                low[:, p] = np.minimum.reduceat(y, first)
+            # what is per minimum is kept for one group only
+            own = np.zeros((len(group), BANDS), np.uint64)
+            for r in range(ROWS):
+                own = _mix(own * np.uint64(3) + low[:, r::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            keys[group] = own
+            fields = np.zeros((len(group), 32 * packed.shape[1]), np.uint64)
+            fields[:, :k] = (low >> np.uint32(7)) & np.uint32(3)
+            fields <<= np.tile(2 * np.arange(32, dtype=np.uint64), packed.shape[1])
+            packed[group] = fields.reshape(len(group), -1, 32).sum(2, dtype=np.uint64)
             group, size = [], 0
-    keys = np.zeros((n, BANDS), np.uint64)
-    for r in range(ROWS):
-        keys = _mix(keys * np.uint64(3) + low[:, r::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    fields = np.zeros((n, -(-k // 32) * 32), np.uint64)
-    fields[:, :k] = (low >> np.uint32(7)) & np.uint32(3)
-    packed = (fields.reshape(n, -1, 32) << (2 * np.arange(32, dtype=np.uint64))).sum(2, dtype=np.uint64)
     return keys, packed
 
 
@@ -97,7 +102,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def signed(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n, set_a, set_b, bands, packed): one row per row of df."""
     def run(batches):
-        for part in slices(batches, "text"):
+        for part in (p.slice(at, SLICE_ROWS) for p in slices(batches, "text") for at in range(0, p.num_rows, SLICE_ROWS)):
             sets = shingle_sets(part.column("text"))
             bands, packed = signatures(sets)
             yield pa.RecordBatch.from_arrays([
