@@ -1,10 +1,9 @@
 """Byte-level BPE over a rank file: two-tier encoding of whole texts, and decoding.
 
 A pre-token that is a vocabulary entry is found by a minimal perfect hash and a comparison
-with the entry in its slot. Any other one is merged over linked bytes, lowest rank first and
-leftmost among equal ranks: long ones with a heap, and the many short ones of a slice together,
-each row of a matrix being the queue of one pre-token and every step popping the least entry
-of all rows. Results per pre-token are kept in a table of bounded size per worker.
+with the entry in its slot. Any other one is merged over linked bytes with a heap, lowest rank
+first and leftmost among equal ranks. Distinct stretches of text are coded once per slice, and
+their ids are kept in a table of bounded size per worker.
 
 Edge cases: a null text is encoded as an empty one (no ids); texts of any length are read
 whole; null ids decode to empty bytes, an unknown id raises; repeated rows are encoded alike;
@@ -15,8 +14,8 @@ from __future__ import annotations
 
 import base64
 import gc
-import heapq
-import re
+from array import array
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -32,7 +31,8 @@ from .words import slices
 
 #: A space between two characters that are not white space begins a pre-token, so texts without
 #: any other white space next to a space can be cut at spaces before the pattern is applied.
-_ODD_SPACE = re.compile(r"\s | \s|\A | \Z")
+_WHITE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+_ODD_SPACE = rf"{_WHITE} | {_WHITE}|\A | \z"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,42 +46,58 @@ class Pieces:
 
     `resolve` gives the ids of pieces as 32-bit integers side by side. A piece ends where a
     pre-token ends: at a single space, or, around other white space, where `split` says so.
+    Texts are cut in Arrow, and only the distinct pieces of a slice become Python strings.
     """
 
     def __init__(self, resolve, split, kept: int, by_spaces: bool = True):
         self.resolve, self.split, self.kept, self.by_spaces = resolve, split, kept, by_spaces
         self.seen: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct pieces, piece of each occurrence, number of pieces of each text)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False).astype(bool)
+        filled = pc.not_equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(bool)
+        even = filled & ~odd if self.by_spaces else np.zeros(len(texts), bool)
+        lists = pc.split_pattern(texts.filter(pa.array(even)), " ")
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pa.concat_arrays([lists.flatten()]).dictionary_encode()
+        # behind a text's first piece, each begins with the space that was cut away
+        code = 2 * coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        code[np.cumsum(n) - n] -= 1
+        there, code = np.unique(code, return_inverse=True)
+        names = coded.dictionary.take(pa.array(there >> 1)).to_pylist()
+        distinct = [" " + p if spaced else p for p, spaced in zip(names, (there & 1).tolist())]
+        counts = np.zeros(len(texts), np.int64)
+        counts[even] = n
+        rest = np.flatnonzero(filled & ~even)
+        if not len(rest):
+            return distinct, code, counts
+        number = {p: i for i, p in enumerate(distinct)}
+        pieces = [[number.setdefault(p, len(number)) for p in self.split(t)] for t in texts.take(pa.array(rest)).to_pylist()]
+        counts[rest] = [len(p) for p in pieces]
+        ends = np.cumsum(counts)
+        out = np.zeros(int(ends[-1]), np.int64)
+        out[np.repeat(even, counts)] = code
+        out[np.repeat(filled & ~even, counts)] = np.array([p for x in pieces for p in x], np.int64)
+        return list(number), out, counts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text ends)."""
-        parts: list[str] = []
-        counts = []
-        for text in texts:
-            had = len(parts)
-            if text:
-                if self.by_spaces and not _ODD_SPACE.search(text):
-                    first, *rest = text.split(" ")
-                    parts.append(first)
-                    parts += [" " + x for x in rest]
-                else:
-                    parts += self.split(text)
-            counts.append(len(parts) - had)
-        new = list(set(parts).difference(self.seen))
+        distinct, code, counts = self.cut(texts)
+        new = [p for p in distinct if p not in self.seen]
         self.seen.update(zip(new, self.resolve(new)))
-        found = list(map(self.seen.__getitem__, parts))
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
-        ids = np.frombuffer(b"".join(found), np.int32)
+        found = [self.seen[p] for p in distinct]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        ids = lists.take(pa.array(code)).flatten().to_numpy(zero_copy_only=False) if len(code) else np.zeros(0, np.int32)
+        ends = np.concatenate([[0], np.cumsum(size[code])])
         for part in new:
             if len(part) > 256:
                 del self.seen[part]
         if len(self.seen) > self.kept:  # the older half goes
             self.seen = dict(islice(self.seen.items(), len(self.seen) - self.kept // 2, None))
-        return ids, ends[np.cumsum(counts, dtype=np.int64)]
-
-
-#: Pre-tokens up to so many bytes are merged together.
-SHORT = 32
-_LAST = np.int64(1) << 62
+        return ids, ends[np.cumsum(counts)]
 
 
 class Codec:
@@ -116,94 +132,45 @@ class Tables:
         for token, i in self.ranks.items():
             by_id[i] = token
         self.by_id = pa.array(by_id, pa.large_binary())
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
         # rank of two neighbouring parts, by their ids
         self.pairs = {self.ranks[t[:i]] << 32 | self.ranks[t[i:]]: r for t, r in self.ranks.items()
                       for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
-        self.pair_keys = np.sort(np.fromiter(self.pairs, np.int64, len(self.pairs)))
-        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.split = regex.compile(pattern).findall
         self.pieces = Pieces(self.resolve, self.split, kept, by_spaces)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: a heap of rank and position over linked parts."""
+    def merge(self, piece: bytes) -> bytes:
+        """Ids of one pre-token, as 32-bit integers side by side: a heap of rank and position over linked parts."""
         n, get = len(piece), self.pairs.get
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ids = [*map(self.byte_ids.__getitem__, piece)]
         rank = [get(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]  # of the part and the next one
         rank.append(-1)
         bits = n.bit_length()
         heap, low = [r << bits | i for i, r in enumerate(rank) if r >= 0], (1 << bits) - 1
-        heapq.heapify(heap)
+        heapify(heap)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while heap:
-            top = heapq.heappop(heap)
+            top = heappop(heap)
             i, r = top & low, top >> bits
             if rank[i] != r:
                 continue  # one of the two parts has changed since
             gone = after[i]
-            ids[i], rank[i], rank[gone], k = r, -1, -1, after[gone]
+            ids[i], rank[gone], k = r, -1, after[gone]
+            ids[gone] = -1
             after[i] = k
             if k < n:
                 before[k] = i
                 rank[i] = new = get(r << 32 | ids[k], -1)
                 if new >= 0:
-                    heapq.heappush(heap, new << bits | i)
+                    heappush(heap, new << bits | i)
+            else:
+                rank[i] = -1
             j = before[i]
             if j >= 0:
                 rank[j] = new = get(ids[j] << 32 | r, -1)
                 if new >= 0:
-                    heapq.heappush(heap, new << bits | j)
-        out, i = [], 0
-        while i < n:
-            out.append(ids[i])
-            i = after[i]
-        return out
-
-    def _keys(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Rank and position of neighbouring parts as one number, or the largest where they don't merge."""
-        key = left << 32 | right
-        found = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[found] == key, self.pair_ranks[found] << 8 | at, _LAST)
-
-    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
-        """The same for many short pre-tokens at once; row i holds the links and the queue of pieces[i].
-
-        Ids come as 32-bit integers side by side.
-        """
-        if not pieces:
-            return []
-        lens = np.array([len(p) for p in pieces])
-        width = int(lens.max()) + 1
-        flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
-        at = np.arange(width)
-        ids = np.where(at < lens[:, None], self.byte_ids[flat], -1)
-        after, before = np.tile(at + 1, (len(pieces), 1)), np.tile(at - 1, (len(pieces), 1))
-        queue = np.full(ids.shape, _LAST)
-        both = np.argwhere(at[:-1] < lens[:, None] - 1)
-        r, c = both[:, 0], both[:, 1]
-        queue[r, c] = self._keys(ids[r, c], ids[r, c + 1], c)
-        live = np.arange(len(pieces))
-        while len(live):
-            top = queue[live].min(1)
-            going = top < _LAST
-            live, top = live[going], top[going]
-            i = top & 255
-            gone = after[live, i]
-            k = after[live, gone]
-            ids[live, i], ids[live, gone] = top >> 8, -1
-            after[live, i] = k
-            queue[live, i] = queue[live, gone] = _LAST
-            r = np.flatnonzero(k < lens[live])
-            rows, pos, nxt = live[r], i[r], k[r]
-            before[rows, nxt] = pos
-            queue[rows, pos] = self._keys(ids[rows, pos], ids[rows, nxt], pos)
-            j = before[live, i]
-            r = np.flatnonzero(j >= 0)
-            rows, pos, prv = live[r], i[r], j[r]
-            queue[rows, prv] = self._keys(ids[rows, prv], ids[rows, pos], prv)
-        kept = ids >= 0
-        values, ends = ids[kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
-        return [values[a:b] for a, b in zip([0, *ends], ends)]
+                    heappush(heap, new << bits | j)
+        return array("i", [x for x in ids if x >= 0]).tobytes()
 
     def resolve(self, parts: list[str]) -> list[bytes]:
         """Ids of stretches of text, each ending where a pre-token ends."""
@@ -212,10 +179,7 @@ class Tables:
         raw = [w.encode() for w in new]
         slots = self.hash.slots(PerfectHash.halves(raw)).tolist() if raw else []
         ids = {w: self.ranks[b].to_bytes(4, "little") for w, b, s in zip(new, raw, slots) if self.slots[s] == b}
-        rest = [(w, b) for w, b in zip(new, raw) if w not in ids]
-        short = [x for x in rest if len(x[1]) <= SHORT]
-        ids |= zip((w for w, _ in short), self.merge_many([b for _, b in short]))
-        ids |= {w: np.array(self.merge(b), np.int32).tobytes() for w, b in rest if len(b) > SHORT}
+        ids |= {w: self.merge(b) for w, b in zip(new, raw) if w not in ids}
         return [ids[group[0]] if len(group) == 1 else b"".join(map(ids.__getitem__, group)) for group in words]
 
     def decode(self, ids: pa.Array, offsets: np.ndarray) -> pa.Array:
@@ -245,7 +209,7 @@ def encode(df: DataFrame, codec: Codec, text: str = "text", out: str = "ids", dr
         tables = codec.tables
         for part in slices(batches, text):
             gc.disable()  # many small objects without cycles
-            ids, ends = tables.pieces.encode(part.column(text).to_pylist())
+            ids, ends = tables.pieces.encode(part.column(text))
             gc.enable()
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [lists], kept + [out])

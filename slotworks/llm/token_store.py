@@ -138,7 +138,7 @@ def write(df: DataFrame, codec: LibraryCodec, key: str = "doc_id", text: str = "
             total = 0
             for chunk in slices(batches, "text"):
                 gc.disable()
-                found, stop = pieces.encode(chunk.column("text").to_pylist())
+                found, stop = pieces.encode(chunk.column("text"))
                 gc.enable()
                 with_end = np.insert(found, stop, end_id).astype(kind)
                 out.write(with_end.tobytes())
