@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from `spark.checkpoint.dir`; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder from `spark.checkpoint.dir`; a temporary one only in local mode, where driver and tasks share the machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="run-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="run-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -25,6 +27,23 @@ def pin(df: DataFrame, name: str = "pin") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it where df has a column of that name."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def row_name(key: str, text: str) -> Column:
+    """A row's key and a hash of its text: what decisions on rows are carried by, as keys may be null or repeat."""
+    return F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull().cast("string"), F.xxhash64(text).cast("string"))
+
+
+def without_rows(df: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """df without the rows whose `name` is in `gone`, which is written first: a short list is broadcast, and no row is shuffled for it."""
+    return df.join(pin(gone.select(name).distinct(), "gone"), name, "left_anti")
+
+
 def with_global_rank(df: DataFrame, order: list[str], out: str = "rank") -> tuple[DataFrame, int]:
     """(df with a gapless 0-based rank in the total order `order`, number of rows).
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_hit, bloom_words, pin
+from .common import bloom_hit, bloom_words, free_name, pin, row_name, without_rows
 from .words import Words, slices, window_hashes
 
 WIDTH, LITERALS = 8, 4
@@ -194,6 +194,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     F.when(plain, F.col("_n")).otherwise(F.col("_all")).alias("n_matched"), F.when(plain, F.col("_w")).otherwise(F.col("_v")).alias("verbatim")))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows that leak an item; rows with a null key stay."""
-    return docs.join(leaks(docs, items, key=key, **how).select(key).distinct(), key, "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs without the rows that leak an item. Each row is judged by its own text, also where its key is null or repeats."""
+    name = free_name(docs, "_row")
+    named = docs.withColumn(name, row_name(key, text))
+    return without_rows(named, leaks(named, items, key=name, text=text, **how), name).select(*docs.columns)

@@ -99,8 +99,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - apart / (BANDS * ROWS) - 0.25) / 0.75
 
 
-def signed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, set_a, set_b, bands, packed): one row per row of df."""
+def signed(df: DataFrame, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n, set_a, set_b, bands, packed, also...): one row per row of df."""
     def run(batches):
         for part in (p.slice(at, SLICE_ROWS) for p in slices(batches, "text") for at in range(0, p.num_rows, SLICE_ROWS)):
             sets = shingle_sets(part.column("text"))
@@ -110,11 +110,12 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
                 pa.array([int(s.sum(dtype=np.uint64)) for s in sets], pa.uint64()).view(pa.int64()),
                 pa.array([int(np.bitwise_xor.reduce(_mix(s))) if len(s) else 0 for s in sets], pa.uint64()).view(pa.int64()),
                 pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
-                pa.FixedSizeListArray.from_arrays(pa.array(packed.view(np.int64).ravel()), packed.shape[1]).cast(pa.list_(pa.int64()))],
-                ["key", "n", "set_a", "set_b", "bands", "packed"])
+                pa.FixedSizeListArray.from_arrays(pa.array(packed.view(np.int64).ravel()), packed.shape[1]).cast(pa.list_(pa.int64()))]
+                + [part.column(c) for c in also], ["key", "n", "set_a", "set_b", "bands", "packed", *also])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        run, f"key {df.schema[key].dataType.simpleString()}, n bigint, set_a bigint, set_b bigint, bands array<bigint>, packed array<bigint>")
+    shape = f"key {df.schema[key].dataType.simpleString()}, n bigint, set_a bigint, set_b bigint, bands array<bigint>, packed array<bigint>"
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text"), *also).mapInArrow(
+        run, ", ".join([shape, *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in also)]))
 
 
 def _estimate(a: str, b: str):
@@ -246,9 +247,9 @@ def star_links(df: DataFrame, placed: DataFrame, bands: int, key: str, text: str
     return pin(confirmed(chosen, full_sets(df, ends, key, text)), "links")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", slack: float = 0.58) -> DataFrame:
-    """(key, n_shingles, component_id, kept): one row per row of df; kept where the key is its component's smallest."""
-    sig = pin(signed(df, key, text), "signatures")
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", slack: float = 0.58, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_shingles, component_id, kept, also...): one row per row of df; kept where the key is its component's smallest."""
+    sig = pin(signed(df, key, text, also), "signatures")
     known = sig.filter("n > 0 AND key IS NOT NULL")
     heads = known.groupBy("set_a", "set_b", "n").agg(F.min("key").alias("rep"), F.min_by(F.struct("bands", "packed"), "key").alias("_s"))
     reps = pin(heads.select("set_a", "set_b", "n", "rep", "_s.bands", "_s.packed"), "sets")
@@ -272,7 +273,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", slac
 
     named = reps.select("set_a", "set_b", "n", "rep").join(parts, F.col("rep") == F.col("key"), "left").select(
         "set_a", "set_b", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("key", "n", "set_a", "set_b").join(named, ["set_a", "set_b", "n"], "left")
+    out = sig.select("key", "n", "set_a", "set_b", *also).join(named, ["set_a", "set_b", "n"], "left")
     part = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return (out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), part).alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))))
+    return (out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), part).alias("component_id"),
+                       F.coalesce(F.col("key") == part, F.lit(True)).alias("kept"), *also))

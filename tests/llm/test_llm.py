@@ -273,9 +273,9 @@ def test_bpe_matches_library_and_decodes(spark, codec, library):
     assert [bytes(r["bytes"]) for r in byte_bpe.decode(spark.createDataFrame([(None,)], "ids array<int>"), codec).collect()] == [b""]
 
 
-def test_short_and_long_merges_agree(codec, library):
-    pieces = [w.encode() for w in words(300, 9)] + [b" thtionentre", b"a", b"ab"]
-    assert [np.frombuffer(x, np.int32).tolist() for x in codec.tables.merge_many(pieces)] == [codec.tables.merge(p) for p in pieces]
+def test_merges_match_library(codec, library):
+    pieces = [w.encode() for w in words(300, 9)] + [b" thtionentre", b"a", b"ab", b"ab" * 300, "日本é".encode() * 9]
+    assert [np.frombuffer(codec.tables.merge(p), np.int32).tolist() for p in pieces] == [library._encode_single_piece(p) for p in pieces]
 
 
 def test_bpe_query(spark, library):
@@ -530,3 +530,22 @@ def test_stages_on_edge_rows(spark):
         assert out.columns == docs.columns and out.count() <= docs.count()
         assert stage(spark, docs.filter("false"), ROOT).count() == 0
     assert duckdb
+
+
+def test_rows_with_null_or_repeated_keys_have_their_own_verdict(spark, tmp_path):
+    """One rejected, copied or leaking row takes no other row with its key along, and a null key saves none."""
+    good, other, third = (" ".join(words(80, n)) for n in (21, 22, 23))
+    leak = " ".join(words(40, 24))
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def left(stage, rows):
+        return sorted(((r["doc_id"], r["text"]) for r in stages[stage](spark, frame(spark, rows), str(tmp_path)).collect()), key=str)
+
+    rows = [(5, good), (5, "too short"), (None, "short too"), (None, other), (6, third)]
+    assert left("quality_rules", rows) == sorted([(5, good), (None, other), (6, third)], key=str)
+    rows = [(1, good), (5, good), (5, other), (6, third)]
+    assert left("near_duplicates", rows) == sorted([(1, good), (5, other), (6, third)], key=str)
+    rows = [(5, good), (5, f"{other} {leak}"), (None, leak), (None, other)]
+    assert left("decontamination", rows) == sorted([(5, good), (None, other)], key=str)
