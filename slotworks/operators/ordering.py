@@ -3,9 +3,10 @@
 A plain ordered window puts a whole group into one task. Two ways around that:
 
 * `running_totals` first collapses equal values (map-side combined), then cuts
-  the value axis into fixed buckets, prefixes the few bucket totals and only
-  orders values inside one bucket. The bucket of a value is a pure function of
-  the value, so a retried task can never disagree with its siblings.
+  the value axis at quantiles of the distinct values, prefixes the totals of
+  these ranges and only orders values inside one range. The cuts are constants of
+  the plan, so the range of a value is a pure function of the value and a retried
+  task can never disagree with its siblings.
 * `with_row_number` measures the largest group. Up to `hot_rows` rows a window
   is the right plan; beyond it rows are range-partitioned by (keys, order), the
   assignment is checkpointed, and each range is numbered on its own.
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col, dbl
-from ..session import pin
+from ..session import pin, stored
 
 HOT_ROWS = 2_000_000
 
@@ -84,36 +85,60 @@ def with_hash_ordinal(df: DataFrame, hash_col: str, tie: list[str], out: str = "
             .withColumn(out, (F.col("_before") + F.col("_in") - 1).cast("bigint")).drop("_b", "_in", "_before"))
 
 
-def value_bucket(x) -> Column:
-    """Monotone bucket of a number: fixed log-spaced cells, finest near zero.
+RANGE_ROWS = 250_000
 
-    2^16 cells per natural log unit of |x| * 2^30, so [0, 1] has 1.36 million
-    cells and any double at most 50 million.
-    """
-    x = col(x).cast("double")
-    return F.floor(F.signum(x) * F.log1p(F.abs(x) * dbl(2 ** 30)) * dbl(2 ** 16)).cast("bigint")
+
+def range_cuts(df: DataFrame, value: str, rows: int = RANGE_ROWS) -> list[float]:
+    """Ascending cuts that deal the rows of a stored table into ranges of about `rows` rows, 4096 ranges at the most."""
+    n = min(4096, -(-df.count() // rows))
+    if n < 2:
+        return []
+    return df.agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0]
+
+
+def value_range(value: str, cuts: list[float]) -> Column:
+    """Number of the cuts that are not above the value: coarse cuts first, then those between two of them."""
+    if not cuts:
+        return F.lit(0)
+    step = int(len(cuts) ** 0.5) + 1
+    x, every = F.col(value).cast("double"), F.array(*[F.lit(c) for c in cuts])
+    below = lambda c: F.size(F.filter(c, lambda v: v <= x))
+    coarse = below(F.array(*[F.lit(c) for c in cuts[step - 1::step]])) * step
+    return coarse + below(F.slice(every, coarse + 1, step))
+
+
+def no_nan(df: DataFrame, value: str) -> DataFrame:
+    if df.schema[value].dataType.typeName() not in ("double", "float"):
+        return df
+    return df.withColumn(value, F.when(F.isnan(value), F.raise_error(F.lit(f"NaN in {value}"))).otherwise(F.col(value)))
 
 
 def running_totals(df: DataFrame, by: list[str], value: str, measures: dict[str, Column]) -> DataFrame:
     """One row per (by, value): each measure m at the value, `m_below` strictly
     below it, and `m_all` over the whole group. NULL values are left out, NaN is an
-    error, and NULL in `by` is a group like any other."""
+    error, and NULL in `by` is a group like any other.
+
+    Distinct values are stored once and cut into ranges. A range's total of everything
+    below it goes in front of its rows as a row without a value, so the cells of a
+    range are shuffled once more and joined with nothing.
+    """
     names = list(measures)
-    if df.schema[value].dataType.typeName() in ("double", "float"):
-        number = F.when(F.isnan(value), F.raise_error(F.lit(f"NaN in {value}"))).otherwise(F.col(value))
-        df = df.withColumn(value, number)
-    cells = (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
-             .agg(*[F.sum(measures[m]).alias(m) for m in names]).withColumn("_b", value_bucket(value)))
+    cells = stored(no_nan(df, value).filter(F.col(value).isNotNull()).groupBy(*by, value)
+                   .agg(*[F.sum(measures[m]).alias(m) for m in names]), "cells")
+    cells = cells.withColumn("_b", value_range(value, range_cuts(cells, value)))
     group = Window.partitionBy(*(by or [F.lit(0)]))
     earlier = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cells.groupBy(*by, "_b").agg(*[F.sum(m).alias(m) for m in names])
-    totals = totals.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])], *[F.sum(m).over(earlier).alias(f"_{m}_before") for m in names],
-                           *[F.sum(m).over(group).alias(f"{m}_all") for m in names])
-    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("*", *[F.sum(m).over(inside).alias(f"_{m}_inside") for m in names])
-    zero = F.lit(0)
-    below = [(F.coalesce(f"_{m}_before", zero) + F.coalesce(f"_{m}_inside", zero)).alias(f"{m}_below") for m in names]
-    return cells.join(totals, same([*by, "_b"])).select(*by, value, *names, *below, *[f"{m}_all" for m in names])
+    totals = cells.groupBy(*by, "_b").agg(*[F.sum(m).alias(f"_{m}_t") for m in names])
+    nothing = F.lit(None)
+    front = totals.select(*by, nothing.cast(cells.schema[value].dataType).alias(value), "_b",
+                          *[F.coalesce(F.sum(f"_{m}_t").over(earlier), F.lit(0)).cast(cells.schema[m].dataType).alias(m) for m in names],
+                          *[F.sum(f"_{m}_t").over(group).cast(cells.schema[m].dataType).alias(f"{m}_all") for m in names])
+    both = front.unionByName(cells.select(*by, value, "_b", *names, *[nothing.cast(cells.schema[m].dataType).alias(f"{m}_all") for m in names]))
+    inside = Window.partitionBy(*by, "_b").orderBy(F.col(value).asc_nulls_first())
+    below = inside.rowsBetween(Window.unboundedPreceding, -1)
+    summed = both.select(*by, value, *names, *[F.sum(m).over(below).alias(f"{m}_below") for m in names],
+                         *[F.first(f"{m}_all").over(below).alias(f"{m}_all") for m in names])
+    return summed.filter(F.col(value).isNotNull())
 
 
 def same(columns: list[str]) -> Column:

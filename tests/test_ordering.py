@@ -92,3 +92,27 @@ def test_nulls_and_nan(spark):
     assert {r.g: r.q for r in O.exact_quantiles(df, ["g"], "v", {"q": 0.5}).collect()} == {None: 1.5, "a": 5.0}
     with pytest.raises(Exception, match="NaN in v"):
         O.exact_quantiles(df.unionByName(df.withColumn("v", F.lit(float("nan")))), ["g"], "v", {"q": 0.5}).collect()
+
+
+def test_a_narrow_range_of_values_spreads_over_many_ranges(spark, monkeypatch):
+    """10^5 distinct values within 1e-7, with NULL and hot groups: ranges stay near their size, sums are exact."""
+    monkeypatch.setattr(O, "RANGE_ROWS", 2000)
+    monkeypatch.setattr(O.range_cuts, "__defaults__", (2000,))
+    df = spark.range(100_000).select(F.col("id"), (1 + F.col("id") * 1e-12).alias("v"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("hot")).alias("g"))
+    cuts = O.range_cuts(df, "v")
+    sizes = [r["count"] for r in df.groupBy(O.value_range("v", cuts).alias("b")).count().collect()]
+    assert len(sizes) == 50 and max(sizes) < 2500
+    got = O.running_totals(df, ["g"], "v", {"n": F.lit(1).cast("bigint"), "s": F.col("id")}).join(df.select("id", "v"), "v")
+    pdf = got.toPandas().sort_values("id")
+    for _, rows in pdf.groupby("g", dropna=False):
+        assert (rows.n_below.to_numpy() == np.arange(len(rows))).all() and (rows.n_all == len(rows)).all()
+        assert (rows.s_below.to_numpy() == np.cumsum(rows.id.to_numpy()) - rows.id.to_numpy()).all() and (rows.s_all == rows.id.sum()).all()
+
+
+def test_ranges_agree_with_a_plain_search(spark):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 15, 16, 17, 300):
+        cuts = sorted(rng.normal(size=n).round(1).tolist())
+        x = [float(v) for v in rng.normal(size=50).round(1)] + [float("inf"), float("-inf")]
+        got = [r.b for r in spark.createDataFrame([(v,) for v in x], "v double").select(O.value_range("v", cuts).alias("b")).collect()]
+        assert got == np.searchsorted(cuts, x, side="right").tolist()
