@@ -3,12 +3,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import pin
-from .ordering import running_totals, with_average_rank, with_row_number
+from ..session import pin, stored
+from .ordering import no_nan, range_cuts, running_totals, value_range, with_average_rank, with_row_number
 
 
 def support(df: DataFrame, by: list[str] = ("label",), y: str = "y") -> DataFrame:
@@ -65,19 +68,63 @@ def poisson_draws(ids: DataFrame, key: str, repeats: int, seed: int) -> DataFram
     reps = ids.select(key).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(repeats - 1).cast("bigint"))))
     u = S.hash_uniform(F.lit(seed), F.col("rep"), F.col(key))
     steps, total, term = [], 0.0, 2.718281828459045 ** -1
-    for i in range(1, 13):
+    for i in range(1, 21):
         total += term
         steps.append((u >= S.dbl(total)).cast("bigint"))
         term /= i
     return reps.select("rep", key, reduce(lambda a, b: a + b, steps).alias("w")).filter("w > 0")
 
 
-def bootstrap_auc(df: DataFrame, repeats: int, seed: int, method: str = "resample") -> DataFrame:
-    """(rep, model, label, auc): paired study bootstrap; undefined repeats are NULL."""
+def bootstrap_weights(draws: DataFrame, key: str) -> DataFrame:
+    """(key, d): one row per study, with its (rep, w) pairs of all repeats."""
+    return draws.groupBy(key).agg(F.collect_list(F.struct(F.col("rep").cast("int").alias("rep"), F.col("w").cast("int").alias("w"))).alias("d"))
+
+
+def _range_wins(repeats: int):
+    """Per repeat, sums of one range of scores: weights of both classes, and pairs won inside the range."""
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("score")
+        score, y, d = t["score"].to_numpy(), t["y"].to_numpy(), t["d"].combine_chunks()
+        pairs = d.flatten()
+        w = np.zeros((len(t), repeats), np.int32)
+        w[np.repeat(np.arange(len(t)), pc.list_value_length(d).to_numpy(zero_copy_only=False)), pairs.field("rep").to_numpy()] = pairs.field("w").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+        pos, neg = (np.add.reduceat(w * (y == c)[:, None], first, 0).astype(np.float64) for c in (1, 0))
+        wins = (pos * (np.cumsum(neg, 0) - neg / 2)).sum(0)
+        sums = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (pos.sum(0), neg.sum(0), wins)]
+        return pa.table([*(t[c].slice(0, 1) for c in ("model", "label", "_b")), *sums], ["model", "label", "_b", "pos", "neg", "wins"])
+
+    return run
+
+
+def bootstrap_auc(df: DataFrame, repeats: int, seed: int, method: str = "resample", cells: int = 4_000_000) -> DataFrame:
+    """(rep, model, label, auc): paired study bootstrap; undefined repeats are NULL.
+
+    A study's weights in all repeats travel with its predictions, and scores are ordered
+    once for all repeats: each range of scores gives its class weights and the pairs won
+    inside it, and pairs across ranges follow from the weights of the ranges below. A
+    range holds `cells` weights; a score that fills several ranges is a range of its own,
+    dealt by study, as its sums need no order.
+    """
     ids = df.select("study_id")
     draws = (bootstrap_draws if method == "resample" else poisson_draws)(ids, "study_id", repeats, seed)
-    drawn = df.join(draws, "study_id")
-    return auc(drawn, ["rep", "model", "label"], "score", "y", "w").select("rep", "model", "label", "auc")
+    known = stored(no_nan(df.filter(F.col("score").isNotNull() & F.col("y").isNotNull()), "score").select("study_id", "model", "label", F.col("score").cast("double").alias("score"), "y"), "scored")
+    cuts = range_cuts(known, "score", max(1000, cells // repeats))
+    full = sorted({c for c in cuts if cuts.count(c) > 1})
+    hot = F.array_contains(F.array(*[F.lit(c) for c in full]), F.col("score")) if full else F.lit(False)
+    dealt = known.join(bootstrap_weights(draws, "study_id"), "study_id").withColumns({
+        "_b": 2 * value_range("score", sorted(set(cuts))) + F.when(hot, 0).otherwise(1),
+        "_s": F.when(hot, F.pmod(F.xxhash64("study_id"), F.lit(len(cuts) + 1))).otherwise(F.lit(0))})
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    parts = dealt.groupBy("model", "label", "_b", "_s").applyInArrow(
+        _range_wins(repeats), f"model {kinds['model']}, label {kinds['label']}, _b int, pos array<double>, neg array<double>, wins array<double>")
+    reps = parts.select("model", "label", "_b", F.posexplode(F.arrays_zip("pos", "neg", "wins")).alias("rep", "z"))
+    ranges = reps.groupBy("model", "label", "rep", "_b").agg(*[F.sum(f"z.{c}").alias(c) for c in ("pos", "neg", "wins")])
+    inside = F.when(F.col("_b") % 2 == 0, F.col("pos") * F.col("neg") / 2).otherwise(F.col("wins"))
+    below = Window.partitionBy("model", "label", "rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    won = ranges.withColumn("_won", inside + F.col("pos") * F.coalesce(F.sum("neg").over(below), S.dbl(0)))
+    out = won.groupBy("model", "label", "rep").agg(F.sum("_won").alias("_won"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).filter("_p + _n > 0")
+    return out.select(F.col("rep").cast("bigint").alias("rep"), "model", "label", F.try_divide(F.col("_won"), F.col("_p") * F.col("_n")).alias("auc"))
 
 
 def percentile_ci(df: DataFrame, by: list[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -220,3 +267,29 @@ def delta_table(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Data
     """b - a per key; NULL where either side is missing or undefined."""
     both = a.select(*keys, F.col(value).alias("a")).join(b.select(*keys, F.col(value).alias("b")), keys, "full")
     return both.withColumn("delta", F.col("b") - F.col("a"))
+
+
+def diagnostics(preds: DataFrame, reference: str, repeats: int, seed: int, threshold: float = 0.5) -> DataFrame:
+    """One row per model and label, and MACRO: point AUC with its interval, the paired
+    difference to the reference model with its interval, defined and dropped repeats,
+    and rank correlation and error overlap with the reference.
+
+    preds(model, study_id, label, score, y). The reference has difference 0 and agrees with itself.
+    """
+    point = auc(preds, ["model", "label"])
+    macro = macro_auc(point, ["model"], "require_all").select("model", F.lit("MACRO").alias("label"), F.col("macro_auc").alias("auc"))
+    points = point.select("model", "label", "auc").unionByName(macro)
+    boot = stored(bootstrap_auc(preds, repeats, seed), "boot")
+    interval = percentile_ci(with_macro(boot), ["model", "label"], "auc")
+    delta = percentile_ci(paired_delta(boot, reference), ["model", "label"], "delta").select(
+        "model", "label", F.col("low").alias("delta_low"), F.col("high").alias("delta_high"))
+    own = points.filter(F.col("model") == reference).select("label", F.col("auc").alias("_ref"))
+    other = preds.filter(F.col("model") == reference).select("study_id", "label", F.col("score").alias("_b"))
+    met = preds.select("model", "study_id", "label", "y", F.col("score").alias("_a")).join(other, ["study_id", "label"])
+    ranks = spearman(met, ["model", "label"], "_a", "_b").select("model", "label", "spearman")
+    wrong = lambda c: S.binarize(c, threshold) != F.col("y")
+    both, either = F.count_if(wrong("_a") & wrong("_b")), F.count_if(wrong("_a") | wrong("_b"))
+    overlap = met.groupBy("model", "label").agg(F.try_divide(both.cast("double"), either.cast("double")).alias("error_jaccard"))
+    return (points.join(interval, ["model", "label"], "left").join(own, "label", "left").join(delta, ["model", "label"], "left")
+            .join(ranks, ["model", "label"], "left").join(overlap, ["model", "label"], "left")
+            .select("model", "label", "auc", "low", "high", (F.col("auc") - F.col("_ref")).alias("delta"), "delta_low", "delta_high", "defined", "dropped", "spearman", "error_jaccard"))

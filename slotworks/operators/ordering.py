@@ -125,16 +125,16 @@ def running_totals(df: DataFrame, by: list[str], value: str, measures: dict[str,
     names = list(measures)
     cells = stored(no_nan(df, value).filter(F.col(value).isNotNull()).groupBy(*by, value)
                    .agg(*[F.sum(measures[m]).alias(m) for m in names]), "cells")
-    cells = cells.withColumn("_b", value_range(value, range_cuts(cells, value)))
+    cells = cells.withColumn("_range_no", value_range(value, range_cuts(cells, value)))
     group = Window.partitionBy(*(by or [F.lit(0)]))
-    earlier = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cells.groupBy(*by, "_b").agg(*[F.sum(m).alias(f"_{m}_t") for m in names])
+    earlier = group.orderBy("_range_no").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cells.groupBy(*by, "_range_no").agg(*[F.sum(m).alias(f"_{m}_t") for m in names])
     nothing = F.lit(None)
-    front = totals.select(*by, nothing.cast(cells.schema[value].dataType).alias(value), "_b",
+    front = totals.select(*by, nothing.cast(cells.schema[value].dataType).alias(value), "_range_no",
                           *[F.coalesce(F.sum(f"_{m}_t").over(earlier), F.lit(0)).cast(cells.schema[m].dataType).alias(m) for m in names],
                           *[F.sum(f"_{m}_t").over(group).cast(cells.schema[m].dataType).alias(f"{m}_all") for m in names])
-    both = front.unionByName(cells.select(*by, value, "_b", *names, *[nothing.cast(cells.schema[m].dataType).alias(f"{m}_all") for m in names]))
-    inside = Window.partitionBy(*by, "_b").orderBy(F.col(value).asc_nulls_first())
+    both = front.unionByName(cells.select(*by, value, "_range_no", *names, *[nothing.cast(cells.schema[m].dataType).alias(f"{m}_all") for m in names]))
+    inside = Window.partitionBy(*by, "_range_no").orderBy(F.col(value).asc_nulls_first())
     below = inside.rowsBetween(Window.unboundedPreceding, -1)
     summed = both.select(*by, value, *names, *[F.sum(m).over(below).alias(f"{m}_below") for m in names],
                          *[F.first(f"{m}_all").over(below).alias(f"{m}_all") for m in names])

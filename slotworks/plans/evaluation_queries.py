@@ -75,7 +75,21 @@ def a07(t):
     return boot(t)
 
 
-@query("a07b_bootstrap_poisson")
+def poisson_cuts(n: int = 20) -> list[float]:
+    out, total, term = [], 0.0, 2.718281828459045 ** -1
+    for i in range(1, n + 1):
+        total += term
+        out.append(total)
+        term /= i
+    return out
+
+
+POISSON_ROWS = f"""SELECT rep, model, label, score, y, w FROM (SELECT rep, model, label, score, y, {" + ".join(f"CASE WHEN u >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in poisson_cuts())} AS w
+    FROM (SELECT rep, p.*, CAST(('0x' || substr(md5('{SEED}:' || CAST(rep AS VARCHAR) || ':' || study_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u
+      FROM fx_predictions p, (SELECT unnest(range(10)) AS rep) r)) WHERE w > 0"""
+
+
+@query("a07b_bootstrap_poisson", f"SELECT rep, model, label, {r6('auc')} AS auc FROM ({auc_sql(POISSON_ROWS, 'rep, model, label')})")
 def a07b(t):
     return E.bootstrap_auc(R.predictions(t), 10, SEED, method="poisson")
 
@@ -99,6 +113,19 @@ def rank_sql(by: str, value: str) -> str:
     return f"rank() OVER (PARTITION BY {by} ORDER BY {value}) + (count(*) OVER (PARTITION BY {by}, {value}) - 1) / 2.0::DOUBLE"
 
 
+@query("a09b_diagnostics", f"""WITH bt AS ({BOOT}), m AS ({MACRO}), d AS (SELECT m.model, m.label, m.auc - r.auc AS delta FROM m JOIN m r ON r.rep = m.rep AND r.label = m.label AND r.model = 'a'),
+    ci AS ({ci_sql('auc', 'm')}), di AS ({ci_sql('delta', 'd')}), pt AS (SELECT model, label, auc FROM ({auc_sql(PRED_ROWS, 'model, label')})),
+    pm AS (SELECT * FROM pt UNION ALL SELECT model, 'MACRO', CASE WHEN count(auc) = count(*) THEN avg(auc) END FROM pt GROUP BY model),
+    met AS (SELECT p.model, p.label, p.y, p.score AS a, r.score AS b FROM fx_predictions p JOIN fx_predictions r ON r.study_id = p.study_id AND r.label = p.label AND r.model = 'a'),
+    rk AS (SELECT model, label, {rank_sql('model, label', 'a')} AS ra, {rank_sql('model, label', 'b')} AS rb, (a >= 0.5) <> (y = 1) AS ea, (b >= 0.5) <> (y = 1) AS eb FROM met),
+    ag AS (SELECT model, label, {r6('greatest(-1.0, least(1.0, corr(ra, rb)))')} AS spearman, {r6('count(*) FILTER (ea AND eb) / nullif(count(*) FILTER (ea OR eb), 0)::DOUBLE')} AS error_jaccard FROM rk GROUP BY ALL)
+    SELECT pm.model, pm.label, {r6('pm.auc')} AS auc, ci.low, ci.high, {r6('pm.auc - ref.auc')} AS delta, di.low AS delta_low, di.high AS delta_high, ci.defined, ci.dropped, spearman, error_jaccard
+    FROM pm JOIN pm ref ON ref.label = pm.label AND ref.model = 'a' LEFT JOIN ci ON ci.model = pm.model AND ci.label = pm.label LEFT JOIN di ON di.model = pm.model AND di.label = pm.label
+      LEFT JOIN ag ON ag.model = pm.model AND ag.label = pm.label""")
+def a09b(t):
+    return E.diagnostics(R.predictions(t), "a", REPEATS, SEED)
+
+
 @query("a10_spearman", f"""SELECT label, count(*) AS n, {r6('greatest(-1.0, least(1.0, corr(ra, rb)))')} AS spearman FROM (SELECT label, {rank_sql('label', 'a')} AS ra, {rank_sql('label', 'b')} AS rb FROM {BOTH}) GROUP BY label
     UNION ALL SELECT 'constant', count(*), NULL FROM {BOTH} WHERE label = 'toxic'""")
 def a10(t):

@@ -286,6 +286,15 @@ def test_bootstrap_equals_brute_force(spark, method):
     assert undefined > 0
 
 
+def test_bootstrap_over_many_ranges_with_a_hot_score(spark):
+    """A score that a third of the rows share fills ranges of its own; sums over ranges equal those of one range."""
+    rng = np.random.default_rng(3)
+    rows = [("m", f"s{i}", "l", 0.5 if i % 3 == 0 else float(np.round(rng.random(), 3)), i % 4 == 0) for i in range(6000)]
+    df = spark.createDataFrame([(m, s, l, x, int(y)) for m, s, l, x, y in rows], "model string, study_id string, label string, score double, y int")
+    one, many = ({r.rep: r.auc for r in E.bootstrap_auc(df, 4, 7, cells=c).collect()} for c in (4_000_000, 4000))
+    assert one.keys() == many.keys() == {0, 1, 2, 3} and all(many[r] == pytest.approx(one[r], abs=1e-12) for r in one)
+
+
 def test_intervals_and_paired_delta(spark):
     df, _ = predictions(spark)
     boot = E.bootstrap_auc(df, 25, 7)
