@@ -41,13 +41,15 @@ from .perfect_hash import PerfectHash
 from .words import slices
 
 BUCKET_KEYS = 1 << 16
+#: Bytes of text that are cut into pieces together; of more text, more pieces are repeats.
+SLICE = 8 << 20
 _MAGIC = 0x4D50484958303031
 
 
 class LibraryCodec:
     """Encoding with the tokenizers library: each distinct piece of a slice goes through it once."""
 
-    def __init__(self, path: str, kept: int = 1 << 18):
+    def __init__(self, path: str, kept: int = 1 << 20):
         self.path, self.kept = path, kept
 
     def pieces(self) -> Pieces:
@@ -136,7 +138,7 @@ def write(df: DataFrame, codec: LibraryCodec, key: str = "doc_id", text: str = "
 
         def ids(out):
             total = 0
-            for chunk in slices(batches, "text"):
+            for chunk in slices(batches, "text", SLICE):
                 gc.disable()
                 found, stop = pieces.encode(chunk.column("text"))
                 gc.enable()
