@@ -34,8 +34,8 @@ from .words import Words, slices, window_hashes
 WIDTH, BANDS, ROWS, PERCENT = 5, 50, 5, 75
 FIRST_BANDS = 16
 BLOCK = 512
-#: Rows of a slice, beside its bytes: short texts have as many minima as long ones.
-SLICE_ROWS = 2048
+#: Bytes and rows of a slice: short texts have as many minima as long ones.
+SLICE, SLICE_ROWS = 1 << 20, 2048
 _FIELDS = np.uint64(0x5555555555555555)
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << 1) | 1
@@ -102,7 +102,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def signed(df: DataFrame, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
     """(key, n, set_a, set_b, bands, packed, also...): one row per row of df."""
     def run(batches):
-        for part in (p.slice(at, SLICE_ROWS) for p in slices(batches, "text") for at in range(0, p.num_rows, SLICE_ROWS)):
+        for part in (p.slice(at, SLICE_ROWS) for p in slices(batches, "text", SLICE) for at in range(0, p.num_rows, SLICE_ROWS)):
             sets = shingle_sets(part.column("text"))
             bands, packed = signatures(sets)
             yield pa.RecordBatch.from_arrays([
@@ -133,7 +133,7 @@ def full_sets(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
     found = bloom_words(keys, "key")
 
     def run(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             part = part.filter(pa.array(bloom_hit(part.column("_h").to_numpy(), found)))
             if part.num_rows:
                 sets = shingle_sets(part.column("text"))
