@@ -21,7 +21,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def slices(batches, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a slice holds `most` bytes of text, or a single longer row.
 
-    Texts are cast to 64-bit offsets first; null texts stay null.
+    A slice is a copy of its rows, as pyarrow's ascii_lower misreads sliced arrays. Null texts stay null.
     """
     for batch in batches:
         at = batch.schema.get_field_index(text)
@@ -29,7 +29,8 @@ def slices(batches, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBat
         ends, first, total = np.cumsum(sizes), 0, 0
         while first < batch.num_rows:
             last = max(first + 1, int(np.searchsorted(ends, total + most, side="right")))
-            yield batch.slice(first, last - first)
+            part = batch.slice(first, last - first)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c, c.slice(0, 0)]) for c in part.columns], schema=part.schema)
             first, total = last, int(ends[last - 1])
 
 
@@ -39,7 +40,7 @@ class Words:
     def __init__(self, texts: pa.Array, lower: bool = False):
         texts = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary()).cast(pa.large_string())
         if lower:
-            texts = pc.ascii_lower(texts)
+            texts = pc.ascii_lower(pa.concat_arrays([texts, texts.slice(0, 0)]))
         lists = pc.ascii_split_whitespace(texts)
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from test_llm import edge_rows, frame  # noqa: E402
 
-from slotworks.llm import lexical_search, spelling, toxicity  # noqa: E402
+from slotworks.llm import lexical_search, near_dup, spelling, toxicity  # noqa: E402
 from slotworks.llm.queries import QUERIES, table  # noqa: E402
 from slotworks.llm.runs import latin_runs, terms  # noqa: E402
+from slotworks.llm.words import Words, slices  # noqa: E402
 
 TERM = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -36,6 +37,18 @@ def test_runs_are_the_matches_of_their_patterns():
             assert words.n.tolist() == [len(pattern.findall(t or "")) for t in texts]
 
 
+def test_slices_of_a_batch_give_the_same_words_and_shingles():
+    """Lower-casing once read the wrong bytes of all slices but the first."""
+    texts = [None, "", "Ünï CODE Wörter"] + [f"Word{i} " * (i % 40) + f"Ä{i} ÉB{i * 7} c d e f G" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for lower in (False, True):
+        want = [w for t in texts for w in re.findall("[^\\x20\\x09-\\x0D]+", (t or "").translate(LOW) if lower else (t or ""))]
+        assert [w for p in slices([batch], "text", 500) for w in Words(p.column("text"), lower).flat.to_pylist()] == want
+        assert [w for at in range(0, len(texts), 7) for w in Words(batch.column(0).slice(at, 7), lower).flat.to_pylist()] == want
+    one = [near_dup.shingle_sets(pa.array([t], pa.string()))[0].tolist() for t in texts]
+    assert [s.tolist() for p in slices([batch], "text", 500) for s in near_dup.shingle_sets(p.column("text"))] == one
+
+
 # ---- 11 spelling variants
 
 def one_edit(a, b):
