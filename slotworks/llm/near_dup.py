@@ -159,6 +159,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return wide.filter(100 * both >= PERCENT * (F.size("_x") + F.size("_y") - both)).select("a", "b")
 
 
+def _apart(groups: DataFrame) -> DataFrame:
+    """Groups (bucket, i, j) over a set number of tasks: they are few bytes and much work, so merging them by size would leave one task."""
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j")
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """Members of a bucket dealt into blocks by hash, each pair of blocks a group (bucket, i, j) of its own."""
     sized = rows.join(rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n")), "bucket")
@@ -171,13 +177,14 @@ def possible_partners(members: DataFrame, slack: float) -> DataFrame:
     """(bucket, i, j, key, component) of the members whose estimate with a member of another component reaches `slack`."""
     def run(pdf):
         packed, parts = np.stack(pdf["packed"].to_numpy()).view(np.uint64), pdf["component"].to_numpy()
-        hit = np.zeros(len(pdf), bool)
-        for r in range(len(pdf)):
-            hit[r] = ((similarity(packed, packed[r]) >= slack) & (parts != parts[r])).any()
+        hit, step = np.zeros(len(pdf), bool), 64
+        for r in range(0, len(pdf), step):
+            near = similarity(packed[r:r + step, None], packed[None]) >= slack
+            hit[r:r + step] = (near & (parts[r:r + step, None] != parts[None])).any(1)
         return pdf.loc[hit, ["bucket", "i", "j", "key", "component"]]
 
     kind = members.schema["key"].dataType.simpleString()
-    return _blocks(members).groupBy("bucket", "i", "j").applyInPandas(run, f"bucket bigint, i int, j int, key {kind}, component {kind}")
+    return _apart(_blocks(members)).applyInPandas(run, f"bucket bigint, i int, j int, key {kind}, component {kind}")
 
 
 def block_links(rows: DataFrame) -> DataFrame:
@@ -206,7 +213,7 @@ def block_links(rows: DataFrame) -> DataFrame:
                     out.append((keys[x], keys[y]))
         return type(pdf)(out, columns=["a", "b"])
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
+    return _apart(rows).applyInPandas(run, f"a {kind}, b {kind}")
 
 
 def _placed(reps: DataFrame, parts: DataFrame | None) -> DataFrame:
