@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from ..operators.labels import connected_components
 from .common import bloom_hit, bloom_words, pin
-from .words import Words, slices, window_hashes
+from .words import BASES, Words, slices, window_hashes
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 50, 5, 75
 FIRST_BANDS = 16
@@ -48,10 +48,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def word_hashes(flat: pa.Array, most: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash per word, by prefix sums over the bytes of words that stand side by side, `most` bytes (or one longer word) at once."""
+    out, first = np.zeros(len(flat), np.uint64), 0
+    if not len(flat):
+        return out
+    _, at, data = flat.buffers()
+    at = np.frombuffer(at, np.int64)[flat.offset:flat.offset + len(flat) + 1]
+    data = np.frombuffer(data, np.uint8)
+    while first < len(flat):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + most, side="right")) - 1)
+        # one more than the byte, so that a zero byte counts
+        values = data[at[first]:at[last]].astype(np.uint64) + np.uint64(1)
+        out[first:last] = window_hashes(values, at[first:last] - at[first], np.diff(at[first:last + 1]), BASES[1])
+        first = last
+    return out
+
+
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     words = Words(texts, lower=True)
-    values = words.hashes()
+    values = word_hashes(words.flat)
     starts = words.window_starts(width)
     hashes = window_hashes(values, starts, width)
     ends = np.searchsorted(starts, words.start)

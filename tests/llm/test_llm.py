@@ -387,6 +387,16 @@ def brute_components(rows):
     return Counter((k, len(s), top(k) if k is not None else None, k is None or top(k) == k) for k, s in sets)
 
 
+def test_word_hashes_tell_words_apart_wherever_they_stand():
+    words = [f"w{i:x}" * (1 + i % 5) for i in range(3000)] + ["", "a", "a\0", "\0a", "ü" * 5000, "x" * 300_000]
+    flat = pa.array(words, pa.large_string())
+    got = near_dup.word_hashes(flat)
+    assert len(set(got.tolist())) == len(set(words))
+    assert (near_dup.word_hashes(flat, 64) == got).all() and (near_dup.word_hashes(flat.slice(5, 90)) == got[5:95]).all()
+    assert (near_dup.word_hashes(pa.array(words[::-1], pa.large_string())) == got[::-1]).all()
+    assert len(near_dup.word_hashes(flat.slice(0, 0))) == 0
+
+
 def near_rows():
     rng, rows = random.Random(6), edge_rows()
     for g in range(6):
