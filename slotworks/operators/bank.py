@@ -46,23 +46,24 @@ def meanmax_pool(bank: DataFrame) -> DataFrame:
     return pooled.withColumn("pooled", F.concat("mean", "max"))
 
 
-def attention_pool(scored: DataFrame, classes: list[str], spine: DataFrame | None = None, width: int | None = None) -> DataFrame:
+def attention_pool(scored: DataFrame, classes: list[str], spine: DataFrame | None, width: int | None = None) -> DataFrame:
     """(study, class, pooled): softmax of the class score over a study's vectors.
 
     scored is the bank with one score column per class. All classes share one
     aggregation, so vectors are shuffled once, not once per class. A study of
-    `spine` without rows is missing from the result (check it with
-    coverage_report) unless `width` is given: then it pools absent vectors
-    uniformly, which is a zero vector.
+    `spine` without rows is an error when the result is read, unless `width` is
+    given: then it pools absent vectors uniformly, which is a zero vector. `spine`
+    None says that the studies are those of `scored`.
     """
     top = scored.groupBy("study_id").agg(*[F.max(c).alias(f"_top_{i}") for i, c in enumerate(classes)])
     joined = scored.join(top, "study_id")
     weights = [F.exp(F.col(c).cast("double") - F.col(f"_top_{i}").cast("double")) for i, c in enumerate(classes)]
     pooled = joined.groupBy("study_id").agg(*[arr(Summarizer.mean(vec(), w)).alias(f"_p{i}") for i, w in enumerate(weights)])
-    if spine is not None and width is not None:
-        zeros = F.array_repeat(S.dbl(0), width)
+    if spine is not None:
+        absent = F.raise_error(F.concat(F.lit("no vectors of study "), F.coalesce(F.col("study_id").cast("string"), F.lit("NULL")))).cast("array<double>")
+        empty = absent if width is None else F.array_repeat(S.dbl(0), width)
         pooled = spine.select("study_id").distinct().join(pooled, "study_id", "left")
-        pooled = pooled.select("study_id", *[F.coalesce(f"_p{i}", zeros).alias(f"_p{i}") for i in range(len(classes))])
+        pooled = pooled.select("study_id", *[F.coalesce(f"_p{i}", empty).alias(f"_p{i}") for i in range(len(classes))])
     rows = F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"_p{i}").alias("pooled")) for i, c in enumerate(classes)])
     return pooled.select("study_id", F.explode(rows).alias("r")).select("study_id", "r.*")
 
@@ -175,8 +176,13 @@ def consecutive_cosine(bank: DataFrame) -> DataFrame:
 
 
 def vector_duplicates(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """One row: distinct vectors, duplicate groups and the rows in them."""
-    per = df.groupBy(F.sha2(F.to_json(vector), 256).alias("_h")).agg(F.count(F.lit(1)).alias("c"))
+    """One row: distinct vectors, duplicate groups and the rows in them.
+
+    Vectors are compared by 128 bits of hash over their numbers, their length and
+    the places of their NULLs; -0.0 equals 0.0, and all NaN are one value.
+    """
+    seeded = lambda seed: F.xxhash64(F.lit(seed), F.col(vector), F.size(vector), F.transform(vector, lambda x: x.isNull()))
+    per = df.groupBy(seeded(1).alias("_h"), seeded(2).alias("_g")).agg(F.count(F.lit(1)).alias("c"))
     many = F.col("c") > 1
     return per.agg(F.count(F.lit(1)).alias("distinct_vectors"), F.count_if(many).alias("duplicate_groups"),
                    F.coalesce(F.sum(F.when(many, F.col("c"))), F.lit(0)).alias("rows_in_groups"))

@@ -225,15 +225,26 @@ def soft_logistic_predict(models: dict, features: DataFrame) -> DataFrame:
 
 # ---- attention scoring ---------------------------------------------------------------
 
-_erf = np.frompyfunc(math.erf, 1, 1)
+_ERF_AT = np.arange(-6 * 256, 6 * 256 + 1) / 256.0
+_ERF = np.array([math.erf(x) for x in _ERF_AT])
+_ERF_SLOPE = 2.0 / math.sqrt(math.pi) * np.exp(-_ERF_AT ** 2) / 256.0
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    """Cubic Hermite interpolation over 256 knots per unit, within 1e-11; beyond 6 it is 1 or -1 in doubles."""
+    at = (np.clip(x, -6.0, 6.0) + 6.0) * 256.0
+    i = np.minimum(np.where(np.isnan(at), 0, at).astype(np.int64), len(_ERF) - 2)
+    t = at - i
+    a, b, c, d = _ERF[i], _ERF[i + 1], _ERF_SLOPE[i], _ERF_SLOPE[i + 1]
+    return a + t * (c + t * (3.0 * (b - a) - 2.0 * c - d + t * (2.0 * (a - b) + c + d)))
 
 
 def _gelu(x):
-    return 0.5 * x * (1.0 + _erf(x / math.sqrt(2.0)).astype(np.float64))
+    return 0.5 * x * (1.0 + _erf(x / math.sqrt(2.0)))
 
 
-def attention_score(bank: DataFrame, weights: dict[str, np.ndarray], classes: list[str]) -> DataFrame:
-    """(study_id, class, logit) of a given attention head.
+def attention_score(bank: DataFrame, weights: dict[str, np.ndarray], classes: list[str], spine: DataFrame | None = None) -> DataFrame:
+    """(study_id, class, logit) of a given attention head; a study of `spine` without vectors is an error.
 
     Per vector (Arrow batches): layer norm, linear, GELU, plus slot and position
     embedding, tanh scorer. Pooling over a study and the class product run in SQL.
@@ -256,7 +267,7 @@ def attention_score(bank: DataFrame, weights: dict[str, np.ndarray], classes: li
 
     made = bank.select("study_id", tokens("embedding", "slot", "position").alias("_t"))
     scored = made.select("study_id", F.col("_t.h").alias("embedding"), *[F.col("_t.s")[i].alias(c) for i, c in enumerate(classes)])
-    pooled = attention_pool(scored, classes)
+    pooled = attention_pool(scored, classes, spine)
     at = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class"))
     rows = F.array(*[F.array(*[S.dbl(v) for v in W["class_w"][i]]) for i in range(len(classes))])
     bias = F.array(*[S.dbl(v) for v in W["class_b"]])

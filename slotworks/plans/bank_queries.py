@@ -38,7 +38,7 @@ def scored(t):
     w AS (SELECT study_id, slot, k, class, exp(s - max(s) OVER (PARTITION BY study_id, class)) AS e FROM s)
     SELECT study_id, class, dim, {r6('sum(e * x) / sum(e)')} AS pooled FROM w JOIN fx_dims USING (study_id, slot, k) GROUP BY ALL""")
 def a18(t):
-    return B.explode_dims(B.attention_pool(scored(t), ["c0", "c1"]), ["study_id", "class"], {"pooled": "pooled"})
+    return B.explode_dims(B.attention_pool(scored(t), ["c0", "c1"], R.bank(t).select("study_id")), ["study_id", "class"], {"pooled": "pooled"})
 
 
 @query("a18b_attention_pool_uniform", f"""SELECT CAST(i AS VARCHAR) AS study_id, {r6('CASE WHEN i IN (SELECT CAST(study_id AS BIGINT) FROM fx_bank) THEN 1 ELSE 0 END')} AS present FROM (SELECT DISTINCT vec_id AS i FROM embeddings)""")
@@ -119,6 +119,16 @@ def a25(t):
     return M.covariance_spectrum(R.bank(t), R.WIDTH)
 
 
+@query("a25b_covariance_spectrum_plane", f"""WITH p AS (SELECT slot, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM fx_bank),
+    s AS (SELECT 'all' AS scope, -1 AS slot, x, y FROM p UNION ALL SELECT 'slot', slot, x, y FROM p),
+    m AS (SELECT scope, slot, count(*) AS n, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c FROM s GROUP BY ALL),
+    v AS (SELECT scope, slot, n, 0.5 + sqrt((a - b) * (a - b) / 4 + c * c) / (a + b) AS top FROM m)
+    SELECT scope, slot, n, {r6('top')} AS top1, 1.0::DOUBLE AS top10, {r6('exp(-(top * ln(top) + (1 - top) * ln(1 - top)))')} AS effective_rank FROM v""")
+def a25b(t):
+    """The same over the first two numbers of every vector, whose spectrum has a closed form."""
+    return M.covariance_spectrum(R.bank(t).withColumn("embedding", F.slice("embedding", 1, 2)), 2)
+
+
 @query("a26_vector_duplicates", """WITH v AS (SELECT embedding AS e FROM embeddings UNION ALL SELECT embedding FROM embeddings WHERE vec_id % 7 = 0), g AS (SELECT e, count(*) AS c FROM v GROUP BY e)
     SELECT count(*) AS distinct_vectors, count(*) FILTER (c > 1) AS duplicate_groups, CAST(coalesce(sum(c) FILTER (c > 1), 0) AS BIGINT) AS rows_in_groups FROM g""")
 def a26(t):
@@ -196,6 +206,24 @@ def m02(t):
     return t.spark.createDataFrame(rows, "label string, intercept double, coef_norm double")
 
 
+@query("m02b_ridge_optimality", """SELECT label, count(*) AS n, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS gradient
+    FROM (SELECT DISTINCT study_id FROM fx_bank) CROSS JOIN (VALUES ('x'), ('y'), ('z')) AS l(label) GROUP BY label""")
+def m02b(t):
+    """At the optimum of the ridge loss the residuals of every label sum to zero and its
+    gradient, X'r - alpha w relative to X'y, vanishes; both are taken in SQL from the fitted numbers."""
+    alpha, labels = 1000.0, ["x", "y", "z"]
+    x, y = design(t), M.target_logits(soft_targets(t), labels)
+    model = M.ridge_fit(x, y, labels, 6 * R.WIDTH + 6, alpha)
+    logits = model.predict(x).select("study_id", "label", "logit")
+    wanted = y.select("study_id", F.explode(F.map_from_arrays(F.array(*[F.lit(v) for v in labels]), F.col("y"))).alias("label", "target"))
+    rest = logits.join(wanted, ["study_id", "label"]).join(x, "study_id")
+    terms = rest.select("label", (F.col("target") - F.col("logit")).alias("r"), "target", F.posexplode("x").alias("i", "x"))
+    coef = t.spark.createDataFrame([(label, i, float(w)) for label, row in zip(labels, model.coef) for i, w in enumerate(row)], "label string, i int, w double")
+    per = terms.groupBy("label", "i").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("residual"), F.sum(F.col("r") * F.col("x")).alias("xr"), F.sum(F.abs(F.col("target") * F.col("x"))).alias("scale")).join(coef, ["label", "i"])
+    off = F.abs(F.col("xr") - F.lit(alpha) * F.col("w")) / (F.col("scale") + F.lit(1.0))
+    return per.groupBy("label").agg(F.max("n").alias("n"), F.round(F.max(F.abs("residual")), 5).alias("residual"), F.round(F.max(off), 6).alias("gradient"))
+
+
 @query("m03_ridge_predict", f"""WITH lin AS (SELECT d.study_id, l.label, sum(d.x * cos(d.i * 0.1::DOUBLE + l.j) * 0.05::DOUBLE) + l.j - 1 AS z FROM ({DESIGN_SQL}) d, (VALUES ('x', 0), ('y', 1), ('z', 2)) AS l(label, j) GROUP BY d.study_id, l.label, l.j)
     SELECT study_id, label, {r6('z')} AS logit, {r6('1 / (1 + exp(-z))')} AS prob FROM lin""")
 def m03(t):

@@ -207,6 +207,24 @@ def t02(t):
     return out.groupBy("kind", "study_id", "slot", "n_slots").agg(F.count(F.lit(1)).alias("n"))
 
 
+RELEASED = """WITH s AS (SELECT DISTINCT study_id, slot FROM fx_bank), w AS (SELECT study_id, count(*) AS n, max(slot) AS top FROM s GROUP BY study_id)
+    SELECT CASE WHEN CAST(study_id AS BIGINT) % 7 = 3 THEN 'incomplete' ELSE 'complete' END AS kind, study_id, -1::BIGINT AS slot,
+           CASE WHEN CAST(study_id AS BIGINT) % 7 = 3 THEN n - 1 ELSE n END AS n_slots FROM w WHERE n > 1"""
+
+
+@query("t02b_streaming_merge_released", RELEASED)
+def t02b(t):
+    """Event times in the first hour, and one study of its own much later, which lets the watermark pass all others."""
+    s = F.col("study_id").cast("bigint")
+    slots = R.bank(t).select("study_id", "slot").distinct()
+    whole = slots.groupBy("study_id").agg(F.bit_or(F.expr("shiftleft(1, slot)")).cast("bigint").alias("planned_mask"), F.max("slot").alias("top"), F.count(F.lit(1)).alias("n"))
+    came = slots.join(whole, "study_id").filter((F.col("n") > 1) & ~((s % 7 == 3) & (F.col("slot") == F.col("top"))))
+    timed = came.select("study_id", "slot", "planned_mask", F.timestamp_seconds(86400 + s % 3600 + F.col("slot")).alias("ts"))
+    late = timed.limit(1).select(F.lit("last").alias("study_id"), F.lit(0).alias("slot"), F.lit(1).cast("bigint").alias("planned_mask"), F.timestamp_seconds(F.lit(10 ** 6)).alias("ts"))
+    out = drain(t, T.streaming_merge(streamed(t, timed.unionByName(late), "arrivals"), "ts"), "merge-released")
+    return out.filter("study_id != 'last'")
+
+
 PROGRESS = f"""SELECT CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS start, count(*) AS steps, CAST(sum(images) AS BIGINT) AS images, {r6('round(sum(seconds), 3)')} AS seconds FROM fx_receipts GROUP BY 1"""
 
 

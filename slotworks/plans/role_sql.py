@@ -15,6 +15,16 @@ def bits60(expr: str) -> str:
     return f"CAST(('0x' || substr(md5({expr}), 1, 15)) AS BIGINT)"
 
 
+def tree_sql(lines: str) -> str:
+    """The two-level digest of a subquery with the column `line`."""
+    joined = "sha256(string_agg({0}, chr(10) ORDER BY {0}))"
+    node = joined.format("b || chr(9) || d")
+    return f"""WITH once AS (SELECT coalesce(line, '') AS t, count(*) AS c FROM ({lines}) GROUP BY 1),
+    leaf AS (SELECT substr(sha256(t), 1, 6) AS b, sum(c) AS n, {joined.format("CASE WHEN c = 1 THEN t ELSE t || chr(9) || '*' || c END")} AS d FROM once GROUP BY 1),
+    mid AS (SELECT substr(b, 1, 3) AS b, sum(n) AS n, {node} AS d FROM leaf GROUP BY 1)
+    SELECT 'tree2' AS scheme, CAST(sum(n) AS BIGINT) AS n, {node} AS digest FROM mid"""
+
+
 def r6(expr: str) -> str:
     return f"(round(CAST({expr} AS DOUBLE) + 1e-9::DOUBLE, 6) + 0.0::DOUBLE)"
 

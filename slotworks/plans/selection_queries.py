@@ -9,7 +9,7 @@ from ..operators import audit as A
 from ..operators import selection as SEL
 from . import roles as R
 from .registry import query
-from .role_sql import bits, r6, u
+from .role_sql import bits, r6, tree_sql, u
 
 
 def ranked(t):
@@ -115,8 +115,13 @@ LINES = """SELECT study_id, slot, study_id || ':' || CAST(slot AS VARCHAR) || ':
     FROM fx_plan GROUP BY study_id, slot, series_id, shard"""
 
 
-@query("a35_plan_digest", f"SELECT 'sorted' AS scheme, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY study_id, slot)) AS digest FROM ({LINES})")
+@query("a35_plan_digest", tree_sql(f"SELECT line FROM ({LINES})"))
 def a35(t):
+    return A.plan_digest(SEL.plan_lines(R.selected(t)))
+
+
+@query("a35c_plan_digest_sorted", f"SELECT 'sorted' AS scheme, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY study_id, slot)) AS digest FROM ({LINES})")
+def a35c(t):
     return A.plan_digest(SEL.plan_lines(R.selected(t)), scheme="sorted")
 
 
@@ -141,20 +146,28 @@ def a32(t):
     return A.flag_redundancy(flags, "x", "y")
 
 
-@query("a33_ids_digest", "SELECT 'sorted' AS scheme, count(*) AS n, sha256(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY CAST(o_orderkey AS VARCHAR))) AS digest FROM orders")
+@query("a33_ids_digest", tree_sql("SELECT CAST(o_orderkey AS VARCHAR) AS line FROM orders"))
 def a33(t):
+    return A.ids_digest(t.orders, "o_orderkey")
+
+
+@query("a33c_ids_digest_sorted", "SELECT 'sorted' AS scheme, count(*) AS n, sha256(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY CAST(o_orderkey AS VARCHAR))) AS digest FROM orders")
+def a33c(t):
     return A.ids_digest(t.orders, "o_orderkey", scheme="sorted")
 
 
-@query("a33b_ids_digest_bucketed", """WITH leaf AS (SELECT substr(sha256(id), 1, 6) AS b, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS d FROM (SELECT series_id AS id FROM fx_series) GROUP BY 1),
-    mid AS (SELECT substr(b, 1, 3) AS b, sum(n) AS n, sha256(string_agg(b || chr(9) || d, chr(10) ORDER BY b || chr(9) || d)) AS d FROM leaf GROUP BY 1)
-    SELECT 'tree2' AS scheme, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(b || chr(9) || d, chr(10) ORDER BY b || chr(9) || d)) AS digest FROM mid""")
+@query("a33b_ids_digest_bucketed", tree_sql("SELECT series_id AS line FROM fx_series"))
 def a33b(t):
     return A.ids_digest(R.series(t), "series_id", scheme="tree2")
 
 
-@query("a34_table_digest", "SELECT 'sorted' AS scheme, count(*) AS n, sha256(string_agg(member || chr(9) || CAST(bytes AS VARCHAR) || chr(9) || sha || chr(10), '' ORDER BY member)) AS digest FROM fx_manifest")
+@query("a34_table_digest", tree_sql("SELECT member || chr(9) || CAST(bytes AS VARCHAR) || chr(9) || sha AS line FROM fx_manifest"))
 def a34(t):
+    return A.table_digest(R.manifest(t), "member", "bytes", "sha")
+
+
+@query("a34b_table_digest_sorted", "SELECT 'sorted' AS scheme, count(*) AS n, sha256(string_agg(member || chr(9) || CAST(bytes AS VARCHAR) || chr(9) || sha || chr(10), '' ORDER BY member)) AS digest FROM fx_manifest")
+def a34b(t):
     return A.table_digest(R.manifest(t), "member", "bytes", "sha", scheme="sorted")
 
 

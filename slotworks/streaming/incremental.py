@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,10 +48,25 @@ def incremental_extract(arrivals: DataFrame, done: Done, encode: Callable[[DataF
 
 MERGE_OUT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("study_id", T.StringType()),
                           T.StructField("slot", T.IntegerType()), T.StructField("n_slots", T.IntegerType())])
-MERGE_STATE = T.StructType([T.StructField("seen", T.LongType()), T.StructField("want", T.LongType())])
+MERGE_STATE = T.StructType([T.StructField("seen", T.LongType()), T.StructField("want", T.LongType()), T.StructField("last", T.LongType())])
 
 
-def streaming_merge(arrivals: DataFrame) -> DataFrame:
+def _merge_rows(study, slot: np.ndarray, mask: np.ndarray, seen: int) -> tuple[pd.DataFrame, int]:
+    """(events of some arrivals in their order, slots seen after them)."""
+    bit = np.int64(1) << slot
+    planned = (mask & bit) != 0
+    again = pd.Series(np.where(planned, slot, -1)).duplicated().to_numpy() | ((np.int64(seen) & bit) != 0)
+    new = planned & ~again
+    after = np.bitwise_or.accumulate(np.where(new, bit, 0)) | np.int64(seen)
+    full = new & (after == mask)
+    kind = np.select([~planned, again, full], ["unexpected", "duplicate", "complete"], "")
+    told = kind != ""
+    out = pd.DataFrame({"kind": kind, "study_id": study, "slot": np.where(full, -1, slot).astype(np.int32),
+                        "n_slots": np.where(full, np.bitwise_count(after), 0).astype(np.int32)})
+    return out[told], int(after[-1])
+
+
+def streaming_merge(arrivals: DataFrame, ts: str | None = None, late: str = "1 hour", linger: str = "1 hour") -> DataFrame:
     """(kind, study_id, slot, n_slots) from a stream (study_id, slot, planned_mask).
 
     'complete' once per study when its slots equal the planned bit mask,
@@ -58,26 +74,39 @@ def streaming_merge(arrivals: DataFrame) -> DataFrame:
     plan. State per study is two integers, whatever the row count; embeddings
     never enter it. A complete study keeps its mask so that late duplicates are
     still rejected.
+
+    With `ts`, an event time, a study's state is released: once the watermark (the
+    latest event less `late`) has passed its last event by `linger`, the state goes,
+    and a study that is not complete by then gives one row 'incomplete' with the
+    number of its slots (slot -1). Rows behind the watermark are dropped, so what
+    comes after that opens no new state. Without `ts` state is kept for ever.
     """
+    spark = arrivals.sparkSession
+    stay = 0 if ts is None else int(spark.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {linger}) AS ms").first()["ms"])
+
     def merge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, want = state.get if state.exists else (0, 0)
-        out = []
+        seen, want, last = state.get if state.exists else (0, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            if seen != want:
+                yield pd.DataFrame({"kind": ["incomplete"], "study_id": [key[0]], "slot": np.int32([-1]), "n_slots": np.int32([seen.bit_count()])})
+            return
         for pdf in batches:
-            for slot, mask in zip(pdf["slot"], pdf["planned_mask"]):
-                slot, want = int(slot), int(mask)
-                bit = 1 << slot
-                if not want & bit:
-                    out.append(("unexpected", key[0], slot, 0))
-                elif seen & bit:
-                    out.append(("duplicate", key[0], slot, 0))
-                else:
-                    seen |= bit
-                    if seen == want:
-                        out.append(("complete", key[0], -1, bin(seen).count("1")))
-        state.update((seen, want))
-        yield pd.DataFrame(out, columns=["kind", "study_id", "slot", "n_slots"]).astype({"slot": "int32", "n_slots": "int32"})
-
-    return arrivals.groupBy("study_id").applyInPandasWithState(merge, MERGE_OUT, MERGE_STATE, "append", GroupStateTimeout.NoTimeout)
+            if len(pdf):
+                mask = pdf["planned_mask"].to_numpy(np.int64)
+                out, seen = _merge_rows(key[0], pdf["slot"].to_numpy(np.int64), mask, seen)
+                want = int(mask[-1])
+                if ts is not None:
+                    last = max(last, int(pdf["_ms"].max()))
+                yield out
+        state.update((seen, want, last))
+        if ts is not None:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + stay + 1)
+
+    if ts is None:
+        return arrivals.groupBy("study_id").applyInPandasWithState(merge, MERGE_OUT, MERGE_STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = arrivals.withWatermark(ts, late).withColumn("_ms", F.unix_millis(ts))
+    return timed.groupBy("study_id").applyInPandasWithState(merge, MERGE_OUT, MERGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def progress_rates(receipts: DataFrame, ts: str = "ts", window: str = "1 hour", late: str = "1 hour") -> DataFrame:

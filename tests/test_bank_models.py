@@ -300,3 +300,54 @@ def test_streaming_merge_across_batches(spark, folder):
     run([("b", 1, 2)])
     got = {(r.kind, r.study_id, r.slot, r.n_slots) for r in spark.read.parquet(out).collect()}
     assert got == {("complete", "b", -1, 1), ("unexpected", "b", 0, 0), ("complete", "a", -1, 2), ("duplicate", "a", 0, 0), ("duplicate", "b", 1, 0)}
+
+
+def test_streaming_merge_releases_state(spark, folder):
+    """Complete and incomplete studies leave no state once the watermark has passed them; what comes later is dropped."""
+    schema = "study_id string, slot int, planned_mask bigint, ts timestamp"
+    out, mark, rows_left = f"{folder}/out", f"{folder}/mark", []
+
+    def run(rows):
+        timed = spark.createDataFrame(rows, "study_id string, slot int, planned_mask bigint, s bigint")
+        timed.select("study_id", "slot", "planned_mask", F.timestamp_seconds(F.col("s") + 10 ** 6).alias("ts")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        merged = I.streaming_merge(spark.readStream.schema(schema).parquet(f"{folder}/in"), "ts", "10 minutes", "10 minutes")
+        q = merged.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows_left.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    run([("a", 0, 5, 0), ("b", 0, 3, 10), ("c", 1, 2, 20)])
+    run([("a", 2, 5, 300), ("a", 0, 5, 310), ("c", 1, 2, 900)])
+    run([("d", 0, 1, 9000)])                      # passes a, b and c
+    run([("a", 2, 5, 400), ("c", 1, 2, 400)])     # behind the watermark
+    run([("e", 0, 1, 20000)])                     # passes d
+    got = sorted((r.kind, r.study_id, r.slot, r.n_slots) for r in spark.read.parquet(out).collect())
+    assert got == [("complete", "a", -1, 2), ("complete", "c", -1, 1), ("complete", "d", -1, 1), ("complete", "e", -1, 1),
+                   ("duplicate", "a", 0, 0), ("duplicate", "c", 1, 0), ("incomplete", "b", -1, 1)]
+    assert rows_left == [3, 3, 1, 1, 1]
+
+
+def test_merge_rows_follow_their_order():
+    slots, masks = np.array([4, 0, 0, 2, 2, 1]), np.array([5, 5, 5, 5, 5, 5])
+    out, seen = I._merge_rows("a", slots, masks, 0)
+    assert list(zip(out.kind, out.slot, out.n_slots)) == [("unexpected", 4, 0), ("duplicate", 0, 0), ("complete", -1, 2), ("duplicate", 2, 0), ("unexpected", 1, 0)] and seen == 5
+
+
+def test_empty_study_is_an_error(spark):
+    bank, _, _ = make_bank(spark)
+    scored = bank.withColumn("c", F.lit(0.0))
+    spine = scored.select("study_id").distinct().unionByName(spark.createDataFrame([("empty",)], "study_id string"))
+    with pytest.raises(Exception, match="no vectors of study empty"):
+        B.attention_pool(scored, ["c"], spine).collect()
+
+
+def test_vector_duplicates_fold_zero_and_nan(spark):
+    nan = float("nan")
+    rows = [([0.0, 1.0],), ([-0.0, 1.0],), ([nan],), ([nan],), ([None, 1.0],), ([1.0, None],), (None,), (None,), ([],)]
+    got = B.vector_duplicates(spark.createDataFrame(rows, "embedding array<float>")).first()
+    assert (got.distinct_vectors, got.duplicate_groups, got.rows_in_groups) == (6, 3, 6)
+
+
+def test_erf_between_knots():
+    import math
+    x = np.concatenate([np.linspace(-7, 7, 20001), [1e300, -1e300]])
+    assert np.abs(M._erf(x) - np.array([math.erf(v) for v in x])).max() < 1e-11
