@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,19 @@ def pin(df: DataFrame, name: str = "pin") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int = 4 << 20):
+    """Arrow batches of at most `most` bytes (or one longer row) for what is run inside; by default a batch has 10,000 rows and up to 64 MB.
+    The session's setting comes back behind it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores behind it where df has a column of that name."""
     while name in df.columns:

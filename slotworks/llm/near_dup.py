@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.labels import connected_components
-from .common import bloom_hit, bloom_words, pin
+from .common import arrow_bytes, bloom_hit, bloom_words, pin
 from .words import BASES, Words, slices, window_hashes
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 50, 5, 75
@@ -273,6 +273,12 @@ def star_links(df: DataFrame, placed: DataFrame, bands: int, key: str, text: str
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", slack: float = 0.58, also: tuple[str, ...] = ()) -> DataFrame:
     """(key, n_shingles, component_id, kept, also...): one row per row of df; kept where the key is its component's smallest."""
+    # all steps in Python are pinned before this returns
+    with arrow_bytes(df.sparkSession):
+        return _near_duplicates(df, key, text, slack, also)
+
+
+def _near_duplicates(df: DataFrame, key: str, text: str, slack: float, also: tuple[str, ...]) -> DataFrame:
     sig = pin(signed(df, key, text, also), "signatures")
     known = sig.filter("n > 0 AND key IS NOT NULL")
     heads = known.groupBy("set_a", "set_b", "n").agg(F.min("key").alias("rep"), F.min_by(F.struct("bands", "packed"), "key").alias("_s"))
