@@ -92,7 +92,13 @@ def a27b(t):
     return L.report_group_counts(L.report_groups(t.documents.select("doc_id", "text"), "text"))
 
 
-@query("a28_near_template_groups")
+@query("a28_near_template_groups", r"""WITH RECURSIVE tokens AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
+    shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM tokens),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared.n >= 0.6::DOUBLE * (x.n + y.n - shared.n)),
+    reach AS (SELECT doc_id AS node, doc_id AS far FROM documents UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.far)
+    SELECT node AS doc_id, min(far) AS template FROM reach GROUP BY node""")
 def a28(t):
     return L.near_template_groups(t.documents, "doc_id", "text")
 

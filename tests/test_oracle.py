@@ -7,7 +7,7 @@ from slotworks.plans import catalog
 
 ROOT = "/root/testdata/sf0.001"
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
-ROWS_ONLY = {"p11_schema_contract", "a28_near_template_groups", "a25_covariance_spectrum", "m02_ridge_fit", "m04_soft_logistic_fit",
+ROWS_ONLY = {"p11_schema_contract", "a25_covariance_spectrum", "m02_ridge_fit", "m04_soft_logistic_fit",
              "m05_attention_score", "m09_train_eval_report"}
 
 
