@@ -471,6 +471,26 @@ def test_forest_isolates_an_outlier():
     assert found.score(np.array([[9.0, 9.0]]))[0] > np.quantile(found.score(x), 0.99)
 
 
+def test_forest_and_threshold_are_of_all_rows(spark):
+    """More labelled rows than any bound on them: the threshold is the exact quantile of all, and rows of any key count in the forest."""
+    n = 60_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 24), i -> concat(repeat('x', 3 + pmod(hash(id, i), 9)), if(pmod(hash(id, i, 1), 7) = 0, '#', ''), i)), ' ')").alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 60 == 0, 0).otherwise(1).alias("quality"))
+    got = quality_rules.judge(docs, labels).select("doc_id", "anomaly", "kept").toArrow()
+    key, score, kept = (got.column(c).to_numpy(zero_copy_only=False) for c in got.column_names)
+    good = key % 60 != 0
+    assert len(key) == n and score[kept].max() <= np.quantile(score[good], 0.998, method="higher") < score[~kept].min()
+    stats = quality_rules.rule_statistics(docs)
+    values, counts = quality_rules.feature_cells(stats)
+    assert counts.sum() == n and len(quality_rules.feature_cells(stats, most=50)[1]) <= 50 and quality_rules.feature_cells(stats, most=50)[1].sum() == n
+
+
+def test_one_extreme_row_does_not_hide_the_others():
+    x = np.random.default_rng(0).normal(size=(500, 2))
+    found = quality_rules.IsolationForest.fit(np.concatenate([x, [[1e6, 1e6]]]))
+    assert found.score(np.array([[9.0, 9.0]]))[0] > np.quantile(found.score(x), 0.99)
+
+
 # ---- 10 compression classifier
 
 def test_held_out_accuracy(spark):
