@@ -102,14 +102,21 @@ def centre_crop_bounds(h, w, fov: float = 0.92) -> dict[str, Column]:
 
 # ---- evenly spaced indices --------------------------------------------------
 
-def linspace(lo, hi, k: int) -> Column:
-    """k evenly spaced DOUBLEs from lo to hi; a single point sits at lo."""
+def spaced(lo, hi, k: int) -> list[Column]:
+    """k evenly spaced DOUBLEs from lo to hi, one column each; a single point sits at lo.
+
+    Plain columns: inside a lambda the ends would be computed anew for every point, without generated code.
+    """
     lo, hi = col(lo).cast("double"), col(hi).cast("double")
     if k == 1:
-        return F.array(lo)
+        return [lo]
     step = (hi - lo) / dbl(k - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                       lambda i: F.when(i == k - 1, hi).otherwise(i.cast("double") * step + lo))
+    return [dbl(i) * step + lo for i in range(k - 1)] + [hi]
+
+
+def linspace(lo, hi, k: int) -> Column:
+    """`spaced` as one array."""
+    return F.array(*spaced(lo, hi, k))
 
 
 def slice_indices(n, k: int, lo: float = 0.04, hi: float = 0.96) -> Column:
@@ -135,13 +142,12 @@ def window_centres(n, k: int, lo: float = 0.04, hi: float = 0.96, jitter=None) -
     a, b = window_bounds(n, lo, hi)
     n = col(n).cast("int")
     if jitter is None:
-        points = linspace(a, b, k)
+        points = spaced(a, b, k)
     else:
-        edges = linspace(a, b, k + 1)
-        points = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                             lambda i: edges[i] + jitter(i) * (edges[i + 1] - edges[i]))
+        edges = spaced(a, b, k + 1)
+        points = [e + jitter(F.lit(i)) * (f - e) for i, (e, f) in enumerate(zip(edges, edges[1:]))]
     top = F.greatest(F.lit(1), n - 2)
-    return F.transform(points, lambda x: F.greatest(F.lit(1), F.least(top, F.rint(x).cast("int"))))
+    return F.array(*[F.greatest(F.lit(1), F.least(top, F.rint(x).cast("int"))) for x in points])
 
 
 def kept_by_cap(ordinal, n, cap: int = MAX_SLICES) -> Column:

@@ -53,7 +53,7 @@ def w03(t):
 
 
 def listed(c):
-    return F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
+    return F.array_join(S.col(c).cast("array<string>"), ",")
 
 
 @query("w06_slice_indices", "SELECT study_id, slot, string_agg(CAST(slice_no AS VARCHAR), ',' ORDER BY k) AS idx FROM fx_plan GROUP BY ALL")
