@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import pin, spread
+from ..session import pin, spread, stored
 from .checks import coverage_report, rule_table
 from .ordering import exact_quantiles
 
@@ -24,9 +24,11 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def series_inventory(series: DataFrame) -> DataFrame:
     """(metric, value): series per study and slices per series (min, median, max),
-    studies with a repeated slot. series(study_id, series_id, slot, n)."""
+    studies with a repeated slot. series(study_id, series_id, slot, n).
+
+    Counts per study are stored: two results are made of them."""
     slot = series.groupBy("study_id", "slot").agg(F.count(F.lit(1)).alias("c"))
-    study = slot.groupBy("study_id").agg(F.sum("c").cast("double").alias("v"), F.max("c").alias("most"))
+    study = stored(slot.groupBy("study_id").agg(F.sum("c").cast("double").alias("v"), F.max("c").alias("most")).select("v", "most"), "studies")
     q = {"min": 0.0, "median": 0.5, "max": 1.0}
     tidy = lambda df, pre, cols: df.select(F.explode(F.array(*[F.struct(F.lit(f"{pre}{c}").alias("metric"), F.col(c).cast("double").alias("value"))
                                                               for c in cols])).alias("r")).select("r.*")

@@ -431,3 +431,12 @@ def test_folds_keep_the_null_group(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4)], "g string, id int")
     got = {r.id: r.fold for r in group_folds(df, "g", 2).collect()}
     assert len(got) == 4 and got[1] == got[2]
+
+
+def test_pieces_of_spread_do_not_grow(spark):
+    """Four times the bytes of a piece per core give four times as many pieces, not larger ones."""
+    from slotworks.session import PIECE_BYTES, spread
+    cores = spark.sparkContext.defaultParallelism
+    df = spread(spark.range(4 * cores * PIECE_BYTES // 8), "id")
+    assert "hashpartitioning(id#" in (plan := df._jdf.queryExecution().executedPlan().toString()) and f", {4 * cores})" in plan.replace("L,", ",")
+    assert f", {cores})" in spread(spark.range(100), "id")._jdf.queryExecution().executedPlan().toString().replace("L,", ",")
