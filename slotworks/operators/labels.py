@@ -270,7 +270,7 @@ def _template_sets(df: DataFrame, asked: DataFrame, key: str, text: str, shingle
 
 
 def _mixed_blocks(members: DataFrame) -> DataFrame:
-    """(signature, i, j, node, component, packed): members of buckets that hold several components, in pairs of salted blocks.
+    """(signature, i, j, node, component, packed if given): members of buckets that hold several components, in pairs of salted blocks.
 
     Members of a bucket's largest component have blocks of their own, which meet the other blocks only.
     """
@@ -283,7 +283,7 @@ def _mixed_blocks(members: DataFrame) -> DataFrame:
     own, major = members.join(sized, "signature"), F.col("component") == F.col("_major")
     dealt = own.withColumn("_b", F.when(major, F.col("_few") + F.pmod(F.xxhash64("node", "signature"), F.col("_many"))).otherwise(F.pmod(F.xxhash64("node", "signature"), F.col("_few"))).cast("int"))
     met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_few") - 1 + F.when(major, F.lit(0)).otherwise(F.col("_many")))))
-    return met.select("signature", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "node", "component", "packed")
+    return met.select("signature", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "node", "component", *[c for c in members.columns if c == "packed"])
 
 
 def _block_partners(blocks: DataFrame, minima: int, least: float) -> DataFrame:
@@ -336,9 +336,11 @@ def near_template_groups(df: DataFrame, key: str, text: str, bands: int = 48, ro
     least = similarity - 4.5 * float(np.sqrt((0.25 + 0.75 * similarity) * 0.75 * (1 - similarity) / minima)) / 0.75
     signed = pin(template_signatures(df, key, text, bands, rows, shingle))
     heads = pin(signed.groupBy("node").agg(F.min(key).alias(key), F.any_value("signatures").alias("signatures"), F.any_value("packed").alias("packed")))
-    banded, codes = heads.select("node", F.explode("signatures").alias("signature")), heads.select("node", "packed")
+    # digests are shuffled once per band as 16 bytes, not as 32 hex digits; their order is the same
+    short, long = lambda c: F.unhex(c).alias(c), lambda c: F.lower(F.hex(c)).alias(c)
+    banded, codes = heads.select(short("node"), F.explode("signatures").alias("signature")), heads.select("node", "packed")
     first = banded.groupBy("signature").agg(F.min("node").alias("_first"), F.count(F.lit(1)).alias("_m")).filter("_m > 1")
-    pairs = banded.join(first, "signature").filter("node != _first").select(F.col("node").alias("a"), F.col("_first").alias("b")).distinct()
+    pairs = banded.join(first, "signature").filter("node != _first").select(F.col("node").alias("a"), F.col("_first").alias("b")).distinct().select(long("a"), long("b"))
     rated = (pairs.join(codes.select(F.col("node").alias("a"), F.col("packed").alias("_p")), "a").join(codes.select(F.col("node").alias("b"), F.col("packed").alias("_q")), "b")
              .withColumn("_e", _agreement("_p", "_q", minima)).filter(F.col("_e") >= least))
     # a node has one head per band at the most; what is left out here is met in the blocks
@@ -350,8 +352,10 @@ def near_template_groups(df: DataFrame, key: str, text: str, bands: int = 48, ro
                 .filter(both >= S.dbl(similarity) * (F.size("_x") + F.size("_y") - both)).select("a", "b"))
     parts = connected_components(links)
     placed = heads.select("node", "packed", "signatures").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = placed.select(F.explode("signatures").alias("signature"), "node", "component", "packed")
-    open_ = pin(_block_partners(_mixed_blocks(members), minima, least))
+    # minima follow the members of mixed buckets only: most members are in none
+    members = placed.select(F.explode("signatures").alias("signature"), short("node"), short("component"))
+    blocks = _mixed_blocks(members).select("signature", "i", "j", long("node"), long("component"))
+    open_ = pin(_block_partners(blocks.join(codes, "node"), minima, least))
     sets = _template_sets(df, open_.select("node").distinct().join(keyed, "node"), key, text, shingle)
     more = pin(_block_links(open_.join(sets, "node"), minima, least, similarity))
     if not more.isEmpty():

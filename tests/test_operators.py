@@ -230,6 +230,14 @@ def test_blocks_link_members_that_no_head_matches(spark, monkeypatch):
     assert found <= {frozenset(p) for p in ((1, 2), (1, 3), (2, 3))} and len(found) >= 2
 
 
+def test_members_are_dealt_without_their_minima(spark):
+    """Minima join the members of mixed buckets only; a bucket of one component is left out."""
+    members = spark.createDataFrame([(1, b"a", b"a"), (1, b"b", b"b"), (1, b"c", b"a"), (2, b"a", b"a"), (2, b"c", b"a")], "signature bigint, node binary, component binary")
+    blocks = L._mixed_blocks(members)
+    assert blocks.columns == ["signature", "i", "j", "node", "component"]
+    assert {(r.signature, bytes(r.node), bytes(r.component)) for r in blocks.collect()} == {(1, b"a", b"a"), (1, b"b", b"b"), (1, b"c", b"a")}
+
+
 # ---- evaluation ---------------------------------------------------------------------
 
 def brute_auc(y, s, w=None):
