@@ -65,8 +65,10 @@ class Pieces:
         # behind a text's first piece, each begins with the space that was cut away
         code = 2 * coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
         code[np.cumsum(n) - n] -= 1
-        there, code = np.unique(code, return_inverse=True)
-        names = coded.dictionary.take(pa.array(there >> 1)).to_pylist()
+        used = np.zeros(2 * len(coded.dictionary), bool)
+        used[code] = True
+        there, code = np.flatnonzero(used), (np.cumsum(used, dtype=np.int32) - 1)[code]
+        names = coded.dictionary.take(pa.array(there >> 1)).to_numpy(zero_copy_only=False).tolist()
         distinct = [" " + p if spaced else p for p, spaced in zip(names, (there & 1).tolist())]
         counts = np.zeros(len(texts), np.int64)
         counts[even] = n
@@ -92,9 +94,8 @@ class Pieces:
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
         ids = lists.take(pa.array(code)).flatten().to_numpy(zero_copy_only=False) if len(code) else np.zeros(0, np.int32)
         ends = np.concatenate([[0], np.cumsum(size[code])])
-        for part in new:
-            if len(part) > 256:
-                del self.seen[part]
+        for part in [p for p in new if len(p) > 256]:
+            del self.seen[part]
         if len(self.seen) > self.kept:  # the older half goes
             self.seen = dict(islice(self.seen.items(), len(self.seen) - self.kept // 2, None))
         return ids, ends[np.cumsum(counts)]

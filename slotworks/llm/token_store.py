@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .byte_bpe import Pieces
-from .common import pin, shared_dir
+from .common import arrow_bytes, pin, shared_dir
 from .perfect_hash import PerfectHash
 from .words import slices
 
@@ -49,7 +49,7 @@ _MAGIC = 0x4D50484958303031
 class LibraryCodec:
     """Encoding with the tokenizers library: each distinct piece of a slice goes through it once."""
 
-    def __init__(self, path: str, kept: int = 1 << 20):
+    def __init__(self, path: str, kept: int = 1 << 19):
         self.path, self.kept = path, kept
 
     def pieces(self) -> Pieces:
@@ -67,10 +67,12 @@ class LibraryCodec:
                 out = [b""] * len(parts)
                 plain = [i for i, p in enumerate(parts) if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
                 groups = [plain[at:at + 1024] for at in range(0, len(plain), 1024)] + [[i] for i in sorted(set(range(len(parts))).difference(plain))]
-                found = known.encode_batch_fast(["".join([parts[i] for i in g]) for g in groups], add_special_tokens=False)
-                for group, e in zip(groups, found):
+                joined = ["".join([parts[i] for i in g]) for g in groups]
+                found = known.encode_batch_fast(joined, add_special_tokens=False)
+                for group, text, e in zip(groups, joined, found):
                     ids = np.array(e.ids, np.int32)
-                    ends, want = np.cumsum(size[ids]), np.cumsum([len(parts[i].encode()) for i in group])
+                    lengths = [len(parts[i]) for i in group] if text.isascii() else [len(parts[i].encode()) for i in group]
+                    ends, want = np.cumsum(size[ids]), np.cumsum(lengths)
                     stop = np.searchsorted(ends, want, side="left") + 1
                     if len(group) == 1:
                         out[group[0]] = ids.tobytes()
@@ -160,7 +162,8 @@ def write(df: DataFrame, codec: LibraryCodec, key: str = "doc_id", text: str = "
     # ranges also split a key that many rows repeat
     laid = (df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
             .repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text"))
-    rows = pin(laid.mapInArrow(run, "key bigint, shard int, row bigint, n bigint"), "token-rows")
+    with arrow_bytes(spark, SLICE):  # a batch is a slice
+        rows = pin(laid.mapInArrow(run, "key bigint, shard int, row bigint, n bigint"), "token-rows")
     shards, first_row, first_id = [], 0, 0
     for r in sorted(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("ids")).collect()):
         shards.append((r["shard"], first_row, first_id))
