@@ -129,22 +129,27 @@ class Tables:
         self.slots: list[bytes] = [b""] * len(tokens)
         for slot, token in zip(self.hash.slots(PerfectHash.halves(tokens)).tolist(), tokens):
             self.slots[slot] = token
+        self.slot_ids = [self.ranks[t].to_bytes(4, "little") for t in self.slots]
         by_id: list[bytes | None] = [None] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             by_id[i] = token
         self.by_id = pa.array(by_id, pa.large_binary())
         self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
-        # rank of two neighbouring parts, by their ids
-        self.pairs = {self.ranks[t[:i]] << 32 | self.ranks[t[i:]]: r for t, r in self.ranks.items()
-                      for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
+        # rank of two neighbouring parts, by their ids; of two neighbouring bytes, -1 where there is none
+        self.pairs: list[dict[int, int]] = [{} for _ in by_id]
+        for t, r in self.ranks.items():
+            for i in range(1, len(t)):
+                if t[:i] in self.ranks and t[i:] in self.ranks:
+                    self.pairs[self.ranks[t[:i]]][self.ranks[t[i:]]] = r
+        self.byte_pairs = [[self.pairs[a].get(b, -1) for b in self.byte_ids] for a in self.byte_ids]
         self.split = regex.compile(pattern).findall
         self.pieces = Pieces(self.resolve, self.split, kept, by_spaces)
 
     def merge(self, piece: bytes) -> bytes:
         """Ids of one pre-token, as 32-bit integers side by side: a heap of rank and position over linked parts."""
-        n, get = len(piece), self.pairs.get
+        n, pairs = len(piece), self.pairs
         ids = [*map(self.byte_ids.__getitem__, piece)]
-        rank = [get(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]  # of the part and the next one
+        rank = [ranks[b] for ranks, b in zip(map(self.byte_pairs.__getitem__, piece), piece[1:])]  # of the part and the next one
         rank.append(-1)
         bits = n.bit_length()
         heap, low = [r << bits | i for i, r in enumerate(rank) if r >= 0], (1 << bits) - 1
@@ -161,16 +166,20 @@ class Tables:
             after[i] = k
             if k < n:
                 before[k] = i
-                rank[i] = new = get(r << 32 | ids[k], -1)
-                if new >= 0:
+                if (b := ids[k]) in (known := pairs[r]):
+                    rank[i] = new = known[b]
                     heappush(heap, new << bits | i)
+                else:
+                    rank[i] = -1
             else:
                 rank[i] = -1
             j = before[i]
             if j >= 0:
-                rank[j] = new = get(ids[j] << 32 | r, -1)
-                if new >= 0:
+                if r in (known := pairs[ids[j]]):
+                    rank[j] = new = known[r]
                     heappush(heap, new << bits | j)
+                else:
+                    rank[j] = -1
         return array("i", [x for x in ids if x >= 0]).tobytes()
 
     def resolve(self, parts: list[str]) -> list[bytes]:
@@ -179,8 +188,7 @@ class Tables:
         new = list({w for group in words for w in group})
         raw = [w.encode() for w in new]
         slots = self.hash.slots(PerfectHash.halves(raw)).tolist() if raw else []
-        ids = {w: self.ranks[b].to_bytes(4, "little") for w, b, s in zip(new, raw, slots) if self.slots[s] == b}
-        ids |= {w: self.merge(b) for w, b in zip(new, raw) if w not in ids}
+        ids = dict(zip(new, [self.slot_ids[s] if self.slots[s] == b else self.merge(b) for b, s in zip(raw, slots)]))
         return [ids[group[0]] if len(group) == 1 else b"".join(map(ids.__getitem__, group)) for group in words]
 
     def decode(self, ids: pa.Array, offsets: np.ndarray) -> pa.Array:

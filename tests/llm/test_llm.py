@@ -4,6 +4,7 @@ import os
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -278,6 +279,28 @@ def test_merges_match_library(codec, library):
     assert [np.frombuffer(codec.tables.merge(p), np.int32).tolist() for p in pieces] == [library._encode_single_piece(p) for p in pieces]
 
 
+def test_pieces_of_a_slice_are_numbered_without_sorting_them():
+    pieces = byte_bpe.Pieces(None, lambda t: [t], 10)
+    texts = ["one two  three", " one", "", None, "one two one two", "Ünï two one", "two"]
+    distinct, code, counts = pieces.cut(pa.array(texts))
+    assert len(set(distinct)) == len(distinct) and set(code.tolist()) == set(range(len(distinct)))
+    ends = np.cumsum(counts)
+    assert ["".join(distinct[c] for c in code[e - n:e]) for e, n in zip(ends, counts)] == [t or "" for t in texts]
+    many = pa.array([" ".join(words(1000, 1) * 20)] * 20)
+    tracemalloc.start()
+    _, code, _ = pieces.cut(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(code) == 400_000 and peak < 36 * len(code)
+
+
+def test_pair_ranks_are_those_of_the_vocabulary(codec):
+    tables = codec.tables
+    assert all(tables.byte_pairs[a][b] == tables.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256))
+    known = {tables.by_id[a].as_py() + tables.by_id[b].as_py(): r for a, after in enumerate(tables.pairs) for b, r in after.items()}
+    assert all(tables.ranks[t] == r for t, r in known.items()) and len(known) > 40_000
+
+
 def test_bpe_query(spark, library):
     got = {r["doc_id"]: r for r in QUERIES["op5_byte_bpe"](spark, ROOT).collect()}
     for r in documents(spark).collect():
