@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -254,12 +255,29 @@ def _banded(placed: DataFrame, bands: int) -> DataFrame:
     return placed.select(F.explode(F.slice("bands", 1, bands)).alias("bucket"), "key", "component", "size")
 
 
+def in_buckets(placed: DataFrame, bands: int, buckets: DataFrame) -> DataFrame:
+    """(bucket, key, component) of the members of at least the buckets in `buckets`, and few others: lists are thinned out before they become rows."""
+    found = bloom_words(buckets, "bucket", hashed=False)
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("buckets")
+            flat = lists.flatten()
+            hit = np.flatnonzero(bloom_hit(flat.to_numpy(), found))
+            owner = pa.array(np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[hit])
+            yield pa.RecordBatch.from_arrays([flat.take(pa.array(hit)), b.column("key").take(owner), b.column("component").take(owner)], ["bucket", "key", "component"])
+
+    kind = placed.schema["key"].dataType.simpleString()
+    return (placed.select(F.slice("bands", 1, bands).alias("buckets"), "key", "component")
+            .mapInArrow(run, f"bucket bigint, key {kind}, component {kind}"))
+
+
 def star_links(df: DataFrame, placed: DataFrame, bands: int, key: str, text: str, slack: float) -> DataFrame:
     """(a, b): links between the heads of mixed buckets and the members outside the head's component."""
     banded, codes = _banded(placed, bands), placed.select("key", "packed")
     # of known size from here on, so that a short list is broadcast
-    heads = pin(_mixed(banded).select(F.col("bucket").alias("_bucket"), "head", "head_component"), "heads")
-    met = banded.join(heads, (F.col("bucket") == F.col("_bucket")) & (F.col("component") != F.col("head_component")))
+    heads = pin(_mixed(banded).select("bucket", "head", "head_component"), "heads")
+    met = in_buckets(placed, bands, heads).join(heads, "bucket").filter("component != head_component")
     pairs = met.select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
     rated = (pairs.join(codes.select(F.col("key").alias("a"), F.col("packed").alias("_p")), "a")
              .join(codes.select(F.col("key").alias("b"), F.col("packed").alias("_q")), "b")
@@ -295,7 +313,7 @@ def _near_duplicates(df: DataFrame, key: str, text: str, slack: float, also: tup
     banded = _banded(placed, BANDS)
     # buckets of the same members are gone through once
     once = pin(_mixed(banded).groupBy("members").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")
-    members = pin(banded.join(once, "bucket").select("bucket", "key", "component").join(placed.select("key", "packed"), "key"), "members")
+    members = pin(in_buckets(placed, BANDS, once).join(once, "bucket").join(placed.select("key", "packed"), "key"), "members")
     flagged = pin(possible_partners(members, slack), "partners")
     more = pin(block_links(flagged.join(full_sets(df, flagged.select("key").distinct(), key, text), "key")), "block-links")
     if not more.isEmpty():

@@ -23,6 +23,7 @@ import oracle  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from slotworks.llm import (byte_bpe, compression_quality, decontaminate, hilbert_shards, licenses, near_dup, quality_rules,  # noqa: E402
                            substring_dup, token_store, url_cascade)
+from slotworks.llm.common import without_rows  # noqa: E402
 from slotworks.llm.perfect_hash import PerfectHash  # noqa: E402
 from slotworks.llm.queries import BLOCKED_NAMES, ORACLES, QUERIES, RULES  # noqa: E402
 from slotworks.llm.words import Words  # noqa: E402
@@ -448,6 +449,29 @@ def test_blocks_find_links_that_heads_miss(spark, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == brute_components(rows)
 
 
+def test_rows_outside_the_buckets_asked_for_are_dropped_before_the_join(spark):
+    placed = spark.createDataFrame([(k, k // 2, [near_dup.BASES[0] // 2 * k % (1 << 62), 7 * k - 50, 5]) for k in range(100)], "key bigint, component bigint, bands array<bigint>")
+    asked = spark.createDataFrame([(7 * 3 - 50,), (5,), (12345,)], "bucket bigint")
+    rows = near_dup.in_buckets(placed, 2, asked).collect()
+    assert (-29, 3, 1) in [tuple(r) for r in rows] and len(rows) < 5
+    assert sorted(r["key"] for r in near_dup.in_buckets(placed, 3, asked).filter("bucket = 5").collect()) == list(range(100))
+    assert near_dup.in_buckets(placed.limit(0), 3, asked).count() == 0 and near_dup.in_buckets(placed, 3, asked.limit(0)).count() == 0
+
+
+def test_rows_that_are_not_listed_meet_no_join(spark):
+    docs = spark.createDataFrame([(str(i), "x" * i) for i in range(200)] + [("7", "again"), ("", None)], "name string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = without_rows(docs, spark.createDataFrame([("7",), ("190",), ("absent",), ("7",)], "name string"), "name")
+        assert sorted(map(str, left.collect())) == sorted(map(str, docs.filter("name NOT IN ('7', '190')").collect()))
+        stay, others = (left._jdf.queryExecution().optimizedPlan().children().apply(i).toString() for i in (0, 1))
+        assert "Join" not in stay and "Join LeftAnti" in others
+        assert without_rows(docs, docs.limit(0), "name").count() == 202 and without_rows(docs, docs, "name").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_packed_estimate_follows_similarity():
     a = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     _, packed = near_dup.signatures([near_dup._mix(a), near_dup._mix(a[:750]), near_dup._mix(a[500:]), np.zeros(0, np.uint64)])
