@@ -222,6 +222,9 @@ def encode(df: DataFrame, codec: Codec, text: str = "text", out: str = "ids", dr
             gc.enable()
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [lists], kept + [out])
+        # the worker may go on with other stages, which need the memory
+        tables.pieces.seen = {}
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
