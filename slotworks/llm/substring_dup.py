@@ -42,6 +42,8 @@ WIDTH = 50
 #: A perfect difference set: every non-zero remainder modulo 31 is the difference of two of these.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 SLICE = 16 << 20
+#: Bytes of text whose words are laid out at once; a slice is gone through in such parts, of which hashes and positions stay.
+PART = 2 << 20
 _WORD_AND_SPACE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
@@ -67,6 +69,19 @@ def _positions(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return docs, pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(ends), pa.py_buffer(at[order].astype(np.int32))])
 
 
+def _words(texts: pa.Array):
+    """(first row, words) of the parts of a slice."""
+    first = 0
+    for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", PART):
+        yield first, Words(part.column(0))
+        first += part.num_rows
+
+
+def _joined(parts: list[tuple], kinds: tuple) -> list[np.ndarray]:
+    """The arrays of all parts, one behind the other."""
+    return [np.concatenate([np.zeros(0, kind), *column]) for kind, column in zip(kinds, list(zip(*parts)) or [()] * len(kinds))]
+
+
 def _rows(names: list[str], keys: pa.Array, hashes: list[np.ndarray], doc: np.ndarray, at: np.ndarray, sent: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
     """(hashes, key, spots): a row per sent position, and one without hashes per document with known positions."""
     docs, blobs = _positions(doc[known], at[known])
@@ -79,40 +94,46 @@ def _rows(names: list[str], keys: pa.Array, hashes: list[np.ndarray], doc: np.nd
 def _anchors(batches):
     long = WIDTH - PERIOD + 1
     for part in slices((b.filter(pc.and_(b.column("key").is_valid(), b.column("copy").is_null())) for b in batches), "text", SLICE):
-        words, keys = Words(part.column("text")), part.column("key")
-        starts = words.window_starts(long)
-        doc = words.owner[starts]
-        fit = np.isin((starts - words.start[doc]) % PERIOD, COVER) & (words.n[doc] >= WIDTH)
-        starts, doc = starts[fit], doc[fit]
-        h, rank = window_hashes(words.hashes(), starts, long), _ranks(keys)[doc]
+        keys, found = part.column("key"), []
+        for base, words in _words(part.column("text")):
+            starts = words.window_starts(long)
+            doc = words.owner[starts]
+            at = starts - words.start[doc]
+            fit = np.isin(at % PERIOD, COVER) & (words.n[doc] >= WIDTH)
+            found.append((window_hashes(words.hashes(), starts[fit], long), (base + doc[fit]).astype(np.int32), at[fit].astype(np.int32)))
+        h, doc, at = _joined(found, (np.uint64, np.int32, np.int32))
+        rank = _ranks(keys)[doc]
         order = np.lexsort((rank, h))
         new = _changes(h[order])
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(order)) - 1 if len(first) else first
         several = (rank[order][first] != rank[order][last])[group] if len(first) else new
-        yield _rows(["h", "key", "spots"], keys, [h], doc, starts - words.start[doc], order[new | ~several], order[several])
+        yield _rows(["h", "key", "spots"], keys, [h], doc, at, order[new | ~several], order[several])
 
 
 def _windows(batches):
     for part in slices((b.filter(b.column("spots").is_valid()) for b in batches), "text", SLICE):
-        words, keys = Words(part.column("text")), part.column("key")
-        step = np.zeros(len(words.owner) + 1, np.int64)
-        for i, spots in enumerate(part.column("spots").to_pylist()):  # a window that holds an anchor starts at most v - 1 words before it
-            at = np.frombuffer(b"".join(spots), np.int32).astype(np.int64)
-            at = at[at < words.n[i]]
-            np.add.at(step, words.start[i] + np.maximum(at - (PERIOD - 1), 0), 1)
-            np.subtract.at(step, words.start[i] + at + 1, 1)
-        starts = words.window_starts(WIDTH)
-        starts = starts[np.cumsum(step)[starts] > 0]
-        doc = words.owner[starts]
+        keys, found = part.column("key"), []
+        for base, words in _words(part.column("text")):
+            step = np.zeros(len(words.owner) + 1, np.int64)
+            for i, spots in enumerate(part.column("spots").slice(base, len(words.n)).to_pylist()):  # a window that holds an anchor starts at most v - 1 words before it
+                at = np.frombuffer(b"".join(spots), np.int32).astype(np.int64)
+                at = at[at < words.n[i]]
+                np.add.at(step, words.start[i] + np.maximum(at - (PERIOD - 1), 0), 1)
+                np.subtract.at(step, words.start[i] + at + 1, 1)
+            starts = words.window_starts(WIDTH)
+            starts = starts[np.cumsum(step)[starts] > 0]
+            doc = words.owner[starts]
+            a, b = (window_hashes(words.hashes(seed), starts, WIDTH, odd) for seed, odd in enumerate(BASES))
+            found.append((a, b, (base + doc).astype(np.int32), (starts - words.start[doc]).astype(np.int32)))
+        a, b, doc, at = _joined(found, (np.uint64, np.uint64, np.int32, np.int32))
         rank = _ranks(keys)[doc]
-        a, b = (window_hashes(words.hashes(seed), starts, WIDTH, base) for seed, base in enumerate(BASES))
         order = np.lexsort((rank, b, a))
         new = _changes(a[order], b[order])
         least = rank[order][np.flatnonzero(new)][np.cumsum(new) - 1]
         cut = rank[order] > least  # another document of this slice has the window under a smaller key
-        yield _rows(["h1", "h2", "key", "spots"], keys, [a, b], doc, starts - words.start[doc], order[~cut], order[cut])
+        yield _rows(["h1", "h2", "key", "spots"], keys, [a, b], doc, at, order[~cut], order[cut])
 
 
 def _per_document(rows: DataFrame) -> DataFrame:
@@ -174,7 +195,7 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", layout:
     kind = laid.schema
 
     def run(batches):
-        for part in slices(batches, "text", SLICE):
+        for part in slices(batches, "text", PART):
             texts, words = part.column("text").to_pylist(), Words(part.column("text"))
             gone = _mask(words, part.column("spots").to_pylist(), part.column("copy").to_pylist())
             lost = np.bincount(words.owner[gone], minlength=len(texts))

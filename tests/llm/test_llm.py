@@ -411,6 +411,28 @@ def brute_components(rows):
     return Counter((k, len(s), top(k) if k is not None else None, k is None or top(k) == k) for k, s in sets)
 
 
+def test_words_of_a_slice_are_laid_out_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 1000, 800))) for _ in range(400)]
+    texts[7], texts[300], texts[390] = None, texts[11], texts[399][:1500] + " " + texts[12]
+    slice_of = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts), pa.nulls(400, pa.bool_())], ["key", "text", "copy"])
+    marked = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts), pa.array([[np.arange(0, 900, 31, dtype=np.int32).tobytes()]] * 400)], ["key", "text", "spots"])
+    rows, peaks = [], []
+    for most in (1 << 16, 16 << 20):
+        monkeypatch.setattr(substring_dup, "PART", most, raising=False)
+        list(substring_dup._windows([marked]))  # tables of powers are built
+        tracemalloc.start()
+        rows.append([[b.to_pydict() for b in step([data])] for step, data in ((substring_dup._anchors, slice_of), (substring_dup._windows, marked))])
+        tracemalloc.stop()
+        tracemalloc.start()
+        for _ in substring_dup._anchors([slice_of]):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert rows[0] == rows[1] and rows[0][0][0]["h"]  # copies of different parts are still met within the slice
+    assert peaks[0] < 0.6 * peaks[1], peaks
+
+
 def test_word_hashes_tell_words_apart_wherever_they_stand():
     words = [f"w{i:x}" * (1 + i % 5) for i in range(3000)] + ["", "a", "a\0", "\0a", "ü" * 5000, "x" * 300_000]
     flat = pa.array(words, pa.large_string())
