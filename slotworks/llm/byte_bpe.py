@@ -41,16 +41,44 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+#: Of bytes: ASCII letters, ASCII punctuation, ASCII characters that can be seen.
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+_MARK = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
+_SEEN = np.array([32 < b < 127 for b in range(256)])
+
+
+def _finely(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(pieces of all texts, pieces of each text), without copying a text; see `Pieces`."""
+    texts = pa.concat_arrays([texts, texts.slice(0, 0)])
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[:ends[-1]] if len(texts) else np.zeros(0, np.uint8)
+    begins = np.ones(len(raw) + 1, bool)
+    if len(raw):
+        one, two = raw[:-1], raw[1:]
+        letter = _LETTER[one]
+        # U+00C0 to U+00FF are letters but for the signs of times and division
+        letter[1:] |= (one[:-1] == 0xC3) & (one[1:] != 0x97) & (one[1:] != 0xB7)
+        begins[1:-1] = (two == 0x20) | (letter & _MARK[two]) | ((two == 0x0A) & _SEEN[one])
+        begins[ends] = True
+    at = np.flatnonzero(begins)
+    n = np.diff(np.searchsorted(at, ends))
+    cut = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), data]) if len(raw) else pa.array([], pa.large_string())
+    return cut.dictionary_encode(), n
+
+
 class Pieces:
     """Ids of whole texts from ids of their pieces, of which up to about `kept` are remembered between slices.
 
     `resolve` gives the ids of pieces as 32-bit integers side by side. A piece ends where a
     pre-token ends: at a single space, or, around other white space, where `split` says so.
-    Texts are cut in Arrow, and only the distinct pieces of a slice become Python strings.
+    Texts are cut in Arrow, and only the distinct pieces of a slice become Python strings. With `fine`,
+    a piece also ends where a letter meets ASCII punctuation and before a line feed, which are ends of
+    pre-tokens in PATTERN; so words with and without punctuation are one piece.
     """
 
-    def __init__(self, resolve, split, kept: int, by_spaces: bool = True):
-        self.resolve, self.split, self.kept, self.by_spaces = resolve, split, kept, by_spaces
+    def __init__(self, resolve, split, kept: int, by_spaces: bool = True, fine: bool = False):
+        self.resolve, self.split, self.kept, self.by_spaces, self.fine = resolve, split, kept, by_spaces, fine
         self.seen: dict[str, bytes] = {}
 
     def cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -59,6 +87,10 @@ class Pieces:
         odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False).astype(bool)
         filled = pc.not_equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(bool)
         even = filled & ~odd if self.by_spaces else np.zeros(len(texts), bool)
+        if self.fine:
+            coded, n = _finely(texts.filter(pa.array(even)))
+            distinct, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+            return self._with_rest(texts, distinct, code, n, even, filled)
         lists = pc.split_pattern(texts.filter(pa.array(even)), " ")
         n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pa.concat_arrays([lists.flatten()]).dictionary_encode()
@@ -70,6 +102,10 @@ class Pieces:
         there, code = np.flatnonzero(used), (np.cumsum(used, dtype=np.int32) - 1)[code]
         names = coded.dictionary.take(pa.array(there >> 1)).to_numpy(zero_copy_only=False).tolist()
         distinct = [" " + p if spaced else p for p, spaced in zip(names, (there & 1).tolist())]
+        return self._with_rest(texts, distinct, code, n, even, filled)
+
+    def _with_rest(self, texts: pa.Array, distinct: list[str], code: np.ndarray, n: np.ndarray, even: np.ndarray, filled: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """With the pieces of the texts that are not `even`, which `split` cuts."""
         counts = np.zeros(len(texts), np.int64)
         counts[even] = n
         rest = np.flatnonzero(filled & ~even)
@@ -87,9 +123,11 @@ class Pieces:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text ends)."""
         distinct, code, counts = self.cut(texts)
-        new = [p for p in distinct if p not in self.seen]
-        self.seen.update(zip(new, self.resolve(new)))
-        found = [self.seen[p] for p in distinct]
+        found = [*map(self.seen.get, distinct)]
+        missed = [i for i, ids in enumerate(found) if ids is None]
+        new = [distinct[i] for i in missed]
+        for i, p, ids in zip(missed, new, self.resolve(new)):
+            found[i] = self.seen[p] = ids
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
         ids = lists.take(pa.array(code)).flatten().to_numpy(zero_copy_only=False) if len(code) else np.zeros(0, np.int32)

@@ -23,8 +23,11 @@ empty table gives an empty store. Keys are integers; other columns are not store
 from __future__ import annotations
 
 import gc
+import json
+import os
 import uuid
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,6 +46,8 @@ from .words import slices
 BUCKET_KEYS = 1 << 16
 #: Bytes of text that are cut into pieces together; of more text, more pieces are repeats.
 SLICE = 8 << 20
+#: Pieces that the library encodes side by side; its time per byte grows with the length of a text.
+GROUP = 64
 _MAGIC = 0x4D50484958303031
 
 
@@ -54,8 +59,12 @@ class LibraryCodec:
 
     def pieces(self) -> Pieces:
         if self.path not in _CODECS:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             known = Tokenizer.from_file(self.path)
             known.encode_special_tokens = True  # their strings in a text are ordinary text
+            kind = json.loads(known.pre_tokenizer.__getstate__()) if known.pre_tokenizer else {}
+            # where the ends of pre-tokens are known, pieces are finer than stretches between spaces
+            fine = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and known.normalizer is None
 
             vocabulary = known.get_vocab()
             size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a byte is a character of the token's name
@@ -63,28 +72,25 @@ class LibraryCodec:
                 size[i] = len(token)
 
             def resolve(parts: list[str]) -> list[bytes]:
-                # pieces between single spaces are encoded side by side, and the ids are told apart by their bytes
+                # pieces that begin with white space and end without are encoded side by side, and the ids are told apart by their bytes
                 out = [b""] * len(parts)
-                plain = [i for i, p in enumerate(parts) if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
-                groups = [plain[at:at + 1024] for at in range(0, len(plain), 1024)] + [[i] for i in sorted(set(range(len(parts))).difference(plain))]
-                joined = ["".join([parts[i] for i in g]) for g in groups]
-                found = known.encode_batch_fast(joined, add_special_tokens=False)
-                for group, text, e in zip(groups, joined, found):
-                    ids = np.array(e.ids, np.int32)
-                    lengths = [len(parts[i]) for i in group] if text.isascii() else [len(parts[i].encode()) for i in group]
-                    ends, want = np.cumsum(size[ids]), np.cumsum(lengths)
-                    stop = np.searchsorted(ends, want, side="left") + 1
-                    if len(group) == 1:
-                        out[group[0]] = ids.tobytes()
-                        continue
-                    if not np.array_equal(ends[stop - 1], want):
-                        raise ValueError("a token spans two pieces")
-                    data, at = ids.tobytes(), 0
-                    for i, b in zip(group, (4 * stop).tolist()):
-                        out[i], at = data[at:b], b
+                plain = [i for i, p in enumerate(parts) if len(p) > 1 and p[0] in " \n" and not p[1].isspace() and not p[-1].isspace()]
+                side = [parts[i] for i in plain]
+                found = known.encode_batch_fast(["".join(side[at:at + GROUP]) for at in range(0, len(side), GROUP)], add_special_tokens=False)
+                ids = np.fromiter(chain.from_iterable([e.ids for e in found]), np.int32)
+                ends, want = np.cumsum(size[ids]), np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in side], dtype=np.int64)
+                stop = np.searchsorted(ends, want, side="left") + 1
+                if len(ends) != (stop[-1] if len(stop) else 0) or not np.array_equal(ends[stop - 1], want):
+                    raise ValueError("a token spans two pieces")
+                data, at = ids.tobytes(), 0
+                for i, b in zip(plain, (4 * stop).tolist()):
+                    out[i], at = data[at:b], b
+                rest = sorted(set(range(len(parts))).difference(plain))
+                for i, e in zip(rest, known.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)):
+                    out[i] = np.array(e.ids, np.int32).tobytes()
                 return out
 
-            _CODECS[self.path] = Pieces(resolve, lambda text: [text], self.kept)
+            _CODECS[self.path] = Pieces(resolve, lambda text: [text], self.kept, fine=fine)
         return _CODECS[self.path]
 
     def width(self) -> int:

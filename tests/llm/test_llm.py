@@ -295,6 +295,22 @@ def test_pieces_of_a_slice_are_numbered_without_sorting_them():
     assert len(code) == 400_000 and peak < 36 * len(code)
 
 
+def test_library_pieces_end_at_punctuation_and_keep_the_ids_of_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, rng = Tokenizer.from_file(path), random.Random(17)
+    whole.encode_special_tokens = True
+    signs = ["\n", "\n\n", "\t", "'", "'s", "'ll", ".", ",.", "1", "×", "÷", "ß", "É", "ª", "—", "\u00a0", "日", "́", "\x00", "\x85", "<|endoftext|>", "_", "~"]
+    texts = [" ".join("".join(rng.choice(signs if rng.random() < 0.4 else ["a", "the", "né", "Word", "I"]) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 30)))
+             for _ in range(3000)] + ["", None, " ", "\n", "end\n", "a  b", "a\n b", " a,b", "÷.", "é.", "aÃ,", "x\n\ny,z\nW."]
+    pieces = token_store.LibraryCodec(path).pieces()
+    ids, ends = pieces.encode(pa.array(texts))
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == want
+    plain = [w for w in words(400, 23)]
+    distinct, _, _ = pieces.cut(pa.array([" ".join(w + mark for w in plain) for mark in ("", ".", ",", "!", ";", "?")]))
+    assert len(distinct) < 1.5 * len(set(plain)) + 6
+
+
 def test_pair_ranks_are_those_of_the_vocabulary(codec):
     tables = codec.tables
     assert all(tables.byte_pairs[a][b] == tables.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256))
