@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import releasing
 from .perfect_hash import PerfectHash
 from .words import slices
 
@@ -252,6 +253,7 @@ def encode(df: DataFrame, codec: Codec, text: str = "text", out: str = "ids", dr
     """df with `out`, an array of ids, in place of the text (or beside it)."""
     kept, schema = _replaced(df.drop(text) if drop_text else df, out, T.ArrayType(T.IntegerType(), False))
 
+    @releasing
     def run(batches):
         tables = codec.tables
         for part in slices(batches, text):
@@ -262,7 +264,6 @@ def encode(df: DataFrame, codec: Codec, text: str = "text", out: str = "ids", dr
             yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [lists], kept + [out])
         # the worker may go on with other stages, which need the memory
         tables.pieces.seen = {}
-        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -271,6 +272,7 @@ def decode(df: DataFrame, codec: Codec, ids: str = "ids", out: str = "bytes") ->
     """df with `out`, the bytes that the ids stand for."""
     kept, schema = _replaced(df, out, T.BinaryType())
 
+    @releasing
     def run(batches):
         tables = codec.tables
         for batch in batches:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_hit, bloom_words, free_name, pin, row_name, without_rows
+from .common import arrow_bytes, bloom_hit, bloom_words, free_name, pin, releasing, row_name, without_rows
 from .words import Words, slices, window_hashes
 
 WIDTH, LITERALS = 8, 4
@@ -124,6 +124,7 @@ def item_windows(items: DataFrame, key: str, text: str, width: int = WIDTH, lite
     """
     names = ["item", "q", "h", "item_slots", "n_windows", "n_all", "counts", "width"]
 
+    @releasing
     def run(batches):
         for part in slices(batches, "text"):
             tokens = Canonical(part.column("text"))
@@ -155,6 +156,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     widths = [r["width"] for r in asked.select("width").distinct().collect()]
     found = bloom_words(asked.select("h").distinct(), "h", hashed=False)
 
+    @releasing
     def run(batches):
         for part in slices(batches, "text"):
             tokens = Canonical(part.column("text"))
@@ -168,7 +170,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     own = (docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
            .mapInArrow(run, f"doc {kind}, p bigint, h bigint, slots array<bigint>"))
     # read three times below; few document windows meet an item's
-    joined = pin(own.join(asked, "h"), "item-hits")
+    with arrow_bytes(docs.sparkSession):
+        joined = pin(own.join(asked, "h"), "item-hits")
     exact = joined.filter("item_slots IS NULL").select("doc", "item", "n_windows", "n_all", "counts", "q", F.lit(True).alias("verbatim"))
     met = joined.filter("item_slots IS NOT NULL").select("doc", "item", "n_windows", "n_all", "counts", "q", (F.col("p") - F.col("q")).alias("diagonal"), F.arrays_zip("item_slots", "slots").alias("z"))
     # one row per filled slot value, or a single row for a window without slots; partial sums before the shuffle

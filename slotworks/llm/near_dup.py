@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.labels import connected_components
-from .common import arrow_bytes, bloom_hit, bloom_words, pin
+from .common import arrow_bytes, bloom_hit, bloom_words, pin, releasing
 from .words import BASES, Words, slices, window_hashes
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 50, 5, 75
@@ -119,6 +119,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def signed(df: DataFrame, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
     """(key, n, set_a, set_b, bands, packed, also...): one row per row of df."""
+    @releasing
     def run(batches):
         for part in (p.slice(at, SLICE_ROWS) for p in slices(batches, "text", SLICE) for at in range(0, p.num_rows, SLICE_ROWS)):
             sets = shingle_sets(part.column("text"))
@@ -150,6 +151,7 @@ def full_sets(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
     """(key, shingles) of at least the rows whose key is in `keys`, and few others."""
     found = bloom_words(keys, "key")
 
+    @releasing
     def run(batches):
         for part in slices(batches, "text", SLICE):
             part = part.filter(pa.array(bloom_hit(part.column("_h").to_numpy(), found)))
@@ -259,6 +261,7 @@ def in_buckets(placed: DataFrame, bands: int, buckets: DataFrame) -> DataFrame:
     """(bucket, key, component) of the members of at least the buckets in `buckets`, and few others: lists are thinned out before they become rows."""
     found = bloom_words(buckets, "bucket", hashed=False)
 
+    @releasing
     def run(batches):
         for b in batches:
             lists = b.column("buckets")

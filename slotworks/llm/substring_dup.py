@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import releasing
 from .words import BASES, Words, covered, slices, window_hashes
 
 WIDTH = 50
@@ -91,6 +92,7 @@ def _rows(names: list[str], keys: pa.Array, hashes: list[np.ndarray], doc: np.nd
     return pa.RecordBatch.from_arrays(columns, names)
 
 
+@releasing
 def _anchors(batches):
     long = WIDTH - PERIOD + 1
     for part in slices((b.filter(pc.and_(b.column("key").is_valid(), b.column("copy").is_null())) for b in batches), "text", SLICE):
@@ -112,6 +114,7 @@ def _anchors(batches):
         yield _rows(["h", "key", "spots"], keys, [h], doc, at, order[new | ~several], order[several])
 
 
+@releasing
 def _windows(batches):
     for part in slices((b.filter(b.column("spots").is_valid()) for b in batches), "text", SLICE):
         keys, found = part.column("key"), []
@@ -194,6 +197,7 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", layout:
     laid = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct(*rest).alias("rest") if rest else F.lit(0).alias("rest"))
     kind = laid.schema
 
+    @releasing
     def run(batches):
         for part in slices(batches, "text", PART):
             texts, words = part.column("text").to_pylist(), Words(part.column("text"))

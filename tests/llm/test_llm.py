@@ -23,7 +23,7 @@ import oracle  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from slotworks.llm import (byte_bpe, compression_quality, decontaminate, hilbert_shards, licenses, near_dup, quality_rules,  # noqa: E402
                            substring_dup, token_store, url_cascade)
-from slotworks.llm.common import without_rows  # noqa: E402
+from slotworks.llm.common import releasing, without_rows  # noqa: E402
 from slotworks.llm.perfect_hash import PerfectHash  # noqa: E402
 from slotworks.llm.queries import BLOCKED_NAMES, ORACLES, QUERIES, RULES  # noqa: E402
 from slotworks.llm.words import Words  # noqa: E402
@@ -664,3 +664,36 @@ def test_rows_with_null_or_repeated_keys_have_their_own_verdict(spark, tmp_path)
     assert left("near_duplicates", rows) == sorted([(1, good), (5, other), (6, third)], key=str)
     rows = [(5, good), (5, f"{other} {leak}"), (None, leak), (None, other)]
     assert left("decontamination", rows) == sorted([(5, good), (None, other)], key=str)
+
+
+def test_a_task_gives_freed_memory_back():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(n) for n in re.findall(r"\nPss_Anon:\s+(\d+)", f.read())) / 1024
+
+    kept = []
+
+    @releasing
+    def run(batches):
+        small = [np.ones(8000) for _ in range(3000)]  # 64 KB each, below what the C library maps on its own
+        kept.append(small[-1])  # what lies behind the freed ones keeps the heap from shrinking by itself
+        del small
+        yield from batches
+
+    before = held()
+    assert list(run([1, 2])) == [1, 2]
+    assert held() - before < 60
+
+
+def test_tasks_of_the_pipeline_release_memory_and_read_small_batches(spark, monkeypatch):
+    docs = frame(spark, [(i, " ".join(words(80, i % 7))) for i in range(40)]).withColumn("n_chars", F.length("text").cast("bigint")).select("doc_id", "text", "lang", "source", "n_chars")
+    kind, caught, bounds = type(docs), [], {}
+    whole, asked = kind.mapInArrow, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *how: caught.append(run) or whole(self, run, *how))
+    for module in (quality_rules, decontaminate):
+        monkeypatch.setattr(module, "pin", lambda df, name="pin", pin=module.pin: bounds.update({name: spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")}) or pin(df, name))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, ROOT).count()
+    assert len(caught) >= 10 and all(hasattr(run, "__wrapped__") for run in caught)
+    assert {bounds[k] for k in ("rules", "rule-scores", "item-hits")} == {str(4 << 20)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == asked
